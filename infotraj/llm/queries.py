@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from infotraj.llm import simhash
+from infotraj.llm import mixing, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op8_mixing": mixing.op8_mixing,
+    "op9_sharding": sharding.op9_sharding,
+}
+ORACLES: dict[str, str] = {
+    "op8_mixing": mixing.OP8_SQL,
 }
-ORACLES: dict[str, str] = {}
