@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from infotraj.llm import linefreq, mixing, sharding, simhash
+from infotraj.llm import chat, linefreq, mixing, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_linefreq": linefreq.op2_linefreq,
     "op8_mixing": mixing.op8_mixing,
     "op9_sharding": sharding.op9_sharding,
+    "op10_chat": chat.op10_chat,
 }
 ORACLES: dict[str, str] = {
     "op2_linefreq": linefreq.OP2_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op10_chat": chat.OP10_SQL,
 }
