@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from infotraj.llm import bpe, chat, linefreq, mixing, sharding, simhash
+from infotraj.llm import bpe, chat, langid, linefreq, mixing, quality, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_linefreq": linefreq.op2_linefreq,
+    "op3_langid": langid.op3_langid,
     "op5_bpe": bpe.op5_bpe,
+    "op7_quality": quality.op7_quality,
     "op8_mixing": mixing.op8_mixing,
     "op9_sharding": sharding.op9_sharding,
     "op10_chat": chat.op10_chat,
