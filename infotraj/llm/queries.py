@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from infotraj.llm import bpe, chat, langid, linefreq, mixing, quality, sharding, simhash
+from infotraj.llm import bpe, chat, embeddings, langid, linefreq, mixing, quality, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_linefreq": linefreq.op2_linefreq,
     "op3_langid": langid.op3_langid,
+    "op4_embeddings": embeddings.op4_embeddings,
     "op5_bpe": bpe.op5_bpe,
     "op7_quality": quality.op7_quality,
     "op8_mixing": mixing.op8_mixing,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op2_linefreq": linefreq.OP2_SQL,
+    "op4_embeddings": embeddings.OP4_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op10_chat": chat.OP10_SQL,
 }
