@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from infotraj.llm import bpe, chat, embeddings, langid, linefreq, mixing, quality, sharding, simhash
+from infotraj.llm import bpe, chat, embeddings, langid, linededup, linefreq, mixing, quality, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_langid": langid.op3_langid,
     "op4_embeddings": embeddings.op4_embeddings,
     "op5_bpe": bpe.op5_bpe,
+    "op6_linededup": linededup.op6_linededup,
     "op7_quality": quality.op7_quality,
     "op8_mixing": mixing.op8_mixing,
     "op9_sharding": sharding.op9_sharding,
