@@ -4,7 +4,7 @@ A line is a \\n-separated piece of a text with MIN_WORDS words or more; its set
 goes if an earlier one (by id, then number) has a Jaccard similarity of at least 4/5, be that one removed or not.
 
 1. Rarity: all words of all lines are counted in a table of 2^16 cells by hash. A word's place in the order that all
-   sets share is (its cell's count on a log scale, longer first, hash): rare words first. Any fixed order gives right
+   sets share is (its cell's count on a log scale, hash): rare words first. Any fixed order gives right
    results; this one keeps prefixes rare.
 2. Lines of equal sets become one vertex, numbered in the order of its first line.
 3. Prefix filter: similar sets share a word among the first n - ceil(4n/5) + 1. Vertices meet by those words. Length,
@@ -33,7 +33,6 @@ from infotraj.llm.common import table
 
 MIN_WORDS = 3
 CELLS = 1 << 16
-_HASH = (1 << 50) - 1
 
 
 def words_of(line: Column) -> Column:
@@ -79,13 +78,11 @@ def rarity(lines: DataFrame) -> Column:
 def codes_of(line: Column, classes: Column) -> Column:
     """A line's set as sorted numbers, in the order of rarity."""
 
-    def code(w: Column) -> Column:
-        h = F.xxhash64(w)
-        rank = F.get(classes, h.bitwiseAND(F.lit(CELLS - 1)).cast("int")).cast("long")
-        number = F.shiftleft(rank, 56) + F.shiftleft(63 - F.least(F.length(w), F.lit(63)).cast("long"), 50) + F.shiftrightunsigned(h, 14)
-        return F.when(w != "", number).otherwise(F.lit(-1).cast("long"))
+    def code(h: Column) -> Column:
+        return F.shiftleft(F.get(classes, h.bitwiseAND(F.lit(CELLS - 1)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    return F.sort_array(F.array_distinct(F.array_remove(F.transform(words_of(line), code), -1)))
+    hashes = F.array_remove(F.transform(words_of(line), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+    return F.sort_array(F.transform(F.array_distinct(hashes), code))
 
 
 def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
