@@ -108,7 +108,7 @@ def near_components(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = b.column("v")
-            good = np.array([x is not None and len(x) == dims and dims > 0 for x in v])
+            good = (pa.compute.fill_null(pa.compute.list_value_length(v), -1).to_numpy(zero_copy_only=False) == dims) & (dims > 0)
             out: list[bytes | None] = [None] * b.num_rows
             if good.any():
                 rows = np.flatnonzero(good)
