@@ -26,7 +26,7 @@ from __future__ import annotations
 import gc
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from infotraj.llm.common import table
@@ -100,8 +100,8 @@ def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     release(df)
 
     entries = vertices.select("seq", "n", "parity", F.posexplode("prefix").alias("pos", "token"))
-    entries = entries.withColumn("many", F.count("*").over(Window.partitionBy("token"))).where("many > 1").drop("many")
-    entries = table(entries, "entries")
+    shared = entries.groupBy("token").agg(F.count("*").alias("many")).where("many > 1").select("token")  # combined before its shuffle, unlike a window
+    entries = table(entries.join(shared, "token", "left_semi"), "entries")
     release(df)
     x, y = entries.alias("x"), entries.alias("y")
     paired = y.join(x, (F.col("x.token") == F.col("y.token")) & (F.col("x.seq") != F.col("y.seq")) & possible("x", "y"), "left_semi")
@@ -124,8 +124,8 @@ def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         both = F.size(F.array_intersect("a", "b"))
         return pairs.distinct().join(a, "seq").join(b, "earlier").where(5 * both >= 4 * (F.size("a") + F.size("b") - both)).select("seq").distinct()
 
-    leader = F.min(F.struct("seq", "n", "parity", "pos")).over(Window.partitionBy("token"))
-    led = small.select(F.struct("seq", "n", "parity", "pos").alias("y"), leader.alias("x")).where((F.col("x.seq") < F.col("y.seq")) & possible("x", "y"))
+    leaders = small.groupBy("token").agg(F.min(F.struct("seq", "n", "parity", "pos")).alias("x"))
+    led = small.join(leaders, "token").select(F.struct("seq", "n", "parity", "pos").alias("y"), "x").where((F.col("x.seq") < F.col("y.seq")) & possible("x", "y"))
     matched = table(verified(led.select("y.seq", F.col("x.seq").alias("earlier"))), "matched")
     rest = small.join(matched, "seq", "left_anti").alias("y")
     earlier = small.alias("x")
