@@ -6,12 +6,12 @@ goes if an earlier one (by id, then number) has a Jaccard similarity of at least
 1. Rarity: all words of all lines are counted in a table of 2^16 cells by hash. A word's place in the order that all
    sets share is (its cell's count on a log scale, hash): rare words first. Any fixed order gives right
    results; this one keeps prefixes rare.
-2. Lines of equal sets become one vertex, numbered in the order of its first line.
+2. Lines of equal sets become one vertex, named by its first line.
 3. Prefix filter: similar sets share a word among the first n - ceil(4n/5) + 1. Vertices meet by those words. Length,
    positional and bitmap filters (the parity of words in 64 cells differs in no more bits than the sets in words) are
    conditions of the join. A left semi join keeps what has any possible partner: it gives a row at most for each it
    reads, however many variants of one line there are.
-4. Verification: the sets of those lines are fetched from the texts. Each is first compared with the earliest vertex
+4. Verification: the sets of those lines are fetched from the texts, as 64-bit hashes of words. Each is first compared with the earliest vertex
    it shares a word with; only what that leaves unmatched is joined with all that is earlier, so that variants of one
    line do not meet each other in pairs.
 5. Line numbers to remove are gathered by document, and texts rebuilt.
@@ -68,73 +68,89 @@ def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("no", "line"))
 
 
-def rarity(lines: DataFrame) -> Column:
+def rarity(texts: DataFrame, text_col: str) -> Column:
     """The log-scale count of each cell, an array constant."""
     cell = F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1)).alias("cell")
-    counts = dict(lines.select(F.explode(words_of(F.col("line"))).alias("w")).where("w <> ''").groupBy(cell).count().collect())  # CELLS rows at most
+    words = words_of(F.replace(F.col(text_col).cast("string"), F.lit("\n"), F.lit(" ")))
+    counts = dict(texts.select(F.explode(words).alias("w")).where("w <> ''").groupBy(cell).count().collect())  # CELLS rows at most
     return F.split(F.lit(",".join(str(int(3 * math.log2(1 + counts.get(c, 0)))) for c in range(CELLS))), ",").cast("array<int>")
 
 
+def hashes_of(line: Column) -> Column:
+    """A line's set as hashes of its words."""
+    return F.array_distinct(F.array_remove(F.transform(words_of(line), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+
+
 def codes_of(line: Column, classes: Column) -> Column:
     """A line's set as sorted numbers, in the order of rarity."""
 
     def code(h: Column) -> Column:
-        return F.shiftleft(F.get(classes, h.bitwiseAND(F.lit(CELLS - 1)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        rare = F.coalesce(F.get(classes, h.bitwiseAND(F.lit(CELLS - 1)).cast("int")), F.lit(0))  # never null: the sort stays one of plain longs
+        return F.shiftleft(rare.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+    return F.sort_array(F.transform(hashes_of(line), code))
+
+
+def has_words(line: Column, least: int) -> Column:
+    """Whether a line has so many words: read no further than the last of them."""
+    return line.rlike(rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{least - 1}}}[^\x20\x09-\x0D]") if least > 0 else F.lit(True)
 
-    hashes = F.array_remove(F.transform(words_of(line), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
-    return F.sort_array(F.transform(F.array_distinct(hashes), code))
+
+def picked(text: Column, at: Column, make) -> Column:
+    """make(lines, places) of a text: a lambda binds its lines, so that they are split once and not once a place."""
+    return F.get(F.transform(F.array(F.split(text, "\n")), lambda lines: make(lines, at)), 0)
+
+
+def entries_of(vertices: DataFrame) -> DataFrame:
+    return vertices.select("doc", "no", "n", "parity", F.posexplode("prefix").alias("pos", "token"))
 
 
 def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, no): the lines of df to remove."""
-    lines = lines_of(df, id_col, text_col)
-    classes = rarity(lines)
-    sets = lines.select("doc", "no", codes_of(F.col("line"), classes).alias("codes"), F.size(F.array_remove(words_of(F.col("line")), "")).alias("words")).where(F.col("words") >= min_words)
+    lines = lines_of(df, id_col, text_col).where(has_words(F.col("line"), max(1, min_words)))
+    sets = lines.select("doc", "no", codes_of(F.col("line"), rarity(df, text_col)).alias("codes"))
     n = F.size("codes")
     parity = F.aggregate("codes", F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
     prefix = F.transform(F.slice("codes", F.lit(1), prefix_length(n)), lambda c: F.xxhash64(c).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     every = table(sets.select("doc", "no", F.xxhash64("codes").alias("h"), n.alias("n"), parity.alias("parity"), prefix.alias("prefix")), "lines")
 
-    first = every.groupBy("h", "n", "parity", "prefix").agg(F.min(F.struct("doc", "no")).alias("first"))
-    vertices = table(first.orderBy("first").select(F.monotonically_increasing_id().alias("seq"), "h", "n", "parity", "prefix", "first"), "vertices")
+    first = every.groupBy("h", "n", "parity").agg(F.min(F.struct("doc", "no", "prefix")).alias("first"))
+    vertices = table(first.select("first.doc", "first.no", "h", "n", "parity", "first.prefix"), "vertices")
     release(df)
 
-    entries = vertices.select("seq", "n", "parity", F.posexplode("prefix").alias("pos", "token"))
-    shared = entries.groupBy("token").agg(F.count("*").alias("many")).where("many > 1").select("token")  # combined before its shuffle, unlike a window
-    entries = table(entries.join(shared, "token", "left_semi"), "entries")
-    release(df)
-    x, y = entries.alias("x"), entries.alias("y")
-    paired = y.join(x, (F.col("x.token") == F.col("y.token")) & (F.col("x.seq") != F.col("y.seq")) & possible("x", "y"), "left_semi")
-    chosen = table(paired.select("seq").distinct(), "chosen")
+    before = (F.col("x.doc") < F.col("y.doc")) | ((F.col("x.doc") == F.col("y.doc")) & (F.col("x.no") < F.col("y.no")))
+    other = (F.col("x.doc") != F.col("y.doc")) | (F.col("x.no") != F.col("y.no"))
+    entries = entries_of(vertices)
+    paired = entries.alias("y").join(entries.alias("x"), (F.col("x.token") == F.col("y.token")) & other & possible("x", "y"), "left_semi")
+    chosen = table(paired.select("doc", "no").distinct(), "chosen")
     release(df)
 
-    wanted = vertices.join(chosen, "seq", "left_semi").select("seq", F.col("first.doc").alias("doc"), F.col("first.no").alias("no"))
-    places = wanted.groupBy("doc").agg(F.collect_list(F.struct("seq", "no")).alias("at"))
+    places = table(chosen.groupBy("doc").agg(F.collect_list("no").alias("at")), "places")  # a table: its size decides how it is joined
     texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    fetched = texts.join(places, "doc").withColumn("line", F.split("text", "\n")).select(F.explode(F.transform("at", lambda p: F.struct(p["seq"].alias("seq"), F.get("line", p["no"]).alias("line")))).alias("p"))
-    held = table(fetched.select("p.seq", F.array_distinct(F.array_remove(words_of(F.col("p.line")), "")).alias("set")).where("set is not null"), "sets")
+    told = picked(F.col("text"), F.col("at"), lambda lines, at: F.transform(at, lambda i: F.struct(i.alias("no"), F.get(lines, i).alias("line"))))
+    fetched = texts.join(places, "doc").select("doc", F.explode(told).alias("p")).where("p.line is not null")
+    held = table(fetched.select("doc", "p.no", hashes_of(F.col("p.line")).alias("set")), "sets")
+    small = table(entries_of(vertices.join(chosen, ["doc", "no"], "left_semi")), "entries")
     release(df)
 
-    small = table(entries.join(chosen, "seq", "left_semi"), "entries")
-
     def verified(pairs: DataFrame) -> DataFrame:
-        """The later vertex of each pair (seq, earlier) that is similar indeed."""
-        a = held.select(F.col("seq"), F.col("set").alias("a"))
-        b = held.select(F.col("seq").alias("earlier"), F.col("set").alias("b"))
-        both = F.size(F.array_intersect("a", "b"))
-        return pairs.distinct().join(a, "seq").join(b, "earlier").where(5 * both >= 4 * (F.size("a") + F.size("b") - both)).select("seq").distinct()
-
-    leaders = small.groupBy("token").agg(F.min(F.struct("seq", "n", "parity", "pos")).alias("x"))
-    led = small.join(leaders, "token").select(F.struct("seq", "n", "parity", "pos").alias("y"), "x").where((F.col("x.seq") < F.col("y.seq")) & possible("x", "y"))
-    matched = table(verified(led.select("y.seq", F.col("x.seq").alias("earlier"))), "matched")
-    rest = small.join(matched, "seq", "left_anti").alias("y")
-    earlier = small.alias("x")
-    pairs = rest.join(earlier, (F.col("x.token") == F.col("y.token")) & (F.col("x.seq") < F.col("y.seq")) & possible("x", "y"))
-    matched = matched.unionByName(table(verified(pairs.select("y.seq", F.col("x.seq").alias("earlier"))), "matched"))
+        """The later vertex of each pair (doc, no, x_doc, x_no) that is similar indeed."""
+        pairs = table(pairs.distinct(), "pairs")
+        b = held.select(F.col("doc").alias("x_doc"), F.col("no").alias("x_no"), F.col("set").alias("b"))
+        both = F.size(F.array_intersect("set", "b"))
+        return pairs.join(held, ["doc", "no"]).join(b, ["x_doc", "x_no"]).where(5 * both >= 4 * (F.size("set") + F.size("b") - both)).select("doc", "no").distinct()
+
+    pair = [F.col("y.doc").alias("doc"), F.col("y.no").alias("no"), F.col("x.doc").alias("x_doc"), F.col("x.no").alias("x_no")]
+    leaders = small.groupBy("token").agg(F.min(F.struct("doc", "no", "n", "parity", "pos")).alias("x"))
+    led = small.join(leaders, "token").select(F.struct("doc", "no", "n", "parity", "pos").alias("y"), "x").where(before & possible("x", "y"))
+    matched = table(verified(led.select(pair)), "matched")
+    rest = small.join(matched, ["doc", "no"], "left_anti").alias("y")
+    pairs = rest.join(small.alias("x"), (F.col("x.token") == F.col("y.token")) & before & possible("x", "y"))
+    matched = matched.unionByName(table(verified(pairs.select(pair)), "matched"))
     release(df)
 
-    fate = vertices.join(matched.withColumn("gone", F.lit(True)), "seq", "left").select("h", "n", "parity", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
-    return every.join(fate, ["h", "n", "parity"]).where(F.col("gone") | (F.struct("doc", "no") != F.col("first"))).select("doc", "no")
+    fate = vertices.join(matched.withColumn("gone", F.lit(True)), ["doc", "no"], "left").select("h", "n", "parity", F.struct("doc", "no").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    return every.select("doc", "no", "h", "n", "parity").join(fate, ["h", "n", "parity"]).where(F.col("gone") | (F.struct("doc", "no") != F.col("first"))).select("doc", "no")
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -142,11 +158,12 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     gone = similar_lines(df, id_col, text_col, min_words).groupBy("doc").agg(F.collect_set("no").alias("__gone")).withColumnRenamed("doc", "__doc")
     gone = table(gone, "gone")
     release(df)
-    line = F.split(F.col(text_col), "\n")
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(line) - 1), "__gone"), lambda i: F.get(line, i))
-    text = F.when(F.col("__gone").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    whole = F.col(text_col).cast("string")
+    kept = picked(whole, F.col("__gone"), lambda lines, cut: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), cut), lambda i: F.get(lines, i)), "\n"))
+    text = F.when(F.col("__gone").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(kept)
     out = df.join(gone, F.col(id_col).cast("long") == F.col("__doc"), "left")
-    counted = out.withColumn("n_lines", F.coalesce(F.size(line), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
+    n_lines = F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1
+    counted = out.withColumn("n_lines", F.coalesce(n_lines, F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
     return counted.withColumn(text_col, text).drop("__gone", "__doc")
 
 
