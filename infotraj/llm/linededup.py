@@ -11,7 +11,8 @@ goes if an earlier one (by id, then number) has a Jaccard similarity of at least
    positional and bitmap filters (the parity of words in 64 cells differs in no more bits than the sets in words) are
    conditions of the join. A left semi join keeps what has any possible partner: it gives a row at most for each it
    reads, however many variants of one line there are.
-4. Verification: the sets of those lines are fetched from the texts, as 64-bit hashes of words. Each is first compared with the earliest vertex
+4. Verification: the sets of those lines are fetched from the texts, as 64-bit hashes of words, and
+   pairs are first held against a wider bitmap. Each is first compared with the earliest vertex
    it shares a word with; only what that leaves unmatched is joined with all that is earlier, so that variants of one
    line do not meet each other in pairs.
 5. Line numbers to remove are gathered by document, and texts rebuilt.
@@ -33,6 +34,8 @@ from infotraj.llm.common import table
 
 MIN_WORDS = 3
 CELLS = 1 << 16
+#: Longs of the bitmap that pairs are held against before their sets are fetched; a power of two.
+WIDE = 4
 
 
 def words_of(line: Column) -> Column:
@@ -91,6 +94,16 @@ def codes_of(line: Column, classes: Column) -> Column:
     return F.sort_array(F.transform(hashes_of(line), code))
 
 
+def wide_parity(hashes: Column) -> Column:
+    """The parity of a set's words in 64 * WIDE cells."""
+
+    def part(i: int) -> Column:
+        mine = F.filter(hashes, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(WIDE - 1)) == i)
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+
+    return F.array(*map(part, range(WIDE)))
+
+
 def has_words(line: Column, least: int) -> Column:
     """Whether a line has so many words: read no further than the last of them."""
     return line.rlike(rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{least - 1}}}[^\x20\x09-\x0D]") if least > 0 else F.lit(True)
@@ -129,16 +142,22 @@ def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     told = picked(F.col("text"), F.col("at"), lambda lines, at: F.transform(at, lambda i: F.struct(i.alias("no"), F.get(lines, i).alias("line"))))
     fetched = texts.join(places, "doc").select("doc", F.explode(told).alias("p")).where("p.line is not null")
-    held = table(fetched.select("doc", "p.no", hashes_of(F.col("p.line")).alias("set")), "sets")
+    held = fetched.select("doc", "p.no", hashes_of(F.col("p.line")).alias("set"))
+    held = table(held.select("doc", "no", F.size("set").alias("n"), wide_parity(F.col("set")).alias("wide"), "set"), "sets")
     small = table(entries_of(vertices.join(chosen, ["doc", "no"], "left_semi")), "entries")
     release(df)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The later vertex of each pair (doc, no, x_doc, x_no) that is similar indeed."""
         pairs = table(pairs.distinct(), "pairs")
+        a = held.select("doc", "no", F.col("n").alias("n_y"), F.col("wide").alias("wide_y"))
+        b = held.select(F.col("doc").alias("x_doc"), F.col("no").alias("x_no"), F.col("n").alias("n_x"), F.col("wide").alias("wide_x"))
+        differ = sum((F.bit_count(F.col("wide_x")[i].bitwiseXOR(F.col("wide_y")[i])) for i in range(WIDE)), F.lit(0))
+        close = pairs.join(a, ["doc", "no"]).join(b, ["x_doc", "x_no"]).where(differ <= F.col("n_x") + F.col("n_y") - 2 * overlap(F.col("n_x"), F.col("n_y")))
+        pairs = table(close.select("doc", "no", "x_doc", "x_no"), "close")
         b = held.select(F.col("doc").alias("x_doc"), F.col("no").alias("x_no"), F.col("set").alias("b"))
         both = F.size(F.array_intersect("set", "b"))
-        return pairs.join(held, ["doc", "no"]).join(b, ["x_doc", "x_no"]).where(5 * both >= 4 * (F.size("set") + F.size("b") - both)).select("doc", "no").distinct()
+        return pairs.join(held.select("doc", "no", "set"), ["doc", "no"]).join(b, ["x_doc", "x_no"]).where(5 * both >= 4 * (F.size("set") + F.size("b") - both)).select("doc", "no").distinct()
 
     pair = [F.col("y.doc").alias("doc"), F.col("y.no").alias("no"), F.col("x.doc").alias("x_doc"), F.col("x.no").alias("x_no")]
     leaders = small.groupBy("token").agg(F.min(F.struct("doc", "no", "n", "parity", "pos")).alias("x"))
