@@ -12,7 +12,7 @@ goes if an earlier one (by id, then number) has a Jaccard similarity of at least
    conditions of the join. A left semi join keeps what has any possible partner: it gives a row at most for each it
    reads, however many variants of one line there are.
 4. Verification: the sets of those lines are fetched from the texts, as 64-bit hashes of words, and
-   pairs are first held against a wider bitmap. Each is first compared with the earliest vertex
+   a wider bitmap of each joins its prefix words, so that few pairs but the similar ones come about. Each is first compared with the earliest vertex
    it shares a word with; only what that leaves unmatched is joined with all that is earlier, so that variants of one
    line do not meet each other in pairs.
 5. Line numbers to remove are gathered by document, and texts rebuilt.
@@ -61,6 +61,13 @@ def possible(x: str, y: str) -> Column:
     return (5 * nx >= 4 * ny) & (5 * ny >= 4 * nx) & (F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity"))) <= nx + ny - 2 * need) & (room >= need)
 
 
+def likely(x: str, y: str) -> Column:
+    """possible(x, y), and the same bound on the wider bitmap."""
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    differ = sum((F.bit_count(F.col(f"{x}.wide")[i].bitwiseXOR(F.col(f"{y}.wide")[i])) for i in range(WIDE)), F.lit(0))
+    return possible(x, y) & (differ <= nx + ny - 2 * overlap(nx, ny))
+
+
 def release(df: DataFrame) -> None:
     """Let Spark delete the shuffle files of queries that are done: they go when the JVM collects their handles."""
     gc.collect()
@@ -114,8 +121,8 @@ def picked(text: Column, at: Column, make) -> Column:
     return F.get(F.transform(F.array(F.split(text, "\n")), lambda lines: make(lines, at)), 0)
 
 
-def entries_of(vertices: DataFrame) -> DataFrame:
-    return vertices.select("doc", "no", "n", "parity", F.posexplode("prefix").alias("pos", "token"))
+def entries_of(vertices: DataFrame, *more: str) -> DataFrame:
+    return vertices.select("doc", "no", "n", "parity", *more, F.posexplode("prefix").alias("pos", "token"))
 
 
 def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -143,28 +150,23 @@ def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     told = picked(F.col("text"), F.col("at"), lambda lines, at: F.transform(at, lambda i: F.struct(i.alias("no"), F.get(lines, i).alias("line"))))
     fetched = texts.join(places, "doc").select("doc", F.explode(told).alias("p")).where("p.line is not null")
     held = fetched.select("doc", "p.no", hashes_of(F.col("p.line")).alias("set"))
-    held = table(held.select("doc", "no", F.size("set").alias("n"), wide_parity(F.col("set")).alias("wide"), "set"), "sets")
-    small = table(entries_of(vertices.join(chosen, ["doc", "no"], "left_semi")), "entries")
+    held = table(held.select("doc", "no", wide_parity(F.col("set")).alias("wide"), "set"), "sets")
+    small = table(entries_of(vertices.join(held.select("doc", "no", "wide"), ["doc", "no"]), "wide"), "entries")
     release(df)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The later vertex of each pair (doc, no, x_doc, x_no) that is similar indeed."""
         pairs = table(pairs.distinct(), "pairs")
-        a = held.select("doc", "no", F.col("n").alias("n_y"), F.col("wide").alias("wide_y"))
-        b = held.select(F.col("doc").alias("x_doc"), F.col("no").alias("x_no"), F.col("n").alias("n_x"), F.col("wide").alias("wide_x"))
-        differ = sum((F.bit_count(F.col("wide_x")[i].bitwiseXOR(F.col("wide_y")[i])) for i in range(WIDE)), F.lit(0))
-        close = pairs.join(a, ["doc", "no"]).join(b, ["x_doc", "x_no"]).where(differ <= F.col("n_x") + F.col("n_y") - 2 * overlap(F.col("n_x"), F.col("n_y")))
-        pairs = table(close.select("doc", "no", "x_doc", "x_no"), "close")
         b = held.select(F.col("doc").alias("x_doc"), F.col("no").alias("x_no"), F.col("set").alias("b"))
         both = F.size(F.array_intersect("set", "b"))
         return pairs.join(held.select("doc", "no", "set"), ["doc", "no"]).join(b, ["x_doc", "x_no"]).where(5 * both >= 4 * (F.size("set") + F.size("b") - both)).select("doc", "no").distinct()
 
     pair = [F.col("y.doc").alias("doc"), F.col("y.no").alias("no"), F.col("x.doc").alias("x_doc"), F.col("x.no").alias("x_no")]
-    leaders = small.groupBy("token").agg(F.min(F.struct("doc", "no", "n", "parity", "pos")).alias("x"))
-    led = small.join(leaders, "token").select(F.struct("doc", "no", "n", "parity", "pos").alias("y"), "x").where(before & possible("x", "y"))
+    leaders = small.groupBy("token").agg(F.min(F.struct("doc", "no", "n", "parity", "pos", "wide")).alias("x"))
+    led = small.join(leaders, "token").select(F.struct("doc", "no", "n", "parity", "pos", "wide").alias("y"), "x").where(before & likely("x", "y"))
     matched = table(verified(led.select(pair)), "matched")
     rest = small.join(matched, ["doc", "no"], "left_anti").alias("y")
-    pairs = rest.join(small.alias("x"), (F.col("x.token") == F.col("y.token")) & before & possible("x", "y"))
+    pairs = rest.join(small.alias("x"), (F.col("x.token") == F.col("y.token")) & before & likely("x", "y"))
     matched = matched.unionByName(table(verified(pairs.select(pair)), "matched"))
     release(df)
 
