@@ -5,8 +5,8 @@ tokens. Each works on all that the one before kept. run() applies them to the ta
 a Parquet table in the shared folder.
 
 Nulls: a null text has no words; the classifier scores it like an empty one. Documents that the line stage empties go
-with it; those that were empty before stay. The near-duplicate stage takes shingles of five words and keeps, of each
-group, the document with the smallest id. The mix repeats documents whose source is wanted more than once over.
+with it; those that were empty before stay. The near-duplicate stage links documents whose sets of five-word shingles have
+a Jaccard similarity of 0.8 or more and keeps, of each group, the document with the smallest id. The mix repeats documents whose source is wanted more than once over.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, words=5)
+    return simhash.keep_one(docs, words=5, similarity=0.8)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
