@@ -124,7 +124,8 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def distinct_shingles(text: str, words: int) -> np.ndarray:
-    return np.unique(np.array(shingle_hashes(text, words), dtype=np.uint64))
+    """The set of a text's shingles, letters of all scripts lowered."""
+    return np.unique(np.array(shingle_hashes(text.lower(), words), dtype=np.uint64))
 
 
 def set_hash(shingles: np.ndarray) -> int:
@@ -227,7 +228,7 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A link or two of each node that has any in a bucket; a spanning forest of a large bucket."""
         for t, starts in sorted_runs(batches, ["key"]):
-            h, a, b = (t.column(c).to_numpy() for c in ("h", "a", "b"))
+            h, a, b = t.column("h").to_numpy(), *(t.column(c).to_numpy().view(np.uint64) for c in ("a", "b"))  # bitwise_count takes a sign off
             size = np.diff(np.append(starts, t.num_rows))
             left = np.repeat(np.where(size > 64, 0, starts + size), size) - np.arange(t.num_rows)  # rows from here to a small run's end
             lead, follow = np.full(t.num_rows, t.num_rows), np.full(t.num_rows, -1)
@@ -252,7 +253,8 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All links of a bucket between nodes of different labels."""
         for t, starts in sorted_runs(batches, ["key"]):
-            h, label, a, b = (t.column(c).to_numpy() for c in ("h", "label", "a", "b"))
+            h, label = (t.column(c).to_numpy() for c in ("h", "label"))
+            a, b = (t.column(c).to_numpy().view(np.uint64) for c in ("a", "b"))
             ends = np.append(starts[1:], t.num_rows)
             new = np.ones(t.num_rows, dtype=bool)
             new[1:] = label[1:] != label[:-1]
