@@ -2,15 +2,17 @@
 
 Every whole text is counted in one pass: words, their characters, symbols, repeated lines, and words inside 8-word
 windows that occur twice. The same pass gives the hash of each of its distinct normalised lines (lower case, digits
-as 0, white space squeezed) with the line's number of words. Documents of equal text within a host count as one: copies
+as 0, white space squeezed). Documents of equal text within a host count as one: copies
 of a clean text do not condemn each other.
 
 A line is boilerplate where more than `min_docs` distinct documents of its host and more than `min_share` of the
-host's distinct documents hold it. Boilerplate lines are taken away; a document that keeps less than `min_left` of
-its words is depleted and rejected. Documents have no host name here: their source stands for it.
+host's distinct documents hold it. Boilerplate lines are cut out of the texts (clean_texts); a document whose cleaned
+text has less than `min_left` of its words is depleted and rejected. Documents have no host name here: their source
+stands for it.
 
 Counts are per (host, line) after each document has made its lines distinct, so a plain count, combined before its
-shuffle, serves; a hot host or line is one key of a pre-aggregated sum. Only lines above the limits are joined back.
+shuffle, serves; a hot host or line is one key of a pre-aggregated sum. Only lines above the limits are joined back,
+and only texts that hold some pass through Python again.
 
 Edges: a null or empty text has no words and fails the base rules; a null host is a host of its own; repeated rows are
 equal texts; rows that share an id are judged each by its own text; extra columns are ignored.
@@ -22,6 +24,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,7 +37,7 @@ MIN_DOCS, MIN_SHARE, MIN_LEFT = 20, 0.01, 0.3
 _SYMBOLS = "#*$%&|<>"
 _DIGITS = re.compile(rb"[0-9]+")
 
-COUNTS = "id long, host string, row long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<h: long, n: long>>"
+COUNTS = "id long, host string, row long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>"
 
 
 def repeat_words(texts: list[list[bytes]], window: int = WINDOW) -> np.ndarray:
@@ -76,7 +79,7 @@ def normal(line: str) -> bytes:
 
 
 def count_texts(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """One row for each row of df: its counts, and its distinct normalised lines with their words."""
+    """One row for each row of df: its counts, and the hashes of its distinct normalised lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,35 +91,58 @@ def count_texts(df: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
                 for x in texts:
                     full = [line for line in x.split("\n") if line.strip(WHITE)]
                     dups.append(len(full) - len(set(full)))
-                    seen: dict[int, int] = {}
-                    for line in full:
-                        h = xxhash.xxh64_intdigest(normal(line)) - (1 << 63)
-                        seen[h] = seen.get(h, 0) + len(line.encode().split())
-                    lines.append([{"h": h, "n": n} for h, n in seen.items()])
-                row = [xxhash.xxh64_intdigest(x.encode()) - (1 << 63) for x in texts]
-                cols = [part.column("id"), part.column("host"), row, list(map(len, words)), chars, symbols, dups, repeat_words(words), lines]
+                    lines.append(list({xxhash.xxh64_intdigest(normal(line)) - (1 << 63) for line in full}))
+                cols = [part.column("id"), part.column("host"), part.column("row"), list(map(len, words)), chars, symbols, dups, repeat_words(words), lines]
                 names = ["id", "host", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"]
-                types = [pa.int64(), pa.string(), *[pa.int64()] * 6, pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))]
+                types = [pa.int64(), pa.string(), *[pa.int64()] * 6, pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
-    slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, COUNTS)
+    return slim_texts(df, id_col, text_col, host_col).mapInArrow(run, COUNTS)
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, left_words, kept) for each row of df."""
-    host = F.coalesce(F.concat(F.lit("="), F.col("host")), F.lit(""))  # null apart from any name
-    counted = table(count_texts(df, id_col, text_col, host_col).withColumn("host", host), "line-counts")
+def slim_texts(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """(id, host, text, row) of each row of df: a null host apart from any name, row the hash of the text."""
+    host = F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit(""))
+    text = F.col(text_col).cast("string")
+    return df.select(F.col(id_col).cast("long").alias("id"), host.alias("host"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("row"))
+
+
+def without_lines(text: str, cut: set[int]) -> str:
+    """A text without the lines whose normalised form has one of these hashes."""
+    return "\n".join(x for x in text.split("\n") if not x.strip(WHITE) or xxhash.xxh64_intdigest(normal(x)) - (1 << 63) not in cut)
+
+
+def clean_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+    """(id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, left_words, kept) for each row of df.
+
+    The text is without its boilerplate lines; a null text stays null. The counts but left_words are of the whole text.
+    """
+
+    @F.pandas_udf("text string, left_words long")
+    def cleaned(texts: pd.Series, cuts: pd.Series) -> pd.DataFrame:
+        texts = [None if t is None else without_lines(t, set(c)) for t, c in zip(texts, cuts, strict=True)]
+        return pd.DataFrame({"text": texts, "left_words": pd.array([None if t is None else len(t.encode().split()) for t in texts], dtype="Int64")})
+
+    counted = table(count_texts(df, id_col, text_col, host_col), "line-counts")
     distinct = counted.select("host", "row", "lines").dropDuplicates(["host", "row"])
     sizes = distinct.groupBy("host").agg(F.count("*").alias("docs"))
-    lines = table(distinct.select("host", "row", F.explode("lines").alias("line")).select("host", "row", "line.h", "line.n"), "host-lines")
+    lines = table(distinct.select("host", "row", F.explode("lines").alias("h")), "host-lines")
     held = lines.groupBy("host", "h").agg(F.count("*").alias("docs_with")).where(F.col("docs_with") > min_docs)
     above = held.join(sizes, "host").where(F.col("docs_with") > min_share * F.col("docs")).select("host", "h")
-    lost = lines.join(above, ["host", "h"]).groupBy("host", "row").agg(F.sum("n").alias("lost"))
-    judged = counted.drop("lines").join(lost, ["host", "row"], "left").withColumn("left_words", F.col("n_words") - F.coalesce("lost", F.lit(0)))
+    cuts = table(lines.join(above, ["host", "h"]).groupBy("host", "row").agg(F.collect_list("h").alias("cut")), "cut-lines")
+    texts = slim_texts(df, id_col, text_col, host_col).join(cuts, ["host", "row"], "left")
+    texts = texts.withColumn("clean", cleaned(F.when(F.col("cut").isNotNull(), F.col("text")), "cut"))
+    texts = texts.select("id", "host", "row", F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.col("clean.text")).alias("text"), F.col("clean.left_words").alias("left_words"))
+    counts = counted.drop("id", "lines").dropDuplicates(["host", "row"])
+    judged = texts.join(counts, ["host", "row"]).withColumn("left_words", F.coalesce("left_words", "n_words"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     kept = ~failed & (F.col("left_words") >= min_left * F.col("n_words"))
-    return judged.select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "left_words", kept.alias("kept"))
+    return judged.select("id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "left_words", kept.alias("kept"))
+
+
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+    """clean_texts without the texts."""
+    return clean_texts(df, id_col, text_col, host_col, min_docs, min_share, min_left).drop("text")
 
 
 def op2_linefreq(spark, sf_dir: str) -> DataFrame:

@@ -105,6 +105,16 @@ def test_line_frequency(spark, docs, texts):
     assert linefreq.quality_rules(empty(spark)).count() == 0
 
 
+def test_boilerplate_lines_are_cut_from_texts(spark):
+    rng = random.Random(5)
+    own = [[sentence(rng, 12), "", sentence(rng, 9)] for _ in range(8)]
+    rows = [(i, "\n".join([f"Page {i} of  9", x[0], x[1], "All rights", x[2]]), "a" if i < 6 else "b") for i, x in enumerate(own)] + [(8, None, "a"), (8, "All RIGHTS", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(((r["id"], r["text"], r["left_words"], r["kept"]) for r in linefreq.clean_texts(df, min_docs=3, min_share=0.1).collect()), key=repr)
+    wanted = [(i, "\n".join(own[i]), 21, True) if i < 6 else (i, rows[i][1], 27, True) for i in range(8)] + [(8, None, 0, False), (8, "", 0, False)]
+    assert got == sorted(wanted, key=repr)
+
+
 def test_language_of_held_out_texts(spark):
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null").collect()}
     rows = queries.QUERIES["op3_langid"](spark, SF).collect()
