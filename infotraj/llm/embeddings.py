@@ -3,7 +3,8 @@
 Index: on a sample of at most about FIT vectors, rotations of the centred principal axes are learned so that the signs
 lose little (alternating codes and orthogonal Procrustes). Codes are cut into tables of about log2(rows) bits, so a
 bucket stays small as the input grows, and tables (from further rotations where one gives too few bits) are added
-until RECALL of sampled pairs at exactly the threshold meet in one. Every vector is indexed.
+until RECALL of sampled pairs at exactly the threshold meet in one. Where MOST_TABLES miss that (vectors about one
+direction), segments are narrowed: buckets grow, down to two bits where all meet. Every vector is indexed.
 
 Search: a vector enters each table under its segment and the values one bit away; two that differ in at most two bits
 of a segment meet. What meets is kept if the whole codes are near enough (a bound that nearly all sampled pairs at the
@@ -73,16 +74,21 @@ def fit(sample: np.ndarray, rows: int, threshold: float, seed: int = 0) -> Index
     toward -= (toward * at).sum(axis=1, keepdims=True) * at
     norm = np.linalg.norm(toward, axis=1, keepdims=True)
     moved = threshold * at + np.sqrt(1 - threshold**2) * np.divide(toward, norm, out=np.zeros_like(toward), where=norm > 1e-9)
-    planes, met, k = np.zeros((d, 0)), np.zeros(len(at), dtype=bool), 0
-    while k < MOST_TABLES:
-        while planes.shape[1] < (k + 1) * width:
-            r = axes @ rotation((sample - mean) @ axes, seed + planes.shape[1])
-            planes = np.concatenate([planes, r[:, : r.shape[1] // width * width]], axis=1)
-        k += 1
-        last = planes[:, (k - 1) * width : k * width]
-        met |= np.bitwise_count(_segments(at, mean, last, width, 1) ^ _segments(moved, mean, last, width, 1))[:, 0] <= 2
-        if met.mean() >= RECALL:
+    turned: list[np.ndarray] = []
+    while True:
+        planes, met, k, used = np.zeros((d, 0)), np.zeros(len(at), dtype=bool), 0, 0
+        while k < MOST_TABLES and (not k or met.mean() < RECALL):
+            while planes.shape[1] < (k + 1) * width:
+                if used == len(turned):
+                    turned.append(axes @ rotation((sample - mean) @ axes, seed + used))
+                r, used = turned[used], used + 1
+                planes = np.concatenate([planes, r[:, : r.shape[1] // width * width]], axis=1)
+            k += 1
+            last = planes[:, (k - 1) * width : k * width]
+            met |= np.bitwise_count(_segments(at, mean, last, width, 1) ^ _segments(moved, mean, last, width, 1))[:, 0] <= 2
+        if met.mean() >= RECALL or width <= 2:
             break
+        width = max(2, width - 3)
     apart = np.bitwise_count(_segments(at, mean, planes, width, k) ^ _segments(moved, mean, planes, width, k)).sum(axis=1)
     return Index(mean, planes[:, : k * width], width, k, int(np.ceil(np.quantile(apart, 0.9995))))
 

@@ -145,6 +145,23 @@ def test_embeddings(spark):
     assert all(got[i]["n_links"] == 0 and got[i][key] == i for i in range(100, 104))
 
 
+def test_embedding_tables_of_vectors_about_one_direction():
+    rng = np.random.default_rng(4)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    away = unit(rng.normal(size=(600, 64)))
+    away[:, 0] = 0
+    x = unit(np.sqrt(0.9) * np.eye(64)[0] + np.sqrt(0.1) * unit(away))
+    index = embeddings.fit(x, 1 << 25, 0.95)
+    toward = rng.normal(size=x.shape)
+    toward = unit(toward - (toward * x).sum(axis=1, keepdims=True) * x)
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * toward
+    met = (np.bitwise_count(index.segments(x) ^ index.segments(y)) <= 2).any(axis=1)
+    assert index.tables <= embeddings.MOST_TABLES and met.mean() > 0.98, met.mean()
+
+
 def test_bpe_equals_the_library(spark, docs, texts):
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(bpe.vocabulary_path())
