@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,14 +21,21 @@ WHITE = " \t\n\x0b\x0c\r"
 
 _made: dict[str, str] = {}
 
+#: Spark's switch for deleting a query's shuffle files as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, set here only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset, a local session gets
+    one of its own; a cluster has no folder that would do, so there it must be set."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = _made.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="checkpoint-")
-        _made[spark.sparkContext.applicationId] = found
-        spark.sparkContext.setCheckpointDir(found)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = _made.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="checkpoint-")
+        _made[context.applicationId] = found
+        context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -40,15 +48,31 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet under the shared folder and read it back: the lineage is cut and a lost executor costs nothing."""
+    """Write df as Parquet under the shared folder and read it back: the lineage is cut and a lost executor costs nothing.
+
+    The write's shuffle files go as soon as it has ended, the table when free() is called or the application ends.
+    """
     spark = df.sparkSession
     top = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
     if top not in _made:
         _made[top] = top
         atexit.register(_remove, spark, top)
     path = f"{top}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables that nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t.shared_path)
 
 
 def text_slices(batch: pa.RecordBatch, column: str, chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -133,7 +157,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"), F.col("u").alias("w"))
         small = small.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("w").alias("u"), "v"))).alias("e")).select("e.*").where("u > v").distinct()
-        now = table(small, "edges")
+        was, now = now, table(small, "edges")
+        free(was)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -1,41 +1,47 @@
 """Line dedup: an exact set-similarity join over lines, in DataFrame functions alone.
 
-A line is a \\n-separated piece of a text with MIN_WORDS words or more; its set is that of its lower-case words. A line
-goes if an earlier one (by id, then number) has a Jaccard similarity of at least 4/5, be that one removed or not.
+A line is a \\n-separated piece of a text with MIN_WORDS words or more; its set is that of its lower-case words, held as
+64-bit hashes. A line goes if an earlier one (by id, text hash, number) has a Jaccard similarity of at least 4/5, be
+that one removed or not. Words are told apart by those hashes alone: nothing else is inexact.
 
 1. Rarity: all words of all lines are counted in a table of 2^16 cells by hash. A word's place in the order that all
    sets share is (its cell's count on a log scale, hash): rare words first. Any fixed order gives right
    results; this one keeps prefixes rare.
 2. Lines of equal sets become one vertex, named by its first line.
 3. Prefix filter: similar sets share a word among the first n - ceil(4n/5) + 1. Vertices meet by those words. Length,
-   positional and bitmap filters (the parity of words in 64 cells differs in no more bits than the sets in words) are
-   conditions of the join. A left semi join keeps what has any possible partner: it gives a row at most for each it
-   reads, however many variants of one line there are.
-4. Verification: the sets of those lines are fetched from the texts, as 64-bit hashes of words, and
-   a wider bitmap of each joins its prefix words, so that few pairs but the similar ones come about. Each is first compared with the earliest vertex
-   it shares a word with; only what that leaves unmatched is joined with all that is earlier, so that variants of one
-   line do not meet each other in pairs.
-5. Line numbers to remove are gathered by document, and texts rebuilt.
-
-Edges: shorter and blank lines stay where they are; null texts stay null; rows with a null id stay as they are; rows
-that repeat an id are taken as one document: a line number that is removed for one is removed for each. Ids are
-compared as numbers. Extra columns are carried along. An empty table gives no rows.
+   positional and bitmap filters are conditions of the join (the parity of words in 64 cells, and in 128 for sets of
+   over SHORT words, differs in no more bits than the sets in words). A left semi join keeps what has any possible
+   partner: it gives a row at most for each it reads, however many variants of one line there are.
+4. Verification: the sets of those alone are fetched from the texts. Each vertex is first compared with the earliest
+   one it shares a word with; only what that leaves unmatched is joined with all that is earlier, so that variants of
+   one line do not meet each other in pairs.
+5. Line numbers to remove are gathered by text, and texts rebuilt.
+
+Joins of two sides that both grow with the input ask for a sort-merge join, so that plans and their growth are the
+same at every size. Tables are deleted as soon as what reads them is written.
+
+Edges: shorter and blank lines stay where they are; null texts stay null; rows with a null id stay as they are. Rows
+that share an id are told apart by their texts; equal rows count as one, and keep or lose a line alike. Ids are
+compared in the order of their own type. Extra columns are carried along, those named n_lines or n_removed replaced.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import gc
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from infotraj.llm.common import table
+from infotraj.llm.common import columns_free_of, free, table
 
 MIN_WORDS = 3
 CELLS = 1 << 16
-#: Longs of the bitmap that pairs are held against before their sets are fetched; a power of two.
-WIDE = 4
+#: Words up to which a set has a bitmap of 64 cells alone.
+SHORT = 64
+
+#: What names a line: its document's id, the hash of its text, the line's number.
+NAME = ("doc", "th", "no")
 
 
 def words_of(line: Column) -> Column:
@@ -58,36 +64,22 @@ def possible(x: str, y: str) -> Column:
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
     need = overlap(nx, ny)
     room = F.least(nx - F.col(f"{x}.pos"), ny - F.col(f"{y}.pos"))
-    return (5 * nx >= 4 * ny) & (5 * ny >= 4 * nx) & (F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity"))) <= nx + ny - 2 * need) & (room >= need)
-
-
-def likely(x: str, y: str) -> Column:
-    """possible(x, y), and the same bound on the wider bitmap."""
-    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    differ = sum((F.bit_count(F.col(f"{x}.wide")[i].bitwiseXOR(F.col(f"{y}.wide")[i])) for i in range(WIDE)), F.lit(0))
-    return possible(x, y) & (differ <= nx + ny - 2 * overlap(nx, ny))
-
+    folded, upper = (F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")) for c in ("parity", "upper"))
+    apart = F.when((nx > SHORT) & (ny > SHORT), F.bit_count(folded.bitwiseXOR(upper)) + F.bit_count(upper)).otherwise(F.bit_count(folded))
+    return (5 * nx >= 4 * ny) & (5 * ny >= 4 * nx) & (room >= need) & (apart <= nx + ny - 2 * need)
 
-def release(df: DataFrame) -> None:
-    """Let Spark delete the shuffle files of queries that are done: they go when the JVM collects their handles."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
 
-
-def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("no", "line"))
+def has_words(line: Column, least: int) -> Column:
+    """Whether a line has so many words: read no further than the last of them."""
+    return line.rlike(rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{least - 1}}}[^\x20\x09-\x0D]")
 
 
-def rarity(texts: DataFrame, text_col: str) -> Column:
-    """The log-scale count of each cell, an array constant."""
-    cell = F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1)).alias("cell")
-    words = words_of(F.replace(F.col(text_col).cast("string"), F.lit("\n"), F.lit(" ")))
-    counts = dict(texts.select(F.explode(words).alias("w")).where("w <> ''").groupBy(cell).count().collect())  # CELLS rows at most
-    return F.split(F.lit(",".join(str(int(3 * math.log2(1 + counts.get(c, 0)))) for c in range(CELLS))), ",").cast("array<int>")
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def hashes_of(line: Column) -> Column:
-    """A line's set as hashes of its words."""
+def set_of(line: Column) -> Column:
+    """A line's set as hashes of its distinct words."""
     return F.array_distinct(F.array_remove(F.transform(words_of(line), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
 
 
@@ -95,25 +87,35 @@ def codes_of(line: Column, classes: Column) -> Column:
     """A line's set as sorted numbers, in the order of rarity."""
 
     def code(h: Column) -> Column:
-        rare = F.coalesce(F.get(classes, h.bitwiseAND(F.lit(CELLS - 1)).cast("int")), F.lit(0))  # never null: the sort stays one of plain longs
-        return F.shiftleft(rare.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        rare = F.coalesce(F.get(classes, h.bitwiseAND(F.lit(CELLS - 1)).cast("int")), F.lit(0).cast("long"))  # never null: the sort stays one of plain longs
+        return rare.bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    return F.sort_array(F.transform(hashes_of(line), code))
+    return F.sort_array(F.transform(set_of(line), code))
 
 
-def wide_parity(hashes: Column) -> Column:
-    """The parity of a set's words in 64 * WIDE cells."""
+def parity_of(codes: Column, upper: bool = False) -> Column:
+    """The parity of a set's words in 64 cells; or, of 128 cells that fold into these, in the upper half."""
 
-    def part(i: int) -> Column:
-        mine = F.filter(hashes, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(WIDE - 1)) == i)
-        return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+    def bit(c: Column) -> Column:
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
+        return F.when(c.bitwiseAND(F.lit(64)) > 0, one).otherwise(F.lit(0).cast("long")) if upper else one
 
-    return F.array(*map(part, range(WIDE)))
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(bit(c)))
 
 
-def has_words(line: Column, least: int) -> Column:
-    """Whether a line has so many words: read no further than the last of them."""
-    return line.rlike(rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{least - 1}}}[^\x20\x09-\x0D]") if least > 0 else F.lit(True)
+def lines_of(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(doc, th, no, line) of each line that takes part."""
+    text = F.col(text_col).cast("string")
+    lines = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), text_hash(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("no", "line"))
+    return lines.where(has_words(F.col("line"), max(1, min_words)))
+
+
+def rarity(df: DataFrame, text_col: str) -> Column:
+    """The log-scale count of each cell, in the upper byte of an array constant's longs."""
+    cell = F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1)).alias("cell")
+    words = words_of(F.replace(F.col(text_col).cast("string"), F.lit("\n"), F.lit(" ")))
+    counts = dict(df.select(F.explode(words).alias("w")).where("w <> ''").groupBy(cell).count().collect())  # CELLS rows at most
+    return F.split(F.lit(",".join(str(int(3 * math.log2(1 + counts.get(c, 0))) << 56) for c in range(CELLS))), ",").cast("array<bigint>")
 
 
 def picked(text: Column, at: Column, make) -> Column:
@@ -121,71 +123,74 @@ def picked(text: Column, at: Column, make) -> Column:
     return F.get(F.transform(F.array(F.split(text, "\n")), lambda lines: make(lines, at)), 0)
 
 
-def entries_of(vertices: DataFrame, *more: str) -> DataFrame:
-    return vertices.select("doc", "no", "n", "parity", *more, F.posexplode("prefix").alias("pos", "token"))
-
-
 def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, no): the lines of df to remove."""
-    lines = lines_of(df, id_col, text_col).where(has_words(F.col("line"), max(1, min_words)))
-    sets = lines.select("doc", "no", codes_of(F.col("line"), rarity(df, text_col)).alias("codes"))
+    """(doc, th, no): the lines of df to remove, in a table."""
+    sets = lines_of(df, id_col, text_col, min_words).select(*NAME, codes_of(F.col("line"), rarity(df, text_col)).alias("codes"))
     n = F.size("codes")
-    parity = F.aggregate("codes", F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
+    upper = F.when(n > SHORT, parity_of(F.col("codes"), upper=True)).otherwise(F.lit(0).cast("long"))
     prefix = F.transform(F.slice("codes", F.lit(1), prefix_length(n)), lambda c: F.xxhash64(c).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    every = table(sets.select("doc", "no", F.xxhash64("codes").alias("h"), n.alias("n"), parity.alias("parity"), prefix.alias("prefix")), "lines")
-
-    first = every.groupBy("h", "n", "parity").agg(F.min(F.struct("doc", "no", "prefix")).alias("first"))
-    vertices = table(first.select("first.doc", "first.no", "h", "n", "parity", "first.prefix"), "vertices")
-    release(df)
-
-    before = (F.col("x.doc") < F.col("y.doc")) | ((F.col("x.doc") == F.col("y.doc")) & (F.col("x.no") < F.col("y.no")))
-    other = (F.col("x.doc") != F.col("y.doc")) | (F.col("x.no") != F.col("y.no"))
-    entries = entries_of(vertices)
-    paired = entries.alias("y").join(entries.alias("x"), (F.col("x.token") == F.col("y.token")) & other & possible("x", "y"), "left_semi")
-    chosen = table(paired.select("doc", "no").distinct(), "chosen")
-    release(df)
-
-    places = table(chosen.groupBy("doc").agg(F.collect_list("no").alias("at")), "places")  # a table: its size decides how it is joined
-    texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    told = picked(F.col("text"), F.col("at"), lambda lines, at: F.transform(at, lambda i: F.struct(i.alias("no"), F.get(lines, i).alias("line"))))
-    fetched = texts.join(places, "doc").select("doc", F.explode(told).alias("p")).where("p.line is not null")
-    held = fetched.select("doc", "p.no", hashes_of(F.col("p.line")).alias("set"))
-    held = table(held.select("doc", "no", wide_parity(F.col("set")).alias("wide"), "set"), "sets")
-    small = table(entries_of(vertices.join(held.select("doc", "no", "wide"), ["doc", "no"]), "wide"), "entries")
-    release(df)
+    lines = table(sets.select(*NAME, F.xxhash64("codes").alias("h"), n.alias("n"), parity_of(F.col("codes")).alias("parity"), upper.alias("upper"), prefix.alias("prefix")), "lines")
+
+    identity = ["h", "parity", "upper", "n"]  # equal sets agree in all of these, others in hardly any
+    first = lines.groupBy(*identity).agg(F.min(F.struct(*NAME, "prefix")).alias("first"), F.count("*").alias("many"))
+    vertices = table(first.select(*identity, "many", "first.*"), "vertices")
+    entries = vertices.select(*identity, F.posexplode("prefix").alias("pos", "token"))
+    other = (F.col("x.h") != F.col("y.h")) | (F.col("x.parity") != F.col("y.parity"))
+    paired = entries.alias("y").join(entries.alias("x").hint("merge"), (F.col("x.token") == F.col("y.token")) & other & possible("x", "y"), "left_semi")
+    chosen = table(paired.select(*identity).distinct(), "chosen")
+    candidates = table(vertices.join(chosen.hint("merge"), identity, "left_semi").select(*NAME, "n", "parity", "upper", "prefix"), "candidates")
+    free(chosen)
+
+    places = candidates.groupBy("doc", "th").agg(F.collect_list("no").alias("at"))
+    text = F.col(text_col).cast("string")
+    texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), text_hash(text).alias("th"), text.alias("text"))
+    told = picked(F.col("text"), F.col("at"), lambda all_lines, at: F.transform(at, lambda i: F.struct(i.alias("no"), F.get(all_lines, i).alias("line"))))
+    fetched = texts.join(places.hint("merge"), ["doc", "th"]).select("doc", "th", F.explode(told).alias("p"))
+    held = table(fetched.select("doc", "th", F.col("p.no").alias("no"), set_of(F.col("p.line")).alias("set")), "sets")
+    if held.count() > candidates.count():  # rows repeat
+        again, held = held, table(held.dropDuplicates(list(NAME)), "sets")
+        free(again)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The later vertex of each pair (doc, no, x_doc, x_no) that is similar indeed."""
-        pairs = table(pairs.distinct(), "pairs")
-        b = held.select(F.col("doc").alias("x_doc"), F.col("no").alias("x_no"), F.col("set").alias("b"))
-        both = F.size(F.array_intersect("set", "b"))
-        return pairs.join(held.select("doc", "no", "set"), ["doc", "no"]).join(b, ["x_doc", "x_no"]).where(5 * both >= 4 * (F.size("set") + F.size("b") - both)).select("doc", "no").distinct()
-
-    pair = [F.col("y.doc").alias("doc"), F.col("y.no").alias("no"), F.col("x.doc").alias("x_doc"), F.col("x.no").alias("x_no")]
-    leaders = small.groupBy("token").agg(F.min(F.struct("doc", "no", "n", "parity", "pos", "wide")).alias("x"))
-    led = small.join(leaders, "token").select(F.struct("doc", "no", "n", "parity", "pos", "wide").alias("y"), "x").where(before & likely("x", "y"))
-    matched = table(verified(led.select(pair)), "matched")
-    rest = small.join(matched, ["doc", "no"], "left_anti").alias("y")
-    pairs = rest.join(small.alias("x"), (F.col("x.token") == F.col("y.token")) & before & likely("x", "y"))
-    matched = matched.unionByName(table(verified(pairs.select(pair)), "matched"))
-    release(df)
-
-    fate = vertices.join(matched.withColumn("gone", F.lit(True)), ["doc", "no"], "left").select("h", "n", "parity", F.struct("doc", "no").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    return every.select("doc", "no", "h", "n", "parity").join(fate, ["h", "n", "parity"]).where(F.col("gone") | (F.struct("doc", "no") != F.col("first"))).select("doc", "no")
+        """The later vertex of each pair (y, x) that is similar indeed."""
+        named = pairs.select(*[F.col(f"{v}.{c}").alias(f"{v}_{c}") for v in "yx" for c in NAME]).distinct()
+        for v in "yx":
+            named = named.join(held.alias(v).hint("merge"), [F.col(f"{v}_{c}") == F.col(f"{v}.{c}") for c in NAME])
+        a, b = F.col("y.set"), F.col("x.set")
+        both = F.size(F.array_intersect(a, b))
+        return named.where(5 * both >= 4 * (F.size(a) + F.size(b) - both)).select(*[F.col(f"y_{c}").alias(c) for c in NAME]).distinct()
+
+    small = candidates.select(*NAME, "parity", "upper", "n", F.posexplode("prefix").alias("pos", "token"))
+    doc, th, no = ([F.col(f"{v}.{c}") for v in "xy"] for c in NAME)
+    before = (doc[0] < doc[1]) | ((doc[0] == doc[1]) & ((th[0] < th[1]) | ((th[0] == th[1]) & (no[0] < no[1]))))
+    leaders = small.groupBy("token").agg(F.min(F.struct(*NAME, "parity", "upper", "n", "pos")).alias("x"))
+    led = small.alias("y").join(leaders.select("token", "x.*").alias("x").hint("merge"), F.col("x.token") == F.col("y.token"))
+    matched = table(verified(led.where(possible("x", "y") & before)), "matched")
+    rest = small.join(matched.hint("merge"), list(NAME), "left_anti").alias("y")
+    pairs = rest.join(small.alias("x").hint("merge"), (F.col("x.token") == F.col("y.token")) & possible("x", "y") & before)
+    more = table(verified(pairs), "matched")
+    free(candidates, held)
+
+    gone = matched.unionByName(more).withColumn("gone", F.lit(True))
+    fate = vertices.select(*identity, "many", *NAME).join(gone.hint("merge"), list(NAME), "left")
+    fate = fate.where(F.col("gone") | (F.col("many") > 1)).select(*identity, "gone", F.struct(*NAME).alias("first"))
+    lost = lines.select(*NAME, *identity).join(fate.hint("merge"), identity).where(F.col("gone") | (F.struct(*NAME) != F.col("first"))).select(*NAME)
+    lost = table(lost, "lost")
+    free(lines, vertices, matched, more)
+    return lost
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """df with the similar lines taken out of its texts, and n_lines and n_removed added."""
-    gone = similar_lines(df, id_col, text_col, min_words).groupBy("doc").agg(F.collect_set("no").alias("__gone")).withColumnRenamed("doc", "__doc")
-    gone = table(gone, "gone")
-    release(df)
+    gone = similar_lines(df, id_col, text_col, min_words).groupBy("doc", "th").agg(F.collect_set("no").alias("__gone")).withColumnsRenamed({"doc": "__doc", "th": "__th"})
     whole = F.col(text_col).cast("string")
     kept = picked(whole, F.col("__gone"), lambda lines, cut: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), cut), lambda i: F.get(lines, i)), "\n"))
     text = F.when(F.col("__gone").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(kept)
-    out = df.join(gone, F.col(id_col).cast("long") == F.col("__doc"), "left")
+    out = columns_free_of(df, "n_lines", "n_removed")
+    out = out.join(gone.hint("merge"), (F.col(id_col) == F.col("__doc")) & (text_hash(F.col(text_col)) == F.col("__th")), "left")
     n_lines = F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1
     counted = out.withColumn("n_lines", F.coalesce(n_lines, F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    return counted.withColumn(text_col, text).drop("__gone", "__doc")
+    return counted.withColumn(text_col, text).drop("__gone", "__doc", "__th")
 
 
 def op6_linededup(spark, sf_dir: str) -> DataFrame:
