@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A Python worker takes texts in slices of about so many characters, whatever the Arrow batch holds.
@@ -75,6 +75,11 @@ def free(*tables: DataFrame) -> None:
         _remove(t.sparkSession, t.shared_path)
 
 
+def text_hash(text: Column) -> Column:
+    """What tells rows of one id apart: the hash of the text, a null one like an empty one."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def text_slices(batch: pa.RecordBatch, column: str, chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of a batch with about `chars` characters of text each (one text at least), null texts as empty ones."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -33,7 +33,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from infotraj.llm.common import columns_free_of, free, table
+from infotraj.llm.common import columns_free_of, free, table, text_hash
 
 MIN_WORDS = 3
 CELLS = 1 << 16
@@ -74,10 +74,6 @@ def has_words(line: Column, least: int) -> Column:
     return line.rlike(rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{least - 1}}}[^\x20\x09-\x0D]")
 
 
-def text_hash(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
-
-
 def set_of(line: Column) -> Column:
     """A line's set as hashes of its distinct words."""
     return F.array_distinct(F.array_remove(F.transform(words_of(line), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))

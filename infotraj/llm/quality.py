@@ -11,7 +11,8 @@ order of that hash. Features are made in parallel; the trainer sees indices and
 1 MB, are sent to every task. Scoring reads each text once.
 
 Edges: null texts are scored like empty ones; rows with a null id or label train nothing; without any label the score
-is 0.5; repeated labels of an id count each; extra columns are ignored.
+is 0.5; repeated labels of an id are averaged, and of rows that repeat a labelled id one (the least by its features)
+trains; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -115,11 +116,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The weights, bias last, learned from the texts of docs whose labels are 0 or 1 and usable (a condition on the labels' id)."""
     marked = labels.select(F.col(id_col).cast("long").alias("key"), F.col(label_col).cast("double").alias("y")).where("key is not null and y in (0, 1)")
     marked = marked.where(usable) if usable is not None else marked
+    marked = table(marked.groupBy("key").agg(F.avg("y").alias("y")), "labelled")
     share = min(1.0, SAMPLE / max(1, marked.count()))
     order = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
-    chosen = table(marked.withColumn("order", order).where(F.col("order") < int(share * (1 << 30))), "labelled")
-    if (n := chosen.count()) > 2 * SAMPLE + 100:  # repeats of few ids: the bound on what is sent out holds all the same
-        raise ValueError(f"{n} labels for {SAMPLE}: ids repeat in the labels")
+    chosen = marked.withColumn("order", order).where(F.col("order") < int(share * (1 << 30)))  # about SAMPLE distinct ids
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -139,7 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "key")
     made = texts.mapInArrow(features, "key long, order long, y double, i binary, v binary")
-    fitted = made.repartition(1).sortWithinPartitions("order", "key", "y", "i").mapInArrow(fit, "w binary").collect()  # one row of fixed size
+    made = made.groupBy("key", "order", "y").agg(F.min(F.struct("i", "v")).alias("f")).select("key", "order", "y", "f.*")
+    fitted = made.repartition(1).sortWithinPartitions("order", "key").mapInArrow(fit, "w binary").collect()  # one row of fixed size
     return np.frombuffer(fitted[0].w, np.float32) if fitted else np.zeros((1 << BITS) + 1, np.float32)
 
 

@@ -31,10 +31,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from infotraj.llm.common import components, forest, sorted_runs, table, text_slices
+from infotraj.llm.common import components, forest, free, sorted_runs, table, text_hash, text_slices
 
 #: Words of the SimHash that keep_one takes, the last two apart from the tables; recall of the tables at the least similarity.
 WORDS, RECALL = 10, 0.999
+#: Rows to remove up to which their names are sent to all executors instead of shuffling whole texts.
+FEW = 1 << 18
 
 
 def shingle_hashes(text: str, words: int, seed: int = 42) -> list[int]:
@@ -181,14 +183,17 @@ def most_bits(bits: int, similarity: float) -> int:
 
 
 def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, component): for each row the smallest id that links of sets of shingles at this Jaccard similarity reach."""
+    """(id, th, component): for each row the smallest id that links of sets of shingles at this Jaccard similarity reach.
+
+    th is the hash of its text.
+    """
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch, "text"):
                 sets = [distinct_shingles(x, words) for x in texts]
                 fp = wide_bits(np.concatenate(sets), np.fromiter(map(len, sets), np.int64, len(sets)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(list(map(set_hash, sets)), pa.int64()), pa.array([x.tobytes() for x in fp], pa.binary())], names=["id", "h", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), pa.array(list(map(set_hash, sets)), pa.int64()), pa.array([x.tobytes() for x in fp], pa.binary())], names=["id", "th", "h", "fp"])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,8 +201,8 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 sets = [distinct_shingles(x, words) for x in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(list(map(set_hash, sets)), pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["h", "set"])
 
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    rows = table(texts.mapInArrow(coded, "id long, h long, fp binary"), "wide-simhash")
+    texts = df.select(F.col(id_col).cast("long").alias("id"), text_hash(F.col(text_col)).alias("th"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    rows = table(texts.mapInArrow(coded, "id long, th long, h long, fp binary"), "wide-simhash")
     nodes = table(rows.groupBy("h").agg(F.min("id").alias("rep"), F.first("fp").alias("fp")), "wide-nodes")
     chosen = tables_for(nodes.count(), similarity)
     near, near_all = most_bits(128, similarity), most_bits(64 * WORDS, similarity)
@@ -275,7 +280,7 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     close = table(buckets(nodes.select("h", F.lit(0).cast("long").alias("label"), "fp")).mapInArrow(nearest, "u long, v long").distinct(), "close")
     ends = close.select(F.col("u").alias("h")).unionByName(close.select(F.col("v").alias("h"))).distinct()
     found = table(nodes.join(ends, "h"), "found")
-    sets = texts.join(found.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").mapInArrow(listed, "h long, set array<long>")
+    sets = texts.join(found.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi").select("text").mapInArrow(listed, "h long, set array<long>")
     sets = table(sets.dropDuplicates(["h"]), "shingle-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -300,14 +305,17 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     more = table(buckets(labelled).mapInArrow(across, "u long, v long").distinct().join(close, ["u", "v"], "left_anti"), "across")
     whole = components(linked.unionByName(verified(more))).select(F.col("node").alias("h"), F.col("component").alias("group"))
     groups = nodes.join(whole, "h", "left").select("h", "rep", F.coalesce("group", "h").alias("group"))
-    named = groups.join(groups.groupBy("group").agg(F.min("rep").alias("component")), "group").select("h", "component")
-    return rows.join(named, "h").select("id", "component")
+    named = table(groups.join(groups.groupBy("group").agg(F.min("rep").alias("component")), "group").select("h", "component"), "named")
+    free(nodes, close, found, sets, linked)
+    return rows.select("id", "th", "h").join(named, "h").select("id", "th", "component")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """df with, of each component of similar texts, the rows of its smallest id. Rows without an id stay."""
-    kept = similar_components(df, id_col, text_col, words, similarity).where("id = component").select(F.col("id").alias(id_col)).distinct()
-    return df.join(kept, id_col, "left_semi").unionByName(df.where(F.col(id_col).isNull())).select(df.columns)
+    """df without, of each component of similar texts, the rows of other ids than its smallest. Rows without an id stay."""
+    found = similar_components(df, id_col, text_col, words, similarity)
+    lost = table(found.where("id <> component").select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct(), "lost")
+    mine = (F.col(id_col).cast("long") == F.col("__id")) & (text_hash(F.col(text_col)) == F.col("__th"))
+    return df.join(F.broadcast(lost) if lost.count() <= FEW else lost.hint("merge"), mine, "left_anti")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
