@@ -4,9 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps,
 tokens. Each works on all that the one before kept. run() applies them to the table of documents, each stage's result
 a Parquet table in the shared folder.
 
-Nulls: a null text has no words; the classifier scores it like an empty one. Documents that the line stage empties go
+Each stage's table goes when the next one is written. Nulls: a null text has no words; the classifier scores it like an empty one. Documents that the line stage empties go
 with it; those that were empty before stay. The near-duplicate stage links documents whose sets of five-word shingles have
-a Jaccard similarity of 0.8 or more and keeps, of each group, the document with the smallest id. The mix repeats documents whose source is wanted more than once over.
+a Jaccard similarity of 0.8 or more and keeps, of each group, the document with the smallest id. The mix repeats
+documents whose source is wanted more than once over, and cuts the text that reaches a source's target.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from infotraj.llm import bpe, linededup, mixing, quality, simhash
-from infotraj.llm.common import table
+from infotraj.llm.common import free, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).select(docs.columns)
+    out = mixing.mix(docs)
+    return out.withColumn("n_chars", F.when(F.col("taken") < F.col("size"), F.length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +56,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = table(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            free(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
