@@ -59,14 +59,19 @@ def prefix_length(n: Column) -> Column:
     return (n - F.ceil(4 * n / 5) + 1).cast("int")
 
 
+def sized(n: Column, pos: Column) -> Column:
+    """A set's size and a word's place in it as one number: rows of the join stay narrow."""
+    return F.shiftleft(n.cast("long"), 32).bitwiseOR(pos.cast("long"))
+
+
 def possible(x: str, y: str) -> Column:
     """Whether rows x and y that share a prefix word can be similar: length, positional and bitmap filters."""
-    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    nx, ny = (F.shiftright(F.col(f"{v}.at"), 32) for v in (x, y))
+    px, py = (F.col(f"{v}.at").bitwiseAND(F.lit(0xFFFFFFFF)) for v in (x, y))
     need = overlap(nx, ny)
-    room = F.least(nx - F.col(f"{x}.pos"), ny - F.col(f"{y}.pos"))
     folded, upper = (F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")) for c in ("parity", "upper"))
     apart = F.when((nx > SHORT) & (ny > SHORT), F.bit_count(folded.bitwiseXOR(upper)) + F.bit_count(upper)).otherwise(F.bit_count(folded))
-    return (5 * nx >= 4 * ny) & (5 * ny >= 4 * nx) & (room >= need) & (apart <= nx + ny - 2 * need)
+    return (5 * nx >= 4 * ny) & (5 * ny >= 4 * nx) & (F.least(nx - px, ny - py) >= need) & (apart <= nx + ny - 2 * need)
 
 
 def has_words(line: Column, least: int) -> Column:
@@ -82,11 +87,12 @@ def set_of(line: Column) -> Column:
 def codes_of(line: Column, classes: Column) -> Column:
     """A line's set as sorted numbers, in the order of rarity."""
 
-    def code(h: Column) -> Column:
+    def code(w: Column) -> Column:
+        h = F.xxhash64(w)
         rare = F.coalesce(F.get(classes, h.bitwiseAND(F.lit(CELLS - 1)).cast("int")), F.lit(0).cast("long"))  # never null: the sort stays one of plain longs
         return rare.bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    return F.sort_array(F.transform(set_of(line), code))
+    return F.sort_array(F.array_distinct(F.array_remove(F.transform(words_of(line), code), code(F.lit("")))))
 
 
 def parity_of(codes: Column, upper: bool = False) -> Column:
@@ -107,10 +113,14 @@ def lines_of(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataF
 
 
 def rarity(df: DataFrame, text_col: str) -> Column:
-    """The log-scale count of each cell, in the upper byte of an array constant's longs."""
+    """The log-scale count of each cell, in the upper byte of an array constant's longs.
+
+    Only blanks and line ends part words here: a word beside other white space counts elsewhere, which moves it in the
+    order but loses nothing.
+    """
     cell = F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1)).alias("cell")
-    words = words_of(F.replace(F.col(text_col).cast("string"), F.lit("\n"), F.lit(" ")))
-    counts = dict(df.select(F.explode(words).alias("w")).where("w <> ''").groupBy(cell).count().collect())  # CELLS rows at most
+    words = F.split(F.lower(F.replace(F.col(text_col).cast("string"), F.lit("\n"), F.lit(" "))), " ")
+    counts = dict(df.select(F.explode(words).alias("w")).groupBy(cell).count().collect())  # CELLS rows at most
     return F.split(F.lit(",".join(str(int(3 * math.log2(1 + counts.get(c, 0))) << 56) for c in range(CELLS))), ",").cast("array<bigint>")
 
 
@@ -130,10 +140,10 @@ def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     identity = ["h", "parity", "upper", "n"]  # equal sets agree in all of these, others in hardly any
     first = lines.groupBy(*identity).agg(F.min(F.struct(*NAME, "prefix")).alias("first"), F.count("*").alias("many"))
     vertices = table(first.select(*identity, "many", "first.*"), "vertices")
-    entries = vertices.select(*identity, F.posexplode("prefix").alias("pos", "token"))
+    entries = vertices.select(*identity, F.posexplode("prefix").alias("pos", "token")).select("h", "parity", "upper", sized(F.col("n"), F.col("pos")).alias("at"), "token")
     other = (F.col("x.h") != F.col("y.h")) | (F.col("x.parity") != F.col("y.parity"))
     paired = entries.alias("y").join(entries.alias("x").hint("merge"), (F.col("x.token") == F.col("y.token")) & other & possible("x", "y"), "left_semi")
-    chosen = table(paired.select(*identity).distinct(), "chosen")
+    chosen = table(paired.select("h", "parity", "upper", F.shiftright("at", 32).cast("int").alias("n")).distinct(), "chosen")
     candidates = table(vertices.join(chosen.hint("merge"), identity, "left_semi").select(*NAME, "n", "parity", "upper", "prefix"), "candidates")
     free(chosen)
 
@@ -156,10 +166,10 @@ def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         both = F.size(F.array_intersect(a, b))
         return named.where(5 * both >= 4 * (F.size(a) + F.size(b) - both)).select(*[F.col(f"y_{c}").alias(c) for c in NAME]).distinct()
 
-    small = candidates.select(*NAME, "parity", "upper", "n", F.posexplode("prefix").alias("pos", "token"))
+    small = candidates.select(*NAME, "parity", "upper", "n", F.posexplode("prefix").alias("pos", "token")).select(*NAME, "parity", "upper", sized(F.col("n"), F.col("pos")).alias("at"), "token")
     doc, th, no = ([F.col(f"{v}.{c}") for v in "xy"] for c in NAME)
     before = (doc[0] < doc[1]) | ((doc[0] == doc[1]) & ((th[0] < th[1]) | ((th[0] == th[1]) & (no[0] < no[1]))))
-    leaders = small.groupBy("token").agg(F.min(F.struct(*NAME, "parity", "upper", "n", "pos")).alias("x"))
+    leaders = small.groupBy("token").agg(F.min(F.struct(*NAME, "parity", "upper", "at")).alias("x"))
     led = small.alias("y").join(leaders.select("token", "x.*").alias("x").hint("merge"), F.col("x.token") == F.col("y.token"))
     matched = table(verified(led.where(possible("x", "y") & before)), "matched")
     rest = small.join(matched.hint("merge"), list(NAME), "left_anti").alias("y")
