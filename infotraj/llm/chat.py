@@ -11,8 +11,8 @@ before, the turns whose node no earlier one holds. Places are counted in charact
 * start, the offset in the packed output, from running sums over blocks of conversations;
 * position, the offset a turn has in its own conversation: the position id of its first character;
 * attends, the intervals [from, to) of the packed output that its characters may attend to besides their own turn:
-  those of its ancestors, with adjoining ones merged. Turns emitted by one conversation adjoin, so a path has as many
-  intervals as conversations it borrows from.
+  those of its ancestors, in order. Turns emitted by one conversation adjoin and make one interval, so a path has as
+  many intervals as conversations it borrows from, and one more for its own.
 
 No conversation, first turn or tree is gathered as text: a task holds one conversation's node hashes, to sort by, and
 the read-back streams turns in order. A shared first turn is one key of pre-aggregated minima and of joins that

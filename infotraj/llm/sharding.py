@@ -7,8 +7,9 @@ probes' sums reach the driver. Then every row is dealt once.
 
 A group of equal texts that weighs over 1/SMALL of a shard would pull a splitter off its place. There are at most
 SMALL * shards of those; they are dealt first, the heaviest to the emptiest shard, and the splitters divide what is
-left of each shard. Only a group heavier than a whole shard is itself divided, by the hash of id, in
-proportion to the room left.
+left of each shard. Only a group heavier than a whole shard is itself divided: its rows are ordered by the hash of their
+id, and splitters found by the same counting fill the room left in each shard. So equal texts share a shard unless their
+group outweighs one, and rows equal in id and text always do, whatever they weigh.
 
 Slots count from 0 in each shard without gaps: rows are numbered inside blocks of a shard, and the blocks' exact
 counts give each block its offset, so no shard passes through one task.
@@ -77,7 +78,7 @@ def splitters(keyed: DataFrame, wanted: list[float], tolerance: float) -> list[i
 
 
 def deal_heavy(heavy: list[tuple[int, int]], total: int, shards: int) -> tuple[list[tuple[int, float, int]], list[float]]:
-    """(key, upper end of the id hash's share, shard) of heavy groups [(key, bytes)], and the room left in each shard."""
+    """(key, upper end of its part of the group's bytes, shard) of heavy groups [(key, bytes)], and the room left in each shard."""
     room, dealt = [total / shards] * shards, []
     for key, size in sorted(heavy, key=lambda x: (-x[1], x[0])):
         best = max(range(shards), key=lambda s: (room[s], -s))
@@ -107,6 +108,12 @@ def shard_documents(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text
     heavy = keyed.groupBy("key").agg(F.sum("size").alias("size")).where(F.col("size") > max(total, 1) / (shards * SMALL)).collect()  # at most shards * SMALL
     dealt, room = deal_heavy([(r.key, r.size) for r in heavy], total, shards)
     own = [r.key for r in heavy]
+    parts: dict[int, list[tuple[int, int]]] = {}
+    for r in heavy:
+        shares = [(end, s) for key, end, s in dealt if key == r.key]
+        ends = [end * r.size for end, _ in shares[:-1]]
+        cuts = splitters(keyed.where(F.col("key") == r.key).select(F.col("id").alias("key"), "size"), ends, tolerance * max(total, 1) / shards) if ends else []
+        parts[r.key] = list(zip([c - 1 for c in cuts] + [HIGH], [s for _, s in shares], strict=True))
     light = keyed.where(~F.col("key").isin(own)) if own else keyed
     rest, share = total - sum(r.size for r in heavy), sum(room) or 1
     found = splitters(light, [rest * x / share for x in np.cumsum(room)[:-1].tolist()], tolerance * max(total, 1) / shards)
@@ -116,10 +123,8 @@ def shard_documents(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text
         for s in found:
             out = out + (key >= F.lit(s)).cast("int")
         if dealt:
-            u = F.pmod(id_hash, F.lit(1 << 20)) / float(1 << 20)
-            parts = {k: [F.struct(F.lit(end).alias("end"), F.lit(s).alias("s")) for key, end, s in dealt if key == k] for k in own}
-            table_of = F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), F.array(*v))])
-            hit = F.filter(table_of[key], lambda p: u < p["end"])
+            table_of = F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), F.array(*[F.struct(F.lit(end).cast("long").alias("end"), F.lit(s).alias("s")) for end, s in v]))])
+            hit = F.filter(table_of[key], lambda p: id_hash <= p["end"])
             out = F.when(key.isin(own), hit[0]["s"]).otherwise(out)
         return out.cast("int")
 
