@@ -5,11 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from infotraj.operators.small import if_small
+from infotraj.operators.small import held, if_small, like
 
 #: By how much a range is extended, the least range and what it is widened by, and the difference of ranges that counts as none.
 DX, LEAST_RANGE, WIDEN, SAME_RANGE = 5e-9, 1e-4, 0.05, 0.1
@@ -65,7 +64,7 @@ def torsion_cuts(coords: DataFrame, reference_bins: int = REFERENCE_BINS) -> Dat
 
 def torsion_extents_optimized(coords: DataFrame, reference_bins: int = REFERENCE_BINS) -> DataFrame:
     """Extents of torsions after the turn that torsion_cuts finds."""
-    turn = torsion_cuts(coords, reference_bins).select("dof_type", "dof", "phase").persist(StorageLevel.MEMORY_AND_DISK)
+    turn = held(torsion_cuts(coords, reference_bins).select("dof_type", "dof", "phase"))
     t = coords.where(F.col("dof_type") == "torsion").join(if_small(turn), ["dof_type", "dof"])
     moved = (F.col("x") + F.col("phase")) % TWO_PI
     t = t.groupBy("dof_type", "dof", "phase").agg(F.min(moved).alias("lo"), F.max(moved).alias("hi"), F.avg("x").alias("raw"))
@@ -75,7 +74,7 @@ def torsion_extents_optimized(coords: DataFrame, reference_bins: int = REFERENCE
 def extents(coords: DataFrame, optimize: bool = True, reference_bins: int = REFERENCE_BINS) -> DataFrame:
     """The extents of all coordinates, kept: every later step needs them, and they are one row a degree of freedom."""
     torsions = torsion_extents_optimized(coords, reference_bins) if optimize else torsion_extents(coords)
-    return linear_extents(coords).unionByName(torsions).persist(StorageLevel.MEMORY_AND_DISK)
+    return held(linear_extents(coords).unionByName(torsions))
 
 
 def bins(coords: DataFrame, ext: DataFrame, schemes: Sequence[int]) -> DataFrame:
@@ -83,7 +82,7 @@ def bins(coords: DataFrame, ext: DataFrame, schemes: Sequence[int]) -> DataFrame
 
     A torsion is turned by its phase first. The join is a broadcast one while extents are few; no row is shuffled.
     """
-    joined = coords.join(if_small(ext.select("dof_type", "dof", "min", "max", "phase")), ["dof_type", "dof"])
+    joined = coords.join(if_small(like(ext.select("dof_type", "dof", "min", "max", "phase"), ext)), ["dof_type", "dof"])
     x = F.when(F.col("phase") != 0, (F.col("x") + F.col("phase")) % TWO_PI).otherwise(F.col("x"))
     plans = F.array(*[F.struct(F.lit(i).alias("scheme"), F.lit(n).alias("nbins")) for i, n in enumerate(schemes)])
     each = joined.select("dof_type", "dof", "frame", "min", "max", x.alias("x"), F.explode(plans).alias("s"))

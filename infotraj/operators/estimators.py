@@ -12,11 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from infotraj.operators.small import if_small
+from infotraj.operators.small import held, if_small
 
 ESTIMATORS = ("ML", "MM", "CS", "JS")
 
@@ -37,7 +36,7 @@ def geometry(ext: DataFrame, schemes: Sequence[int], jacobian: bool = True, kde:
     total = F.lit(0.0)
     if jacobian:
         total = F.aggregate(F.sequence(F.lit(0), F.col("nb") - 1), F.lit(0.0), lambda acc, i: acc + log_jacobian(F.col("dof_type"), F.col("min") + (i + 0.5) * F.col("w")))
-    return g.select("dof_type", "dof", "scheme", "min", "w", total.alias("all_lnj")).persist(StorageLevel.MEMORY_AND_DISK)
+    return held(g.select("dof_type", "dof", "scheme", "min", "w", total.alias("all_lnj")))
 
 
 def _estimate(cells: DataFrame, keys: list[str], step_size: int, estimators: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from infotraj.operators import discretize, estimators, kde, score
 from infotraj.operators.histogram import Steps, hist1d, hist2d, step_window
+from infotraj.operators.small import held, if_small
 from infotraj.plans import reports
 from infotraj.plans.config import Config
 from infotraj.sources import selection
@@ -64,8 +65,8 @@ class Run:
         types, pair_types = c.parts(c.workset)
         dofs = ext.select("dof_type", "dof").where(F.col("dof_type").isin(types))
         if c.usesubset:
-            dofs = dofs.join(F.broadcast(selection.read_subset(self.spark, c.subsetfile)), ["dof_type", "dof"], "left_semi")
-        bins = bins.join(discretize.if_small(dofs), ["dof_type", "dof"], "left_semi")
+            dofs = dofs.join(if_small(selection.read_subset(self.spark, c.subsetfile)), ["dof_type", "dof"], "left_semi")
+        bins = bins.join(if_small(dofs), ["dof_type", "dof"], "left_semi")
         geo = estimators.geometry(ext, self.schemes, c.jacobian and not c.kde, c.kde)
         one = self._write(hist1d(bins, steps), "hist1d")
         self._write(estimators.entropy1d(one, geo, steps.size, c.estimator, c.jacobian and not c.kde), "entropy1d")
@@ -90,7 +91,7 @@ class Run:
         if c.scoringmethod in ("MIST", "AMIST"):
             kinds.append(("MIST", self._write(score.spanning_tree(mi), "tree")))
         for name, edges in kinds:
-            rows = score.convergence(s1, mi, size, edges).persist()
+            rows = held(score.convergence(s1, mi, size, edges))
             for e in c.estimator:
                 for i, n in enumerate(self.schemes):
                     mine = (F.col("estimator") == e) & (F.col("scheme") == i)

@@ -5,13 +5,14 @@ The SQL counts over dense grids of all bins; the engine does not build those.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import cached_property, partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from infotraj.operators import discretize, estimators, kde, score
-from infotraj.operators.histogram import Steps, hist1d, hist2d, step_window
+from infotraj.operators.histogram import Steps, hist1d, hist2d, hist2d_frames, step_window
+from infotraj.operators.small import held, if_small, is_local, like
 from infotraj.sources import selection
 from infotraj.sources.trajectory import TYPES, from_embeddings, from_events
 
@@ -30,25 +31,36 @@ class Plan:
         self.coords = self.t.coords if set(types) == set(TYPES) else self.t.coords.where(F.col("dof_type").isin(*types))
         self.steps = Steps(self.t.n_frames, NSTEPS, start, stride)
         self.ext = discretize.extents(self.coords)
-        self.bins = discretize.bins(self.coords, self.ext, self.schemes)
+
+    @cached_property
+    def bins(self) -> DataFrame:
+        return discretize.bins(self.coords, self.ext, self.schemes)
 
     def hist1d(self) -> DataFrame:
         return hist1d(self.bins, self.steps)
 
     def pairs(self, pair_types=tuple(selection.PAIR_TYPES)) -> DataFrame:
-        return selection.all_pairs(self.ext.select("dof_type", "dof"), pair_types)
+        return selection.known_pairs(like(self.ext.select("dof_type", "dof"), self.ext), pair_types)
 
     def hist2d(self, form: str = "auto", pair_types=tuple(selection.PAIR_TYPES)) -> DataFrame:
-        return hist2d(self.bins, self.pairs(pair_types), self.steps, form)
+        pairs = self.pairs(pair_types)
+        if form != "join" and is_local(pairs):
+            return hist2d_frames(self.t.wide, self.ext, self.schemes, pairs, self.steps)
+        return hist2d(self.bins, pairs, self.steps, form)
 
     def entropy1d(self, est=estimators.ESTIMATORS, jacobian: bool = True) -> DataFrame:
         return estimators.entropy1d(self.hist1d(), estimators.geometry(self.ext, self.schemes, jacobian), self.steps.size, est, jacobian)
 
+    def scored(self, est=("ML",), pair_types=tuple(selection.PAIR_TYPES)) -> tuple[DataFrame, DataFrame]:
+        """Entropies of coordinates and informations of pairs, each computed once."""
+        s1 = held(self.entropy1d(est))
+        return s1, held(score.mutual_information(s1, self.entropy2d(est, pair_types)))
+
     def entropy2d(self, est=estimators.ESTIMATORS, pair_types=tuple(selection.PAIR_TYPES), strict_math: bool = False) -> DataFrame:
         return estimators.entropy2d(self.hist2d(pair_types=pair_types), estimators.geometry(self.ext, self.schemes), self.steps.size, est, strict_math=strict_math)
 
     def mi(self, est=("ML",), pair_types=tuple(selection.PAIR_TYPES)) -> DataFrame:
-        return score.mutual_information(self.entropy1d(est), self.entropy2d(est, pair_types))
+        return score.mutual_information(held(self.entropy1d(est)), self.entropy2d(est, pair_types))
 
 
 def q_extents(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +72,7 @@ def q_extents(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_bins(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     c = from_embeddings(spark, sf_dir).coords.where(F.col("dof_type") == kind)
     ext = discretize.torsion_extents(c) if kind == "torsion" else discretize.linear_extents(c)
-    return discretize.bins(c, ext.persist(), [NBINS]).select("dof", "frame", "bin")
+    return discretize.bins(c, held(ext), [NBINS]).select("dof", "frame", "bin")
 
 
 def q_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +101,7 @@ def q_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Plan(spark, sf_dir)
-    p.bins = p.bins.join(F.broadcast(p.ext.where("dof % 2 = 0").select("dof_type", "dof")), ["dof_type", "dof"], "left_semi")
+    p.bins = p.bins.join(if_small(like(p.ext.where("dof % 2 = 0").select("dof_type", "dof"), p.ext)), ["dof_type", "dof"], "left_semi")
     return rounded(p.entropy1d(["ML"]).select("dof_type", "dof", "step", "s"), "s")
 
 
@@ -104,8 +116,7 @@ def q_mi(pair_type: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_mie(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Plan(spark, sf_dir)
-    s1 = p.entropy1d(["ML"])
-    mi = score.mutual_information(s1, p.entropy2d(["ML"]))
+    s1, mi = p.scored()
     out = score.convergence(s1, mi, p.steps.size).drop("estimator", "scheme")
     return rounded(out, *[c for c in out.columns if c not in ("step", "TIME")])
 
@@ -121,7 +132,7 @@ def q_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = from_events(spark, sf_dir)
-    ext = discretize.linear_extents(t.coords).persist()
+    ext = held(discretize.linear_extents(t.coords))
     return hist1d(discretize.bins(t.coords, ext, [NBINS]), Steps(t.n_frames, NSTEPS)).select("bin", "step", "cnt")
 
 
@@ -133,8 +144,7 @@ def q_shuffled(per_dof: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mist(spark: SparkSession, sf_dir: str) -> tuple[Plan, DataFrame, DataFrame, DataFrame]:
     p = Plan(spark, sf_dir)
-    s1 = p.entropy1d(["ML"])
-    mi = score.mutual_information(s1, p.entropy2d(["ML"]))
+    s1, mi = p.scored()
     return p, s1, mi, score.spanning_tree(mi)
 
 
@@ -149,7 +159,7 @@ def q_mist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _kde(spark: SparkSession, sf_dir: str) -> tuple:
     t = from_embeddings(spark, sf_dir)
-    return t, kde.torsion_minima(kde.density(t.coords, t.n_frames), 3).persist()
+    return t, held(kde.torsion_minima(kde.density(t.coords, t.n_frames), 3))
 
 
 def q_kde_minima(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,12 @@ key the first counts.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from infotraj.operators.small import MAX_BROADCAST_ROWS, is_local, like
 from infotraj.sources.trajectory import TYPES
 
 #: The name of each pair type, its record name in neighbour files and its two types.
@@ -74,6 +77,29 @@ def all_pairs(dofs: DataFrame, pair_types=tuple(PAIR_TYPES), max_apart: int | No
     return out
 
 
+def known_pairs(dofs: DataFrame, pair_types=tuple(PAIR_TYPES), max_apart: int | None = None, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """all_pairs of dofs that the driver holds, as a local table too if there are at most max_rows pairs."""
+    if not is_local(dofs):
+        return all_pairs(dofs, pair_types, max_apart)
+    found = dofs.select("dof_type", "dof").toArrow().to_pydict()
+    by = {t: np.unique([d for k, d in zip(*found.values(), strict=True) if k == t]) for t in TYPES}
+    if sum(len(by[a]) * len(by[b]) for _, a, b in map(PAIR_TYPES.get, pair_types)) > max_rows:
+        return all_pairs(dofs, pair_types, max_apart)
+    cols: list[list] = [[], [], [], [], []]
+    for name in pair_types:
+        _, a, b = PAIR_TYPES[name]
+        x, y = np.repeat(by[a], len(by[b])), np.tile(by[b], len(by[a]))
+        keep = (x < y) if a == b else np.ones(len(x), dtype=bool)
+        if max_apart is not None:
+            keep &= np.abs(x - y) <= max_apart
+        n = int(keep.sum())
+        for c, v in zip(cols, ([name] * n, [a] * n, x[keep].tolist(), [b] * n, y[keep].tolist()), strict=True):
+            c += v
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32())
+    table = pa.table({n: pa.array(c, k) for n, c, k in zip(("pair_type", "t1", "d1", "t2", "d2"), cols, kinds, strict=True)})
+    return like(dofs.sparkSession.createDataFrame(table), dofs)
+
+
 def within(pairs: DataFrame, subset: DataFrame) -> DataFrame:
     """The pairs of which both ends are in the subset."""
     one = subset.select(F.col("dof_type").alias("t1"), F.col("dof").alias("d1"))

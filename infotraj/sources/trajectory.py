@@ -17,11 +17,12 @@ TWO_PI = 2 * math.pi
 class Trajectory:
     """coords(dof_type, dof int, frame long, x double); frames are numbered 0 to n_frames - 1.
 
-    Coordinates that are null or no number are left out.
+    Coordinates that are null or no number are left out. wide holds the same as a row of arrays for each frame.
     """
 
     coords: DataFrame
     n_frames: int
+    wide: DataFrame | None = None
 
     def block(self, dof_type: str, first_dof: int, n_dofs: int, first_frame: int = 0, n_frames: int | None = None) -> DataFrame:
         """The coordinates of some successive degrees of freedom in some successive frames."""
@@ -50,7 +51,7 @@ def from_wide(df: DataFrame) -> Trajectory:
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return Trajectory(_clean(every.select("dof_type", "dof", "frame", F.col("x").cast("double").alias("x"))), _frames(df))
+    return Trajectory(_clean(every.select("dof_type", "dof", "frame", F.col("x").cast("double").alias("x"))), _frames(df), df.select(F.col("frame").cast("long").alias("frame"), *[F.col(t).cast("array<double>").alias(t) for t in TYPES if t in df.columns]))
 
 
 def read_wide(spark: SparkSession, paths: str | Sequence[str]) -> Trajectory:
