@@ -90,8 +90,8 @@ def bins(coords: DataFrame, ext: DataFrame, schemes: Sequence[int]) -> DataFrame
     return each.select("dof_type", "dof", "frame", "s.scheme", "s.nbins", F.least(place, F.col("s.nbins") - 1).cast("int").alias("bin"))
 
 
-def shuffled_frames(df: DataFrame, seed: int, per_dof: bool = False) -> DataFrame:
-    """Frames of (dof_type, dof, frame, ...) permuted: one permutation for all, or one for each degree of freedom.
+def permutation(df: DataFrame, seed: int, per_dof: bool = False) -> DataFrame:
+    """(frame, to), or (dof_type, dof, frame, to), of the frames of (dof_type, dof, frame, ...).
 
     A permutation sorts frames by a seeded hash. Its ranks are counted within 4,096 ranges of the hash and offset by
     the sizes of the ranges below, so that no task holds all frames.
@@ -102,5 +102,15 @@ def shuffled_frames(df: DataFrame, seed: int, per_dof: bool = False) -> DataFram
     ranked = frames.withColumn("k", F.row_number().over(Window.partitionBy(*keys, "part").orderBy("h", "frame")))
     sizes = ranked.groupBy(*keys, "part").agg(F.max("k").alias("size"))
     below = sizes.select(*keys, "part", (F.sum("size").over(Window.partitionBy(*keys).orderBy("part")) - F.col("size")).alias("off"))
-    to = ranked.join(below, [*keys, "part"]).select(*keys, "frame", (F.col("off") + F.col("k") - 1).cast("long").alias("to"))
-    return df.join(to, [*keys, "frame"]).drop("frame").withColumnRenamed("to", "frame").select(df.columns)
+    return ranked.join(below, [*keys, "part"]).select(*keys, "frame", (F.col("off") + F.col("k") - 1).cast("long").alias("to"))
+
+
+def permuted(df: DataFrame, to: DataFrame) -> DataFrame:
+    """df with its frames renumbered by a permutation."""
+    keys = [c for c in to.columns if c != "to"]
+    return df.join(to, keys).drop("frame").withColumnRenamed("to", "frame").select(df.columns)
+
+
+def shuffled_frames(df: DataFrame, seed: int, per_dof: bool = False) -> DataFrame:
+    """Frames of (dof_type, dof, frame, ...) permuted: one permutation for all, or one for each degree of freedom."""
+    return permuted(df, permutation(df, seed, per_dof))

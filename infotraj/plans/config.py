@@ -51,6 +51,12 @@ class Config:
     estimator: list[str] = field(default_factory=lambda: ["MM"])
     startframe: int = 0
     strideframe: int = 1
+    nframe: int = 0
+    inputframes: list[int] = field(default_factory=list)
+    nbond: int = 0
+    nangle: int = 0
+    ndihed: int = 0
+    infofile: str = "progress.info"
     reportfileext: str = "csv"
     strict_math: bool = False
 
@@ -66,6 +72,8 @@ class Config:
         for name in (*self.workset, *self.writeset):
             if name.upper() not in WORKSETS:
                 raise ValueError(f"workset {name}")
+        if min(self.nframe, self.nbond, self.nangle, self.ndihed, *self.inputframes, 0) < 0:
+            raise ValueError("a count is negative")
         if self.nsteps < 1 or self.strideframe < 1 or self.startframe < 0 or not all(1 <= n <= 255 for n in self.nbins):
             raise ValueError("nsteps, strideframe, startframe or nbins out of range")
 
@@ -81,8 +89,16 @@ class Config:
         return [t for t in ("bond", "angle", "torsion") if t in types and (not self.kde or t == "torsion")], pairs
 
 
-#: The sections of an INI file.
-SECTIONS = ("control", "discretization", "histogram", "vonmiseskde", "entropy")
+#: The sections of an INI file and their keys.
+SECTIONS = {
+    "control": "infilepath outfilepath infofile nsteps discretize calcentropy genconvgdata cachedscrtdimspercpu cacheentcdimspercpu dscrinfofreq entcinfofreq",
+    "discretization": "fname nframe nbond nangle ndihed shuffleframes shuffledofs randseed optimizedih pdfmethod",
+    "histogram": "nbins referencenbins writefreq writeset writestepstart writestepstride",
+    "vonmiseskde": "nmaxconf kappa sdosteps sdoiterations sdoconvlimit writefreq writeset writestepstart writestepstride",
+    "entropy": "workset usesubset useneighbor subsetfile neighborfile jacobian scoringmethod estimator startframe strideframe nframe shuffleblocks shuffleblocktimes reportfileext strict_math",
+}
+#: Keys of one section whose names another one has too.
+RENAMED = {("discretization", "nframe"): "inputframes"}
 
 
 def _value(kind: str, text: str):
@@ -95,10 +111,18 @@ def _value(kind: str, text: str):
 
 
 def parse(text: str) -> Config:
-    """From INI text. A histogram or vonmiseskde section counts if it is that of the method; unknown keys are ignored."""
+    """From INI text. A histogram or vonmiseskde section counts if it is that of the method.
+
+    Keys that steer caches, progress counts or shuffled blocks are known but change nothing here; unknown sections and
+    keys are refused. discretization.nframe is the frames to take of each input file, entropy.nframe those of all
+    frames that entropies look at, counted before start and stride.
+    """
     ini = configparser.ConfigParser(inline_comment_prefixes=("#", ";"), strict=False, interpolation=None)
     ini.read_string(text)
     found = {(s.lower(), k.lower()): v for s in ini.sections() for k, v in ini[s].items()}
+    strange = [f"{s}.{k}" for s, k in found if k not in SECTIONS.get(s, "").split()]
+    if strange or (strange := [s for s in ini.sections() if s.lower() not in SECTIONS]):
+        raise ValueError(f"unknown settings: {', '.join(strange)}")
     method = found.get(("discretization", "pdfmethod"), "histogram").strip().lower()
     kinds = {f.name: str(f.type) for f in fields(Config)}
     given = {}
@@ -106,6 +130,7 @@ def parse(text: str) -> Config:
         if section in ("histogram", "vonmiseskde") and section != method:
             continue
         for (s, key), value in found.items():
-            if s == section and key in kinds and value.strip():
-                given[key] = _value(kinds[key], value)
+            name = RENAMED.get((s, key), key)
+            if s == section and name in kinds and value.strip():
+                given[name] = _value(kinds[name], value)
     return Config(**given)

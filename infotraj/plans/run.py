@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from infotraj.sources.trajectory import Trajectory, read_wide
 class Run:
     """A run's tables lie in the config's outfilepath: bins, extents, minima, hist1d, hist2d, entropy1d, entropy2d and reports.
 
+    Histograms are written if writefreq is set, of the coordinates and pairs of writeset and the steps of the window.
+    Shuffled frames leave their permutation as a table shuffled. Reports and the progress file are single text files.
     Tables that exist are not overwritten unless overwrite is set.
     """
 
@@ -24,7 +28,10 @@ class Run:
         self.spark, self.config, self.mode = spark, config, "overwrite" if overwrite else "errorifexists"
         if trajectory is None and config.discretize:
             trajectory = read_wide(spark, [f"{config.infilepath}/{n}" if config.infilepath else n for n in config.fname])
-        self.trajectory = trajectory
+        if trajectory is not None:
+            trajectory = trajectory.limited(sum(config.inputframes)) if config.inputframes else trajectory
+            trajectory.expect({"bond": config.nbond, "angle": config.nangle, "torsion": config.ndihed})
+        self.trajectory, self.took = trajectory, []
 
     def path(self, name: str) -> str:
         return f"{self.config.outfilepath}/{name}"
@@ -51,14 +58,19 @@ class Run:
             ext = discretize.extents(coords, c.optimizedih, c.referencenbins)
             out = discretize.bins(coords, ext, c.nbins)
         if c.shuffleframes or c.shuffledofs:
-            out = discretize.shuffled_frames(out, c.randseed + 1000, per_dof=c.shuffledofs)
+            to = self._write(discretize.permutation(out, c.randseed + 1000, per_dof=c.shuffledofs), "shuffled")
+            out = discretize.permuted(out, to)
         self._write(ext, "extents")
         self._write(out, "bins", "dof_type")
         self._write(self.spark.createDataFrame([(t.n_frames,)], "n_frames long"), "frames")
 
     def steps(self) -> Steps:
         c = self.config
-        return Steps(self._read("frames").first()[0], c.nsteps, c.startframe, c.strideframe)
+        every = self._read("frames").first()[0]
+        return Steps(min(c.nframe or every, every), c.nsteps, c.startframe, c.strideframe)
+
+    def _window(self, hist: DataFrame) -> DataFrame:
+        return step_window(hist, min(self.config.writestepstart, self.config.nsteps - 1), self.config.writestepstride)
 
     def entropies(self) -> None:
         c, bins, ext, steps = self.config, self._read("bins"), self._read("extents"), self.steps()
@@ -68,17 +80,18 @@ class Run:
             dofs = dofs.join(if_small(selection.read_subset(self.spark, c.subsetfile)), ["dof_type", "dof"], "left_semi")
         bins = bins.join(if_small(dofs), ["dof_type", "dof"], "left_semi")
         geo = estimators.geometry(ext, self.schemes, c.jacobian and not c.kde, c.kde)
-        one = self._write(hist1d(bins, steps), "hist1d")
+        one, (write_types, write_pairs) = hist1d(bins, steps), c.parts(c.writeset)
+        if c.writefreq:
+            one = self._write(one, "hist1d_all")
+            self._write(self._window(one.where(F.col("dof_type").isin(write_types))), "hist1d")
         self._write(estimators.entropy1d(one, geo, steps.size, c.estimator, c.jacobian and not c.kde), "entropy1d")
         if not pair_types:
             return
         pairs = selection.read_neighbors(self.spark, c.neighborfile).where(F.col("pair_type").isin(pair_types)) if c.useneighbor else selection.all_pairs(dofs, pair_types)
         two = hist2d(bins, selection.within(pairs, dofs), steps)
         if c.writefreq:
-            first = min(c.writestepstart, c.nsteps - 1)
             two = self._write(two, "hist2d_all")
-            wanted = c.parts(c.writeset)[1]
-            self._write(step_window(two.where(F.col("pair_type").isin(wanted)), first, c.writestepstride), "hist2d")
+            self._write(self._window(two.where(F.col("pair_type").isin(write_pairs))), "hist2d")
         self._write(estimators.entropy2d(two, geo, steps.size, c.estimator, c.jacobian and not c.kde, c.strict_math), "entropy2d")
 
     def report(self) -> None:
@@ -103,9 +116,10 @@ class Run:
             reports.write_minima(self._read("minima"), self.path("vmkde_torsions_minimas.out"))
 
     def __call__(self) -> None:
-        if self.config.discretize:
-            self.discretise()
-        if self.config.calcentropy:
-            self.entropies()
-        if self.config.genconvgdata:
-            self.report()
+        c = self.config
+        for wanted, name, stage in ((c.discretize, "discretise", self.discretise), (c.calcentropy, "entropies", self.entropies), (c.genconvgdata, "reports", self.report)):
+            if wanted:
+                began = time.monotonic()
+                stage()
+                self.took.append(f"{name:<12}{time.monotonic() - began:12.3f} s")
+        reports.write_file(self.spark, self.path(c.infofile), self.took)

@@ -26,10 +26,10 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 class Plan:
     """The usual chain over one folder's trajectory; each link is built when it is asked for."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, schemes=(NBINS,), start: int = 0, stride: int = 1, types=TYPES):
+    def __init__(self, spark: SparkSession, sf_dir: str, schemes=(NBINS,), start: int = 0, stride: int = 1, types=TYPES, n_frames: int | None = None):
         self.t, self.schemes = from_embeddings(spark, sf_dir), list(schemes)
         self.coords = self.t.coords if set(types) == set(TYPES) else self.t.coords.where(F.col("dof_type").isin(*types))
-        self.steps = Steps(self.t.n_frames, NSTEPS, start, stride)
+        self.steps = Steps(min(n_frames or self.t.n_frames, self.t.n_frames), NSTEPS, start, stride)
         self.ext = discretize.extents(self.coords)
 
     @cached_property
@@ -99,6 +99,10 @@ def q_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Plan(spark, sf_dir, start=10, stride=3).hist1d().drop("scheme", "nbins")
 
 
+def q_frame_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Plan(spark, sf_dir, start=7, stride=2, n_frames=301).hist1d().drop("scheme", "nbins")
+
+
 def q_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Plan(spark, sf_dir)
     p.bins = p.bins.join(if_small(like(p.ext.where("dof % 2 = 0").select("dof_type", "dof"), p.ext)), ["dof_type", "dof"], "left_semi")
@@ -186,7 +190,7 @@ QUERIES |= {f"entropy1d_{e.lower()}": partial(q_entropy1d, e, True) for e in est
 QUERIES |= {"entropy1d_nojac": partial(q_entropy1d, "ML", False)}
 QUERIES |= {f"entropy2d_{e.lower()}": partial(q_entropy2d, e, False) for e in estimators.ESTIMATORS}
 QUERIES |= {f"entropy2d_{e.lower()}_strict": partial(q_entropy2d, e, True) for e in ("CS", "JS")}
-QUERIES |= {"frame_stride_hist": q_stride, "subset_entropy": q_subset, "neighbor_pairs": q_neighbors}
+QUERIES |= {"frame_stride_hist": q_stride, "frame_limit_hist": q_frame_limit, "subset_entropy": q_subset, "neighbor_pairs": q_neighbors}
 QUERIES |= {f"mi_{k.lower()}": partial(q_mi, k) for k in selection.PAIR_TYPES}
 QUERIES |= {"mie_convergence": q_mie, "multi_scheme_entropy": q_schemes, "hist_step_window": q_window, "events_histogram": q_events}
 QUERIES |= {"shuffled_frames": partial(q_shuffled, False), "shuffled_dofs": partial(q_shuffled, True)}
@@ -222,8 +226,8 @@ def _bins(ext: str, schemes=(NBINS,)) -> str:
 bins AS (SELECT dof_type, dof, frame, scheme, nb, least(floor((CASE WHEN phase <> 0 THEN (x + phase) % {_TP} ELSE x END - mn) / ((mx - mn) / nb)), nb - 1)::INT AS bin FROM coords JOIN {ext} USING (dof_type, dof), plans)"""
 
 
-def _steps(start: int = 0, stride: int = 1) -> str:
-    return f"""size AS (SELECT ((n - {start} + {stride - 1}) // {stride}) // {NSTEPS} AS size FROM total),
+def _steps(start: int = 0, stride: int = 1, most: int = 1 << 62) -> str:
+    return f"""size AS (SELECT ((least(n, {most}) - {start} + {stride - 1}) // {stride}) // {NSTEPS} AS size FROM total),
 b AS (SELECT * FROM (SELECT *, ((frame - {start}) // {stride}) // size AS step FROM bins, size WHERE frame >= {start} AND (frame - {start}) % {stride} = 0) WHERE step < {NSTEPS}),
 ks AS (SELECT unnest(range({NSTEPS}))::INT AS k)"""
 
@@ -299,6 +303,7 @@ ORACLES["entropy1d_nojac"] = f"{_BASE}, {_s1('ML', False)} SELECT dof_type, dof,
 ORACLES |= {f"entropy2d_{e.lower()}": f"{_BASE},\n{_H2},\n{_s2(e)} SELECT pair_type, d1, d2, step, {_R.format('s', 's')} FROM s2" for e in estimators.ESTIMATORS}
 ORACLES |= {f"entropy2d_{e.lower()}_strict": f"{_BASE},\n{_H2},\n{_s2(e, True)} SELECT pair_type, d1, d2, step, {_R.format('s', 's')} FROM s2" for e in ("CS", "JS")}
 ORACLES["frame_stride_hist"] = f"WITH {_EXT},\n{_bins('ext')},\n{_steps(10, 3)},\n{_H1} SELECT dof_type, dof, bin, step, cnt FROM h1"
+ORACLES["frame_limit_hist"] = f"WITH {_EXT},\n{_bins('ext')},\n{_steps(7, 2, 301)},\n{_H1} SELECT dof_type, dof, bin, step, cnt FROM h1"
 ORACLES["subset_entropy"] = f"{_BASE}, {_s1('ML')} SELECT dof_type, dof, step, {_R.format('s', 's')} FROM s1 WHERE dof % 2 = 0"
 ORACLES["neighbor_pairs"] = f"WITH {_EXT}, {_PAIRS} SELECT * FROM pairs WHERE abs(d1 - d2) <= 3"
 ORACLES |= {f"mi_{k.lower()}": f"{_chain('MM')} SELECT pair_type, d1, d2, step, {_R.format('mi', 'mi')} FROM m WHERE pair_type = '{k}'" for k in selection.PAIR_TYPES}

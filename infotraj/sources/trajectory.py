@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 
 TYPES = ("bond", "angle", "torsion")
 TWO_PI = 2 * math.pi
+#: Columns that tell a run's tables.
+KINDS = {
+    "hist2d": {"pair_type", "b1", "b2", "step", "cnt"}, "hist1d": {"dof_type", "bin", "step", "cnt"}, "bins": {"dof_type", "frame", "bin"},
+    "entropy2d": {"pair_type", "step", "s"}, "entropy1d": {"dof_type", "step", "s"},
+}
 
 
 @dataclass(frozen=True)
@@ -24,6 +29,18 @@ class Trajectory:
     n_frames: int
     wide: DataFrame | None = None
 
+    def limited(self, n_frames: int) -> Trajectory:
+        """The first so many frames."""
+        n = min(n_frames, self.n_frames)
+        return Trajectory(self.coords.where(F.col("frame") < n), n, None if self.wide is None else self.wide.where(F.col("frame") < n))
+
+    def expect(self, counts: dict[str, int]) -> None:
+        """Refuse a trajectory that has other numbers of coordinates than these; 0 stands for any."""
+        if wanted := {t: n for t, n in counts.items() if n}:
+            got = {r.dof_type: r.n for r in self.coords.where(F.col("dof_type").isin(list(wanted))).groupBy("dof_type").agg((F.max("dof") + 1).alias("n")).collect()}
+            if any(got.get(t, 0) != n for t, n in wanted.items()):
+                raise ValueError(f"coordinates expected {wanted}, found {got}")
+
     def block(self, dof_type: str, first_dof: int, n_dofs: int, first_frame: int = 0, n_frames: int | None = None) -> DataFrame:
         """The coordinates of some successive degrees of freedom in some successive frames."""
         last = self.n_frames if n_frames is None else first_frame + n_frames
@@ -58,6 +75,26 @@ def read_wide(spark: SparkSession, paths: str | Sequence[str]) -> Trajectory:
     return from_wide(spark.read.parquet(*([paths] if isinstance(paths, str) else paths)))
 
 
+def write_wide(frames: DataFrame, path: str, append: bool = False) -> None:
+    """Frames (frame, bond array, angle array, torsion array) as Parquet that read_wide reads; appended frames follow on."""
+    cols = ["frame", *[t for t in TYPES if t in frames.columns]]
+    if len(cols) == 1:
+        raise ValueError("no column bond, angle or torsion")
+    kept = frames.select(F.col("frame").cast("long").alias("frame"), *[F.col(t).cast("array<double>").alias(t) for t in cols[1:]])
+    if append:
+        kept = kept.withColumn("frame", F.col("frame") + _frames(frames.sparkSession.read.parquet(path)))
+    kept.write.mode("append" if append else "errorifexists").parquet(path)
+
+
+def kind_of(spark: SparkSession, path: str) -> str:
+    """What a Parquet table holds, by its columns: trajectory, bins, hist1d, hist2d, entropy1d, entropy2d or unknown."""
+    have = set(spark.read.parquet(path).columns)
+    for kind, need in KINDS.items():
+        if need <= have:
+            return kind
+    return "trajectory" if "frame" in have and have & set(TYPES) else "unknown"
+
+
 def from_embeddings(spark: SparkSession, sf_dir: str) -> Trajectory:
     """Vectors read as frames: places 0-19 are bonds, 20-39 angles, 40-63 torsions."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("frame"), F.col("embedding").cast("array<double>").alias("e"))
