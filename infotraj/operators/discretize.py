@@ -41,17 +41,21 @@ def torsion_extents(coords: DataFrame) -> DataFrame:
     return _widened(t, F.lit(TWO_PI)).select("dof_type", "dof", "min", "max", avg.alias("avg"), "phase")
 
 
-def torsion_cuts(coords: DataFrame, reference_bins: int = REFERENCE_BINS) -> DataFrame:
-    """(dof_type, dof, cut, phase): where each circle is best cut, and the turn that brings the cut to the end.
+def _circles(coords: DataFrame, reference_bins: int) -> DataFrame:
+    """(dof_type, dof, raw, cut, phase, ends): the mean, the best cut, and the extremes of each half of each full cell.
 
-    A coarse histogram of at most 180 cells is all that leaves the scan. The cut is the first cell of the longest
-    circular run of empty cells, the earliest of equal ones; where no cell is empty it is the emptiest cell.
+    One scan: a coarse histogram of at most 180 cells is all that leaves it. The cut is in the middle of a cell, so that
+    each half of a cell lies on one side of it, and the extremes of the turned circle are among those of halves.
     """
     m = min(3 * reference_bins, 180)
     size = (TWO_PI + DX) / m
-    cell = F.least(F.abs(F.floor(F.col("x") / size)), F.lit(m - 1)).cast("int")
-    counts = coords.where(F.col("dof_type") == "torsion").groupBy("dof_type", "dof", cell.alias("cell")).agg(F.count("*").alias("cnt"))
-    cells = counts.groupBy("dof_type", "dof").agg(F.sort_array(F.collect_list("cell")).alias("full"), F.min(F.struct("cnt", "cell")).alias("least"))
+    x, cell = F.col("x"), F.least(F.abs(F.floor(F.col("x") / size)), F.lit(m - 1)).cast("int")
+    upper = x >= (F.col("cell") + 0.5) * size
+    ends = [f(F.when(upper if up else ~upper, x)) for up in (False, True) for f in (F.min, F.max)]
+    halves = coords.where(F.col("dof_type") == "torsion").withColumn("cell", cell).groupBy("dof_type", "dof", "cell")
+    halves = halves.agg(F.count("*").alias("cnt"), F.sum("x").alias("sum"), F.array_compact(F.array(*ends)).alias("ends"))
+    cells = halves.groupBy("dof_type", "dof").agg(
+        F.sort_array(F.collect_list("cell")).alias("full"), F.min(F.struct("cnt", "cell")).alias("least"), F.flatten(F.collect_list("ends")).alias("ends"), (F.sum("sum") / F.sum("cnt")).alias("raw"))
 
     def run(c: Column, i: Column) -> Column:
         following = F.coalesce(F.get("full", i + 1), F.get("full", F.lit(0)) + m)
@@ -59,15 +63,22 @@ def torsion_cuts(coords: DataFrame, reference_bins: int = REFERENCE_BINS) -> Dat
 
     best = F.array_max(F.transform("full", run))
     cut = F.when(best["len"] > 0, -best["start"]).otherwise(F.col("least.cell"))
-    return cells.select("dof_type", "dof", cut.alias("cut")).withColumn("phase", TWO_PI - (F.col("cut") + 0.5) * size)
+    return cells.select("dof_type", "dof", "raw", "ends", cut.alias("cut")).withColumn("phase", TWO_PI - (F.col("cut") + 0.5) * size)
+
+
+def torsion_cuts(coords: DataFrame, reference_bins: int = REFERENCE_BINS) -> DataFrame:
+    """(dof_type, dof, cut, phase): where each circle is best cut, and the turn that brings the cut to the end.
+
+    The cut is the first cell of the longest circular run of empty cells, the earliest of equal ones; where no cell is
+    empty it is the emptiest cell.
+    """
+    return _circles(coords, reference_bins).select("dof_type", "dof", "cut", "phase")
 
 
 def torsion_extents_optimized(coords: DataFrame, reference_bins: int = REFERENCE_BINS) -> DataFrame:
     """Extents of torsions after the turn that torsion_cuts finds."""
-    turn = held(torsion_cuts(coords, reference_bins).select("dof_type", "dof", "phase"))
-    t = coords.where(F.col("dof_type") == "torsion").join(if_small(turn), ["dof_type", "dof"])
-    moved = (F.col("x") + F.col("phase")) % TWO_PI
-    t = t.groupBy("dof_type", "dof", "phase").agg(F.min(moved).alias("lo"), F.max(moved).alias("hi"), F.avg("x").alias("raw"))
+    t = _circles(coords, reference_bins)
+    t = t.withColumn("moved", F.transform("ends", lambda x: (x + F.col("phase")) % TWO_PI)).withColumns({"lo": F.array_min("moved"), "hi": F.array_max("moved")})
     return _widened(t, F.lit(TWO_PI)).select("dof_type", "dof", "min", "max", ((F.col("raw") + F.col("phase")) % TWO_PI).alias("avg"), "phase")
 
 

@@ -13,8 +13,8 @@ from infotraj.sources.selection import PAIR_TYPES
 
 RUN = ["estimator", "scheme", "step"]
 EDGE = "pair_type string, t1 string, d1 int, t2 string, d2 int, mi double"
-#: Parts into which the edges of a run are dealt before their forests meet.
-PARTS = 16
+#: Edges that a task takes at most, about, and forests that meet in one.
+EDGES, MEET = 250_000, 16
 
 
 def mutual_information(s1: DataFrame, s2: DataFrame) -> DataFrame:
@@ -65,17 +65,20 @@ def _forest(edges: pd.DataFrame) -> pd.DataFrame:
     return edges.iloc[taken]
 
 
-def spanning_tree(mi: DataFrame, parts: int = PARTS) -> DataFrame:
+def spanning_tree(mi: DataFrame, parts: int | None = None) -> DataFrame:
     """The edges of the maximum spanning tree (forest, where disconnected) of each estimator, scheme and step.
 
-    Edges outside the forest of some of the edges are outside that of all. So each of `parts` parts of a run's edges
-    is cut to its forest first, and what meets in one task is at most parts times the number of coordinates.
-    Informations of zero and less count as edges too. Edges whose information is null are left out.
+    Edges outside the forest of some of the edges are outside that of all. So a run's edges are dealt into parts of
+    about EDGES, each is cut to its forest, and MEET forests at a time meet until one is left: a task holds MEET times
+    the number of coordinates at most. Informations of zero and less count as edges too. Edges whose information is
+    null are left out.
     """
     schema = f"estimator string, scheme int, step int, {EDGE}"
-    e = mi.where("mi is not null").select(*RUN, "pair_type", "t1", "d1", "t2", "d2", "mi").withColumn("part", F.pmod(F.xxhash64("t1", "d1", "t2", "d2"), F.lit(parts)))
-
-    def local(edges: pd.DataFrame) -> pd.DataFrame:
-        return _forest(edges.drop(columns="part"))
-
-    return e.groupBy(*RUN, "part").applyInPandas(local, schema).groupBy(*RUN).applyInPandas(_forest, schema)
+    e = mi.where("mi is not null").select(*RUN, "pair_type", "t1", "d1", "t2", "d2", "mi")
+    if parts is None:
+        parts = 1 + (e.groupBy(*RUN).count().agg(F.max("count")).first()[0] or 0) // EDGES
+    e = e.withColumn("part", F.pmod(F.xxhash64("t1", "d1", "t2", "d2"), F.lit(parts)).cast("int"))
+    while parts > 1:
+        e = e.groupBy(*RUN, "part").applyInPandas(_forest, f"{schema}, part int").withColumn("part", F.floor(F.col("part") / MEET).cast("int"))
+        parts = -(-parts // MEET)
+    return e.drop("part").groupBy(*RUN).applyInPandas(_forest, schema)

@@ -100,7 +100,7 @@ def test_forests_of_parts_meet_in_the_tree_of_all(spark):
         if a != b:
             parent = [b if x == a else x for x in parent]
             wanted.append((e[2], e[4]))
-    for parts in (1, 5):
+    for parts in (None, 1, 5, 40):
         assert sorted((r["d1"], r["d2"]) for r in score.spanning_tree(df, parts).collect()) == sorted(wanted)
     assert len(wanted) == 7  # two components
 
