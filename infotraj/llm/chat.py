@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from infotraj.llm.common import table
+from infotraj.llm.common import free, table
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Where a control string starts: any "<|", and the marks of templates in common use.
@@ -78,6 +78,7 @@ def prefix_tree(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     keyed = turns.select("conv", "place", "k1", "k2", "chars").join(walk.withColumnRenamed("conv", "walk_conv"), F.col("conv").eqNullSafe(F.col("walk_conv"))).drop("walk_conv")
     owners = keyed.groupBy("k1", "k2").agg(F.min("rank").alias("owner"))
     owned = table(keyed.join(owners, ["k1", "k2"]), "owned")
+    free(walk)
 
     own = owned.where("rank = owner")
     lengths = own.groupBy("rank").agg(F.sum("chars").alias("chars")).withColumn("part", F.shiftright("rank", 33))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from infotraj.llm.common import WHITE, table, text_slices
+from infotraj.llm.common import WHITE, free, table, text_slices
 
 WINDOW = 8
 MIN_DOCS, MIN_SHARE, MIN_LEFT = 20, 0.01, 0.3
@@ -130,6 +130,7 @@ def clean_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     held = lines.groupBy("host", "h").agg(F.count("*").alias("docs_with")).where(F.col("docs_with") > min_docs)
     above = held.join(sizes, "host").where(F.col("docs_with") > min_share * F.col("docs")).select("host", "h")
     cuts = table(lines.join(above, ["host", "h"]).groupBy("host", "row").agg(F.collect_list("h").alias("cut")), "cut-lines")
+    free(lines)
     texts = slim_texts(df, id_col, text_col, host_col).join(cuts, ["host", "row"], "left")
     texts = texts.withColumn("clean", cleaned(F.when(F.col("cut").isNotNull(), F.col("text")), "cut"))
     texts = texts.select("id", "host", "row", F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.col("clean.text")).alias("text"), F.col("clean.left_words").alias("left_words"))
