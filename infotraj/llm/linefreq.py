@@ -37,7 +37,7 @@ MIN_DOCS, MIN_SHARE, MIN_LEFT = 20, 0.01, 0.3
 _SYMBOLS = "#*$%&|<>"
 _DIGITS = re.compile(rb"[0-9]+")
 
-COUNTS = "id long, host string, row long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>"
+COUNTS = "id long, host string, row long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<long>"
 
 
 def repeat_words(texts: list[list[bytes]], window: int = WINDOW) -> np.ndarray:
@@ -79,7 +79,7 @@ def normal(line: str) -> bytes:
 
 
 def count_texts(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """One row for each row of df: its counts, and the hashes of its distinct normalised lines."""
+    """One row for each row of df: its counts, and the hashes of its distinct normalised lines with the words that each takes up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,14 +87,19 @@ def count_texts(df: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
                 words = [x.encode().split() for x in texts]
                 chars = [len(x) - sum(map(x.count, WHITE)) for x in texts]
                 symbols = [sum(map(x.count, _SYMBOLS)) for x in texts]
-                dups, lines = [], []
+                dups, lines, sizes = [], [], []
                 for x in texts:
                     full = [line for line in x.split("\n") if line.strip(WHITE)]
                     dups.append(len(full) - len(set(full)))
-                    lines.append(list({xxhash.xxh64_intdigest(normal(line)) - (1 << 63) for line in full}))
-                cols = [part.column("id"), part.column("host"), part.column("row"), list(map(len, words)), chars, symbols, dups, repeat_words(words), lines]
-                names = ["id", "host", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"]
-                types = [pa.int64(), pa.string(), *[pa.int64()] * 6, pa.list_(pa.int64())]
+                    own: dict[int, int] = {}
+                    for line in map(normal, full):
+                        h = xxhash.xxh64_intdigest(line) - (1 << 63)
+                        own[h] = own.get(h, 0) + line.count(b" ") + 1
+                    lines.append(list(own))
+                    sizes.append(list(own.values()))
+                cols = [part.column("id"), part.column("host"), part.column("row"), list(map(len, words)), chars, symbols, dups, repeat_words(words), lines, sizes]
+                names = ["id", "host", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words"]
+                types = [pa.int64(), pa.string(), *[pa.int64()] * 6, *[pa.list_(pa.int64())] * 2]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     return slim_texts(df, id_col, text_col, host_col).mapInArrow(run, COUNTS)
@@ -112,38 +117,44 @@ def without_lines(text: str, cut: set[int]) -> str:
     return "\n".join(x for x in text.split("\n") if not x.strip(WHITE) or xxhash.xxh64_intdigest(normal(x)) - (1 << 63) not in cut)
 
 
+JUDGED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "left_words", "kept"]
+
+
+def judged(df: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int, min_share: float, min_left: float) -> DataFrame:
+    """(id, host, row, cut, n_words, ..., kept) for each row of df; cut: the hashes of its lines above the limits."""
+    counted = table(count_texts(df, id_col, text_col, host_col), "line-counts")
+    distinct = counted.select("host", "row", F.arrays_zip("lines", "line_words").alias("lines")).dropDuplicates(["host", "row"])
+    sizes = distinct.groupBy("host").agg(F.count("*").alias("docs"))
+    lines = table(distinct.select("host", "row", F.explode("lines").alias("x")).select("host", "row", F.col("x.lines").alias("h"), F.col("x.line_words").alias("n")), "host-lines")
+    frequent = lines.groupBy("host", "h").agg(F.count("*").alias("docs_with")).where(F.col("docs_with") > min_docs)
+    above = frequent.join(sizes, "host").where(F.col("docs_with") > min_share * F.col("docs")).select("host", "h")
+    cuts = table(lines.join(above, ["host", "h"]).groupBy("host", "row").agg(F.collect_list("h").alias("cut"), F.sum("n").alias("lost")), "cut-lines")
+    free(lines)
+    out = counted.drop("lines", "line_words").join(cuts, ["host", "row"], "left").withColumn("left_words", F.col("n_words") - F.coalesce("lost", F.lit(0)))
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    kept = ~failed & (F.col("left_words") >= min_left * F.col("n_words"))
+    return out.withColumns({"base_failed": failed, "kept": kept}).select("id", "host", "row", "cut", *JUDGED)
+
+
 def clean_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """(id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, left_words, kept) for each row of df.
 
     The text is without its boilerplate lines; a null text stays null. The counts but left_words are of the whole text.
     """
 
-    @F.pandas_udf("text string, left_words long")
-    def cleaned(texts: pd.Series, cuts: pd.Series) -> pd.DataFrame:
-        texts = [None if t is None else without_lines(t, set(c)) for t, c in zip(texts, cuts, strict=True)]
-        return pd.DataFrame({"text": texts, "left_words": pd.array([None if t is None else len(t.encode().split()) for t in texts], dtype="Int64")})
+    @F.pandas_udf("string")
+    def cleaned(texts: pd.Series, cuts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else without_lines(t, set(c)) for t, c in zip(texts, cuts, strict=True)], dtype="object")
 
-    counted = table(count_texts(df, id_col, text_col, host_col), "line-counts")
-    distinct = counted.select("host", "row", "lines").dropDuplicates(["host", "row"])
-    sizes = distinct.groupBy("host").agg(F.count("*").alias("docs"))
-    lines = table(distinct.select("host", "row", F.explode("lines").alias("h")), "host-lines")
-    held = lines.groupBy("host", "h").agg(F.count("*").alias("docs_with")).where(F.col("docs_with") > min_docs)
-    above = held.join(sizes, "host").where(F.col("docs_with") > min_share * F.col("docs")).select("host", "h")
-    cuts = table(lines.join(above, ["host", "h"]).groupBy("host", "row").agg(F.collect_list("h").alias("cut")), "cut-lines")
-    free(lines)
-    texts = slim_texts(df, id_col, text_col, host_col).join(cuts, ["host", "row"], "left")
+    verdicts = judged(df, id_col, text_col, host_col, min_docs, min_share, min_left).drop("id").dropDuplicates(["host", "row"])
+    texts = slim_texts(df, id_col, text_col, host_col).join(verdicts.hint("merge"), ["host", "row"])
     texts = texts.withColumn("clean", cleaned(F.when(F.col("cut").isNotNull(), F.col("text")), "cut"))
-    texts = texts.select("id", "host", "row", F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.col("clean.text")).alias("text"), F.col("clean.left_words").alias("left_words"))
-    counts = counted.drop("id", "lines").dropDuplicates(["host", "row"])
-    judged = texts.join(counts, ["host", "row"]).withColumn("left_words", F.coalesce("left_words", "n_words"))
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    kept = ~failed & (F.col("left_words") >= min_left * F.col("n_words"))
-    return judged.select("id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "left_words", kept.alias("kept"))
+    return texts.select("id", F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.col("clean")).alias("text"), *JUDGED)
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """clean_texts without the texts."""
-    return clean_texts(df, id_col, text_col, host_col, min_docs, min_share, min_left).drop("text")
+    """clean_texts without the texts, which are read once and never shuffled."""
+    return judged(df, id_col, text_col, host_col, min_docs, min_share, min_left).select("id", *JUDGED)
 
 
 def op2_linefreq(spark, sf_dir: str) -> DataFrame:

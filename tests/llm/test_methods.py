@@ -12,7 +12,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 from test_operators import classes, sentence
 
-from infotraj.llm import chat, common, embeddings, langid, linededup, quality, queries, sharding
+from infotraj.llm import chat, common, embeddings, langid, linededup, linefreq, quality, queries, sharding
 
 
 def unit(x):
@@ -93,6 +93,32 @@ def test_similar_long_lines_go(spark):
     assert [r["n_removed"] == 1 for r in sorted(got, key=lambda r: r["doc_id"])] == wanted and {*wanted} == {True, False}
 
 
+def test_lines_above_the_limits_go_and_depleted_documents_are_rejected(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(120):
+        host = ["a", "b", None][i % 3]
+        own = [sentence(rng, rng.randint(8, 20)) for _ in range(rng.randint(0, 4))]
+        foot = [f"Copyright {i} of host {host} and all of its many friends", "follow us here and there and everywhere you may go", "menu home about contact news shop help terms and more"]
+        rows.append((i, "\n".join([*foot[: rng.randint(1, 3)], *own, " "]), host))
+    rows += [(200 + i, rows[5][1], rows[5][2]) for i in range(40)]  # copies of one text count once
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    texts = defaultdict(dict)
+    for _, t, h in rows:
+        texts[h][t] = {linefreq.normal(x) for x in t.split("\n") if x.strip()}
+    above = {h: {x for x, n in Counter(y for lines in d.values() for y in lines).items() if n > 15 and n > 0.3 * len(d)} for h, d in texts.items()}
+    cleaned = {r["id"]: r for r in linefreq.clean_texts(df, min_docs=15, min_share=0.3).collect()}
+    counted = {r["id"]: r for r in linefreq.quality_rules(df, min_docs=15, min_share=0.3).collect()}
+    verdicts = Counter()
+    for i, t, h in rows:
+        left = "\n".join(x for x in t.split("\n") if not x.strip() or linefreq.normal(x) not in above[h])
+        kept = not counted[i]["base_failed"] and len(left.split()) >= 0.3 * len(t.split())
+        assert (cleaned[i]["text"], cleaned[i]["left_words"], cleaned[i]["kept"]) == (left, len(left.split()), kept)
+        assert {k: v for k, v in cleaned[i].asDict().items() if k != "text"} == counted[i].asDict()
+        verdicts[counted[i]["base_failed"], kept] += 1
+    assert verdicts[False, True] and verdicts[False, False] and all(above.values())
+
+
 def test_language_filter_answers_for_each_language_like_sets():
     rng = np.random.default_rng(5)
     entries = [np.unique(rng.integers(0, 1 << 32, n, dtype=np.uint32)) for n in (4000, 2500, 50, 0)]
