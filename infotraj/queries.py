@@ -146,19 +146,20 @@ def q_shuffled(per_dof: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.groupBy("dof_type", "dof").agg(*frame, F.sum("x").alias("total")), "total")
 
 
-def _mist(spark: SparkSession, sf_dir: str) -> tuple[Plan, DataFrame, DataFrame, DataFrame]:
+def _mist_of(spark: SparkSession, sf_dir: str) -> tuple[Plan, DataFrame, DataFrame, DataFrame]:
     p = Plan(spark, sf_dir)
     s1, mi = p.scored()
     return p, s1, mi, score.spanning_tree(mi)
 
 
 def q_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_mist(spark, sf_dir)[3], "mi").drop("estimator", "scheme")
+    return rounded(_mist_of(spark, sf_dir)[3], "mi").drop("estimator", "scheme")
 
 
 def q_mist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, s1, mi, tree = _mist(spark, sf_dir)
-    return score.convergence(s1, mi, p.steps.size, tree).drop("estimator", "scheme")
+    p, s1, mi, tree = _mist_of(spark, sf_dir)
+    out = score.convergence(s1, mi, p.steps.size, tree).drop("estimator", "scheme")
+    return rounded(out, *[c for c in out.columns if c not in ("step", "TIME")])
 
 
 def _kde(spark: SparkSession, sf_dir: str) -> tuple:
@@ -166,10 +167,20 @@ def _kde(spark: SparkSession, sf_dir: str) -> tuple:
     return t, held(kde.torsion_minima(kde.density(t.coords, t.n_frames), 3))
 
 
+def q_kde_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = from_embeddings(spark, sf_dir)
+    return rounded(kde.density(t.coords, t.n_frames), "density", "gradient", "second")
+
+
 def q_kde_minima(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kde(spark, sf_dir)[1]
 
 
+def q_kde_minima_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each minimum, numbered from 0 along the circle."""
+    return rounded(_kde(spark, sf_dir)[1].select("dof", "k", F.posexplode("minima").alias("place", "minimum")), "minimum")
+
+
 def q_kde_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, found = _kde(spark, sf_dir)
     return kde.states(t.coords, found, 3).select("dof", "frame", "bin")
@@ -180,7 +191,7 @@ def q_kde_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = Steps(t.n_frames, NSTEPS)
     none: list[Column] = [F.lit(None).cast("double").alias(c) for c in ("min", "max")]
     geo = estimators.geometry(found.select(F.lit("torsion").alias("dof_type"), "dof", *none), [3], False, True)
-    return estimators.entropy1d(hist1d(kde.states(t.coords, found, 3), steps), geo, steps.size, ["ML"], False).select("dof", "step", "s")
+    return rounded(estimators.entropy1d(hist1d(kde.states(t.coords, found, 3), steps), geo, steps.size, ["ML"], False).select("dof", "step", "s"), "s")
 
 
 QUERIES = {f"extents_{k}": partial(q_extents, k) for k in TYPES}
@@ -194,7 +205,7 @@ QUERIES |= {"frame_stride_hist": q_stride, "frame_limit_hist": q_frame_limit, "s
 QUERIES |= {f"mi_{k.lower()}": partial(q_mi, k) for k in selection.PAIR_TYPES}
 QUERIES |= {"mie_convergence": q_mie, "multi_scheme_entropy": q_schemes, "hist_step_window": q_window, "events_histogram": q_events}
 QUERIES |= {"shuffled_frames": partial(q_shuffled, False), "shuffled_dofs": partial(q_shuffled, True)}
-QUERIES |= {"mist_tree": q_tree, "mist_convergence": q_mist, "kde_minima": q_kde_minima, "kde_states": q_kde_states, "kde_entropy": q_kde_entropy}
+QUERIES |= {"mist_tree": q_tree, "mist_convergence": q_mist, "kde_density": q_kde_density, "kde_minima": q_kde_minima, "kde_minima_places": q_kde_minima_places, "kde_states": q_kde_states, "kde_entropy": q_kde_entropy}
 
 # The SQL, in common table expressions that build on each other. Numbers with an exponent are doubles there.
 _TP, _PI = "6.283185307179586e0", "3.141592653589793e0"
@@ -291,6 +302,59 @@ def _mie() -> str:
 SELECT step, ((step + 1) * size)::BIGINT AS "TIME", {', '.join(_R.format(n, n) for n in names)}, {_R.format('S1 - info', 'S2')} FROM a1 JOIN a2 USING (step), size"""
 
 
+def _tree() -> str:
+    """tree: the edges that have the best rank on the best path between their ends, which is what a spanning tree of ranks holds.
+
+    A path's rank is that of its worst edge; six doublings reach all paths over 64 coordinates.
+    """
+    doubled = ", ".join(f"w{i + 1} AS MATERIALIZED (SELECT x.step, x.u, y.v, min(greatest(x.r, y.r)) AS r FROM w{i} x JOIN w{i} y ON x.step = y.step AND x.v = y.u GROUP BY ALL)" for i in range(6))
+    return f"""{_chain('ML')},
+ranked AS MATERIALIZED (SELECT m.*, t1, t2, row_number() OVER (PARTITION BY step ORDER BY mi DESC, list_position(['BB', 'BA', 'BD', 'AA', 'AD', 'DD'], pair_type), d1, d2) AS r FROM m JOIN kinds USING (pair_type)),
+ends AS (SELECT step, t1 || d1 AS u, t2 || d2 AS v, r FROM ranked),
+w0 AS MATERIALIZED (SELECT * FROM ends UNION ALL SELECT step, v, u, r FROM ends UNION ALL SELECT k, dof_type || dof, dof_type || dof, 0 FROM ds, ks), {doubled},
+tree AS (SELECT ranked.* FROM ranked JOIN w6 ON w6.step = ranked.step AND w6.u = t1 || d1 AND w6.v = t2 || d2 WHERE w6.r = ranked.r)"""
+
+
+def _mist() -> str:
+    ones = ", ".join(f"sum(s) FILTER (dof_type = '{t}') AS {n}_S1" for n, t in (("BOND", "bond"), ("ANGLE", "angle"), ("DIHED", "torsion")))
+    twos = ", ".join(f"sum(s) FILTER (pair_type = '{t}') AS {t}_S2" for t in selection.PAIR_TYPES)
+    infos = ", ".join(f"coalesce(sum(mi) FILTER (pair_type = '{t}'), 0e0) AS {t}_I2" for t in selection.PAIR_TYPES)
+    names = ["BOND_S1", "ANGLE_S1", "DIHED_S1", *[f"{t}_{x}" for t in selection.PAIR_TYPES for x in ("S2", "I2")], "S1"]
+    return f"""{_tree()}, a1 AS (SELECT step, {ones}, sum(s) AS S1 FROM s1 GROUP BY step), a2 AS (SELECT step, {twos} FROM m GROUP BY step), a3 AS (SELECT step, {infos}, sum(mi) AS info FROM tree GROUP BY step)
+SELECT step, ((step + 1) * size)::BIGINT AS "TIME", {', '.join(_R.format(n, n) for n in names)}, {_R.format('S1 - info', 'S2')} FROM a1 JOIN a2 USING (step) JOIN a3 USING (step), size"""
+
+
+def _bessel(n: int, x: str) -> str:
+    """I_n(x) e^-x by the mean over 4096 equal steps of the circle."""
+    return f"(SELECT avg(exp({x} * (cos(i * {_TP} / 4096) - 1)) * cos({n} * i * {_TP} / 4096)) FROM range(4096) AS c(i))"
+
+
+_DENSITY = f"""{_COORDS},
+nu AS (SELECT n, power(3 * n * {_bessel(2, '2e0')} / (4 * sqrt({_PI}) * power({_bessel(0, '1e0')}, 2)), 0.4e0) AS nu FROM total),
+scale AS (SELECT nu, {_TP} * n * {_bessel(0, 'nu')} AS scale FROM nu),
+kernel AS (SELECT dof, degree::INT AS degree, nu, scale, cos(radians(degree) - x) AS c, sin(radians(degree) - x) AS s, exp(nu * (cos(radians(degree) - x) - 1)) AS e FROM coords, scale, range(361) AS g(degree) WHERE dof_type = 'torsion'),
+dens AS MATERIALIZED (SELECT dof, degree, sum(e) / any_value(scale) AS density, -sum(s * e) * any_value(nu) / any_value(scale) AS gradient, sum((nu * s * s - c) * e) * any_value(nu) / any_value(scale) AS second FROM kernel GROUP BY dof, degree)"""
+
+
+def _minima(most: int = 3, step: float = 5.0, rounds: int = 1000, tolerance: float = 1e-4) -> str:
+    """minima(dof, k, place, minimum): downhill from midway between maxima, one step of all of them a round."""
+    return f"""{_DENSITY.replace("e AS (SELECT", "RECURSIVE e AS (SELECT", 1)},
+crossing AS (SELECT a.dof, a.degree, (a.second + b.second) / 2 AS sharp FROM dens a JOIN dens b ON b.dof = a.dof AND b.degree = a.degree + 1 WHERE a.gradient * b.gradient <= 0 AND b.second < -1e-4),
+nine AS (SELECT * FROM crossing QUALIFY row_number() OVER (PARTITION BY dof ORDER BY degree) <= 9),
+tops AS (SELECT dof, degree + 0.5e0 AS top FROM nine QUALIFY row_number() OVER (PARTITION BY dof ORDER BY sharp, degree) <= {most}),
+start AS (SELECT dof, top, count(*) OVER (PARTITION BY dof) AS k, (coalesce(lag(top) OVER (PARTITION BY dof ORDER BY top), max(top) OVER (PARTITION BY dof) - 360) + top) / 2 AS x FROM tops),
+walk AS (SELECT dof, top, k, CASE WHEN x < 0 THEN x + 360 ELSE x END AS x, 0 AS n, k = 1 AS done FROM start
+  UNION ALL SELECT dof, top, k, CASE WHEN abs(slope) < {tolerance} THEN x WHEN y < 0 THEN y + 360 WHEN y >= 360 THEN y - 360 ELSE y END, n + 1, abs(slope) < {tolerance}
+  FROM (SELECT *, x - greatest(-5e0, least(5e0, {step} * slope)) AS y FROM (SELECT walk.*, (a.degree + 1 - x) * a.gradient + (x - a.degree) * b.gradient AS slope
+    FROM walk JOIN dens a ON a.dof = walk.dof AND a.degree = floor(x) JOIN dens b ON b.dof = walk.dof AND b.degree = floor(x) + 1 WHERE NOT done AND n < {rounds}))),
+ended AS (SELECT dof, top, any_value(k) AS k, radians(arg_max(x, n)) AS minimum FROM walk GROUP BY dof, top),
+minima AS MATERIALIZED (SELECT dof, k::INT AS k, (row_number() OVER (PARTITION BY dof ORDER BY minimum) - 1)::INT AS place, minimum FROM ended)"""
+
+
+_STATES = f"""{_minima()},
+below AS (SELECT coords.dof, frame, coalesce(any_value(k), 0) AS k, count(*) FILTER (minimum < x) AS c, coalesce(bool_or(minimum = x), false) AS on_edge FROM coords LEFT JOIN minima ON minima.dof = coords.dof WHERE dof_type = 'torsion' GROUP BY coords.dof, frame),
+bins AS (SELECT dof, frame, CASE WHEN k < 2 OR c = k OR on_edge THEN 0 ELSE c END::INT AS bin FROM below)"""
+
 ORACLES = {f"extents_{k}": f"WITH {_COORDS}, {_LINEAR} SELECT dof_type, dof, {_EXTENT} FROM lin WHERE dof_type = '{k}'" for k in ("bond", "angle")}
 ORACLES["extents_torsion"] = f"WITH {_COORDS}, {_PLAIN} SELECT dof_type, dof, {_EXTENT} FROM tor"
 ORACLES |= {f"bins_{k}": f"WITH {_COORDS}, {_LINEAR}, {_bins('lin')} SELECT dof, frame, bin FROM bins WHERE dof_type = '{k}'" for k in ("bond", "angle")}
@@ -313,3 +377,10 @@ ORACLES["hist_step_window"] = f"{_BASE} SELECT dof_type, dof, bin, step, cnt FRO
 ORACLES["events_histogram"] = f"""WITH coords AS (SELECT 'bond' AS dof_type, 0 AS dof, event_id AS frame, value AS x FROM events WHERE value IS NOT NULL), total AS (SELECT max(event_id) + 1 AS n FROM events),
 {_LINEAR}, {_bins('lin')}, {_steps()}, {_H1} SELECT bin, step, cnt FROM h1"""
 ORACLES |= {k: f"WITH {_COORDS} SELECT dof_type, dof, count(*) AS n, count(*) AS frames, 0::BIGINT AS first, (SELECT n - 1 FROM total) AS last, {_R.format('sum(x)', 'total')} FROM coords GROUP BY dof_type, dof" for k in ("shuffled_frames", "shuffled_dofs")}
+ORACLES["mist_tree"] = f"{_tree()} SELECT step, pair_type, t1, d1, t2, d2, {_R.format('mi', 'mi')} FROM tree"
+ORACLES["mist_convergence"] = _mist()
+ORACLES["kde_density"] = f"WITH {_DENSITY} SELECT dof, degree, {', '.join(_R.format(c, c) for c in ('density', 'gradient', 'second'))} FROM dens"
+ORACLES["kde_minima_places"] = f"WITH {_minima()} SELECT dof, k, place, {_R.format('minimum', 'minimum')} FROM minima"
+ORACLES["kde_states"] = f"WITH {_STATES} SELECT dof, frame, bin FROM bins"
+ORACLES["kde_entropy"] = f"""WITH {_STATES}, {_steps()}, h AS (SELECT dof, k, bin, sum(CASE WHEN step <= k THEN 1 ELSE 0 END) / ((k + 1) * any_value(size))::DOUBLE AS p FROM b, ks GROUP BY dof, k, bin)
+SELECT dof, k AS step, {_R.format('sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0e0 END)', 's')} FROM h GROUP BY dof, k"""
