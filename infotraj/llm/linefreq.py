@@ -5,8 +5,9 @@ windows that occur twice. The same pass gives the hash of each of its distinct n
 as 0, white space squeezed). Documents of equal text within a host count as one: copies
 of a clean text do not condemn each other.
 
-A line is boilerplate where more than `min_docs` distinct documents of its host and more than `min_share` of the
-host's distinct documents hold it. Boilerplate lines are cut out of the texts (clean_texts); a document whose cleaned
+A line is boilerplate where more than `min_docs` distinct documents of its host hold it, however large the host is: a
+footer is one in a host of any size. `min_share`, 0 unless given, asks for more than that share of the host's distinct
+documents too. Boilerplate lines are cut out of the texts (clean_texts); a document whose cleaned
 text has less than `min_left` of its words is depleted and rejected. Documents have no host name here: their source
 stands for it.
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from infotraj.llm.common import WHITE, free, table, text_slices
 
 WINDOW = 8
-MIN_DOCS, MIN_SHARE, MIN_LEFT = 20, 0.01, 0.3
+MIN_DOCS, MIN_SHARE, MIN_LEFT = 20, 0.0, 0.3
 _SYMBOLS = "#*$%&|<>"
 _DIGITS = re.compile(rb"[0-9]+")
 
@@ -124,11 +125,12 @@ def judged(df: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: i
     """(id, host, row, cut, n_words, ..., kept) for each row of df; cut: the hashes of its lines above the limits."""
     counted = table(count_texts(df, id_col, text_col, host_col), "line-counts")
     distinct = counted.select("host", "row", F.arrays_zip("lines", "line_words").alias("lines")).dropDuplicates(["host", "row"])
-    sizes = distinct.groupBy("host").agg(F.count("*").alias("docs"))
     lines = table(distinct.select("host", "row", F.explode("lines").alias("x")).select("host", "row", F.col("x.lines").alias("h"), F.col("x.line_words").alias("n")), "host-lines")
-    frequent = lines.groupBy("host", "h").agg(F.count("*").alias("docs_with")).where(F.col("docs_with") > min_docs)
-    above = frequent.join(sizes, "host").where(F.col("docs_with") > min_share * F.col("docs")).select("host", "h")
-    cuts = table(lines.join(above, ["host", "h"]).groupBy("host", "row").agg(F.collect_list("h").alias("cut"), F.sum("n").alias("lost")), "cut-lines")
+    above = lines.groupBy("host", "h").agg(F.count("*").alias("docs_with")).where(F.col("docs_with") > min_docs)
+    if min_share > 0:
+        sizes = distinct.groupBy("host").agg(F.count("*").alias("docs"))
+        above = above.join(sizes, "host").where(F.col("docs_with") > min_share * F.col("docs"))
+    cuts = table(lines.join(above.select("host", "h"), ["host", "h"]).groupBy("host", "row").agg(F.collect_list("h").alias("cut"), F.sum("n").alias("lost")), "cut-lines")
     free(lines)
     out = counted.drop("lines", "line_words").join(cuts, ["host", "row"], "left").withColumn("left_words", F.col("n_words") - F.coalesce("lost", F.lit(0)))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -172,8 +174,7 @@ t AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram)
 r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM t, range(0, 8) AS x(k) GROUP BY doc_id),
 z AS (SELECT doc_id, source, text, regexp_replace(trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[0-9]+', '0', 'g') AS line, n FROM f),
 y AS (SELECT DISTINCT source, text, line FROM z),
-s AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY source),
-a AS (SELECT y.source, line FROM y JOIN s ON y.source IS NOT DISTINCT FROM s.source GROUP BY y.source, line, docs HAVING count(*) > 20 AND count(*) > 0.01 * docs),
+a AS (SELECT source, line FROM y GROUP BY source, line HAVING count(*) > 20),
 g AS (SELECT doc_id, sum(n)::BIGINT AS lost FROM z JOIN a ON z.source IS NOT DISTINCT FROM a.source AND z.line = a.line GROUP BY doc_id),
 b AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
