@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from infotraj.llm import bpe, chat, embeddings, langid, linededup, linefreq, mixing, quality, sharding, simhash
+from infotraj.llm import alignment, bpe, chat, collocations, embeddings, langid, linededup, linefreq, mixing, quality, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,10 +15,13 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_sharding": sharding.op9_sharding,
     "op10_chat": chat.op10_chat,
+    "op11_alignment": alignment.op11_alignment,
+    "op13_collocations": collocations.op13_collocations,
 }
 ORACLES: dict[str, str] = {
     "op2_linefreq": linefreq.OP2_SQL,
     "op4_embeddings": embeddings.OP4_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op10_chat": chat.OP10_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }
