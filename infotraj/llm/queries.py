@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from infotraj.llm import alignment, bpe, chat, collocations, embeddings, langid, linededup, linefreq, mixing, quality, sharding, simhash
+from infotraj.llm import alignment, bpe, chat, collocations, embeddings, langid, linededup, linefreq, mixing, quality, sharding, simhash, suffixes
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "op10_chat": chat.op10_chat,
     "op11_alignment": alignment.op11_alignment,
+    "op12_suffixes": suffixes.op12_suffixes,
     "op13_collocations": collocations.op13_collocations,
 }
 ORACLES: dict[str, str] = {
@@ -23,5 +24,6 @@ ORACLES: dict[str, str] = {
     "op4_embeddings": embeddings.OP4_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op10_chat": chat.OP10_SQL,
+    "op12_suffixes": suffixes.OP12_SQL,
     "op13_collocations": collocations.OP13_SQL,
 }
