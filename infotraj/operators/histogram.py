@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from infotraj.operators.small import MAX_BROADCAST_ROWS, if_small, is_local
 
 
+#: Steps up to which each has a conditional sum of its own.
+MANY_STEPS = 32
+
+
 @dataclass(frozen=True)
 class Steps:
     """Every stride-th frame from start on, in nsteps equal steps; frames beyond a multiple of the step are left out."""
@@ -40,8 +44,15 @@ class Steps:
 def cumulative(counts: DataFrame, keys: list[str], nsteps: int) -> DataFrame:
     """From counts(keys, step, cnt) those of all steps up to each: one aggregate on the keys gives the row of steps.
 
-    A cell gets a count for each step, zero before it is first hit. No window or grid of empty cells is needed.
+    A cell gets a count for each step, zero before it is first hit. No window or grid of empty cells is needed. Beyond MANY_STEPS
+    a sum for each would be too long an aggregate: the few steps of a cell are gathered and summed up along the row.
     """
+    if nsteps > MANY_STEPS:
+        hit = counts.groupBy(*keys, "step").agg(F.sum("cnt").alias("cnt")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("step", "cnt"))).alias("hit"))
+        each = F.transform(F.sequence(F.lit(0), F.lit(nsteps - 1)), lambda k: F.coalesce(F.element_at("hit", k), F.lit(0).cast("long")))
+        start = F.struct(F.array().cast("array<bigint>").alias("row"), F.lit(0).cast("long").alias("sum"))
+        upto = F.aggregate(each, start, lambda got, x: F.struct(F.array_append(got["row"], got["sum"] + x).alias("row"), (got["sum"] + x).alias("sum")), lambda got: got["row"])
+        return hit.select(*keys, F.posexplode(upto).alias("step", "cnt"))
     upto = F.array(*[F.sum(F.when(F.col("step") <= k, F.col("cnt")).otherwise(0)) for k in range(nsteps)])
     return counts.groupBy(*keys).agg(upto.alias("row")).select(*keys, F.posexplode("row").alias("step", "cnt"))
 
@@ -61,12 +72,17 @@ def hist2d(bins: DataFrame, pairs: DataFrame, steps: Steps, form: str = "auto")
 
     Form "join" is an equi-join on the frame; it shuffles a row for each frame and pair. Form "arrow" brings the bins
     of a frame together, a row for each frame and coordinate, and counts blocks of pairs in numpy, so only counts
-    are shuffled again. "auto" takes the latter while the catalogue of pairs is of a size to send to all workers.
+    are shuffled again. "tiles" packs the bins and brings blocks of coordinates together (operators.tiles), for catalogues
+    of any size. "auto" takes "arrow" while the catalogue of pairs is of a size to send to all workers, else "tiles".
     Where frames are still rows of arrays, hist2d_frames spares even that shuffle.
     """
+    from infotraj.operators import tiles  # which builds on this module
+
     cells = steps.assign(bins)
     if form == "auto":
-        form = "arrow" if is_local(pairs) or pairs.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else "join"
+        form = "arrow" if is_local(pairs) or pairs.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else "tiles"
+    if form == "tiles":
+        return tiles.hist2d_tiles(tiles.pack_long(bins), pairs, steps)
     if form == "join":
         return cumulative(_joined(cells, pairs), CELL, steps.nsteps)
     return _counted(cells, pairs, steps.nsteps)

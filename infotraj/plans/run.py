@@ -7,9 +7,9 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from infotraj.operators import discretize, estimators, kde, score
-from infotraj.operators.histogram import Steps, hist1d, hist2d, step_window
-from infotraj.operators.small import held, if_small
+from infotraj.operators import discretize, estimators, kde, score, tiles
+from infotraj.operators.histogram import Steps, step_window
+from infotraj.operators.small import held, if_small, is_local, release
 from infotraj.plans import reports
 from infotraj.plans.config import Config
 from infotraj.sources import selection
@@ -17,7 +17,9 @@ from infotraj.sources.trajectory import Trajectory, read_wide
 
 
 class Run:
-    """A run's tables lie in the config's outfilepath: bins, extents, minima, hist1d, hist2d, entropy1d, entropy2d and reports.
+    """A run's tables lie in the config's outfilepath: bins, tiles (the same, packed), extents, minima, hist1d, hist2d, entropy1d, entropy2d and reports.
+
+    Histograms are counted from tiles, so that no row for a frame is shuffled.
 
     Histograms are written if writefreq is set, of the coordinates and pairs of writeset and the steps of the window.
     Shuffled frames leave their permutation as a table shuffled. Reports and the progress file are single text files.
@@ -61,7 +63,9 @@ class Run:
             to = self._write(discretize.permutation(out, c.randseed + 1000, per_dof=c.shuffledofs), "shuffled")
             out = discretize.permuted(out, to)
         self._write(ext, "extents")
-        self._write(out, "bins", "dof_type")
+        packable = is_local(ext) and t.wide is not None and not (c.kde or c.shuffleframes or c.shuffledofs)
+        out = self._write(out, "bins", "dof_type")
+        self._write(tiles.pack(t.wide, ext, c.nbins) if packable else tiles.pack_long(out), "tiles")
         self._write(self.spark.createDataFrame([(t.n_frames,)], "n_frames long"), "frames")
 
     def steps(self) -> Steps:
@@ -73,14 +77,13 @@ class Run:
         return step_window(hist, min(self.config.writestepstart, self.config.nsteps - 1), self.config.writestepstride)
 
     def entropies(self) -> None:
-        c, bins, ext, steps = self.config, self._read("bins"), self._read("extents"), self.steps()
+        c, packed, ext, steps = self.config, self._read("tiles"), self._read("extents"), self.steps()
         types, pair_types = c.parts(c.workset)
         dofs = ext.select("dof_type", "dof").where(F.col("dof_type").isin(types))
         if c.usesubset:
             dofs = dofs.join(if_small(selection.read_subset(self.spark, c.subsetfile)), ["dof_type", "dof"], "left_semi")
-        bins = bins.join(if_small(dofs), ["dof_type", "dof"], "left_semi")
         geo = estimators.geometry(ext, self.schemes, c.jacobian and not c.kde, c.kde)
-        one, (write_types, write_pairs) = hist1d(bins, steps), c.parts(c.writeset)
+        one, (write_types, write_pairs) = tiles.hist1d_tiles(packed, steps).join(if_small(dofs), ["dof_type", "dof"], "left_semi"), c.parts(c.writeset)
         if c.writefreq:
             one = self._write(one, "hist1d_all")
             self._write(self._window(one.where(F.col("dof_type").isin(write_types))), "hist1d")
@@ -88,7 +91,7 @@ class Run:
         if not pair_types:
             return
         pairs = selection.read_neighbors(self.spark, c.neighborfile).where(F.col("pair_type").isin(pair_types)) if c.useneighbor else selection.all_pairs(dofs, pair_types)
-        two = hist2d(bins, selection.within(pairs, dofs), steps)
+        two = tiles.hist2d_tiles(packed, selection.within(pairs, dofs), steps)
         if c.writefreq:
             two = self._write(two, "hist2d_all")
             self._write(self._window(two.where(F.col("pair_type").isin(write_pairs))), "hist2d")
@@ -97,6 +100,8 @@ class Run:
     def report(self) -> None:
         c, size = self.config, self.steps().size
         s1, mi = self._read("entropy1d"), None
+        if c.kde:
+            reports.write_minima(self._read("minima"), self.path("vmkde_torsions_minimas.out"))
         if not c.parts(c.workset)[1]:
             return
         mi = self._write(score.mutual_information(s1, self._read("entropy2d")), "mi")
@@ -112,8 +117,7 @@ class Run:
                     if edges is not None:
                         for k in range(c.nsteps):
                             reports.write_tree(edges.where(mine & (F.col("step") == k)), self.path(f"Tree-MIST-{e}_b-{n}_s-{k}.{c.reportfileext}"))
-        if c.kde:
-            reports.write_minima(self._read("minima"), self.path("vmkde_torsions_minimas.out"))
+            release(rows)
 
     def __call__(self) -> None:
         c = self.config

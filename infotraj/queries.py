@@ -10,7 +10,7 @@ from functools import cached_property, partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from infotraj.operators import discretize, estimators, kde, score
+from infotraj.operators import discretize, estimators, kde, score, tiles
 from infotraj.operators.histogram import Steps, hist1d, hist2d, hist2d_frames, step_window
 from infotraj.operators.small import held, if_small, is_local, like
 from infotraj.sources import selection
@@ -44,6 +44,8 @@ class Plan:
 
     def hist2d(self, form: str = "auto", pair_types=tuple(selection.PAIR_TYPES)) -> DataFrame:
         pairs = self.pairs(pair_types)
+        if form == "tiles":
+            return tiles.hist2d_tiles(tiles.pack(self.t.wide, self.ext, self.schemes), pairs, self.steps)
         if form != "join" and is_local(pairs):
             return hist2d_frames(self.t.wide, self.ext, self.schemes, pairs, self.steps)
         return hist2d(self.bins, pairs, self.steps, form)
@@ -83,6 +85,11 @@ def q_hist1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Plan(spark, sf_dir).hist1d().drop("scheme", "nbins")
 
 
+def q_hist1d_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Plan(spark, sf_dir)
+    return tiles.hist1d_tiles(tiles.pack(p.t.wide, p.ext, p.schemes), p.steps).drop("scheme", "nbins")
+
+
 def q_hist2d(form: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return Plan(spark, sf_dir).hist2d(form).select("pair_type", "d1", "d2", "b1", "b2", "step", "cnt")
 
@@ -196,7 +203,7 @@ def q_kde_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f"extents_{k}": partial(q_extents, k) for k in TYPES}
 QUERIES |= {f"bins_{k}": partial(q_bins, k) for k in TYPES}
-QUERIES |= {"torsion_optimal_phase": q_phase, "hist1d_cumulative": q_hist1d, "hist2d_cumulative": partial(q_hist2d, "join"), "hist2d_blocks": partial(q_hist2d, "arrow")}
+QUERIES |= {"torsion_optimal_phase": q_phase, "hist1d_cumulative": q_hist1d, "hist2d_cumulative": partial(q_hist2d, "join"), "hist2d_blocks": partial(q_hist2d, "arrow"), "hist2d_tiles": partial(q_hist2d, "tiles"), "hist1d_tiles": q_hist1d_tiles}
 QUERIES |= {f"entropy1d_{e.lower()}": partial(q_entropy1d, e, True) for e in estimators.ESTIMATORS}
 QUERIES |= {"entropy1d_nojac": partial(q_entropy1d, "ML", False)}
 QUERIES |= {f"entropy2d_{e.lower()}": partial(q_entropy2d, e, False) for e in estimators.ESTIMATORS}
@@ -360,8 +367,8 @@ ORACLES["extents_torsion"] = f"WITH {_COORDS}, {_PLAIN} SELECT dof_type, dof, {_
 ORACLES |= {f"bins_{k}": f"WITH {_COORDS}, {_LINEAR}, {_bins('lin')} SELECT dof, frame, bin FROM bins WHERE dof_type = '{k}'" for k in ("bond", "angle")}
 ORACLES["bins_torsion"] = f"WITH {_COORDS}, {_PLAIN}, {_bins('tor')} SELECT dof, frame, bin FROM bins"
 ORACLES["torsion_optimal_phase"] = f"WITH {_COORDS}, {_OPTIMAL} SELECT dof_type, dof, {_EXTENT} FROM opt"
-ORACLES["hist1d_cumulative"] = f"{_BASE} SELECT dof_type, dof, bin, step, cnt FROM h1"
-ORACLES |= {k: f"{_BASE},\n{_H2} SELECT pair_type, d1, d2, b1, b2, step, cnt FROM h2" for k in ("hist2d_cumulative", "hist2d_blocks")}
+ORACLES["hist1d_cumulative"] = ORACLES["hist1d_tiles"] = f"{_BASE} SELECT dof_type, dof, bin, step, cnt FROM h1"
+ORACLES |= {k: f"{_BASE},\n{_H2} SELECT pair_type, d1, d2, b1, b2, step, cnt FROM h2" for k in ("hist2d_cumulative", "hist2d_blocks", "hist2d_tiles")}
 ORACLES |= {f"entropy1d_{e.lower()}": f"{_BASE}, {_s1(e)} SELECT dof_type, dof, step, {_R.format('s', 's')} FROM s1" for e in estimators.ESTIMATORS}
 ORACLES["entropy1d_nojac"] = f"{_BASE}, {_s1('ML', False)} SELECT dof_type, dof, step, {_R.format('s', 's')} FROM s1"
 ORACLES |= {f"entropy2d_{e.lower()}": f"{_BASE},\n{_H2},\n{_s2(e)} SELECT pair_type, d1, d2, step, {_R.format('s', 's')} FROM s2" for e in estimators.ESTIMATORS}

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from infotraj.operators import discretize, estimators, histogram, score
+from infotraj.operators import discretize, estimators, histogram, score, small, tiles
 from infotraj.plans import config
 from infotraj.plans.run import Run
 from infotraj.sources import selection
@@ -185,3 +185,75 @@ def test_empty_tables(spark):
     ext = discretize.extents(t.coords)
     assert ext.count() == 0 and discretize.bins(t.coords, ext, [4]).count() == 0
     assert t.coords.where(F.col("x") > 0).count() == 0
+
+
+def small_frames(spark, n=50, dofs=(3, 2), seed=3):
+    rng = random.Random(seed)
+    rows = [(f, [rng.random() for _ in range(dofs[0])], [None if f % 5 == 0 else rng.random(), *[rng.random() * 6 for _ in range(dofs[1] - 1)]]) for f in range(n)]
+    return from_wide(spark.createDataFrame(rows, "frame long, bond array<double>, torsion array<double>").repartition(3))
+
+
+def listed(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_tiles_count_what_the_join_counts(spark, monkeypatch):
+    t = small_frames(spark, 50, (70, 66))  # two blocks of each type
+    ext = discretize.extents(t.coords)
+    steps = histogram.Steps(t.n_frames, 3, 1, 2)
+    b = discretize.bins(t.coords, ext, [4, 6])
+    pairs = selection.all_pairs(ext.select("dof_type", "dof")).where("(d1 + d2) % 9 = 0").persist()
+    wanted = listed(histogram.hist2d(b, pairs, steps, "join"))
+    assert len(wanted) > 10_000 and wanted == listed(histogram.hist2d(b, pairs, steps, "arrow"))
+    forms = [tiles.pack(t.wide, ext, [4, 6]), tiles.pack_long(b)]
+    assert all(listed(tiles.hist2d_tiles(f, pairs, steps)) == wanted for f in forms)
+    assert listed(tiles.hist1d_tiles(forms[0], steps)) == listed(tiles.hist1d_tiles(forms[1], steps)) == listed(histogram.hist1d(b, steps).select(*tiles.hist1d_tiles(forms[0], steps).columns))
+    monkeypatch.setattr(histogram, "MAX_BROADCAST_ROWS", 10)
+    assert listed(histogram.hist2d(b, pairs, steps)) == wanted
+
+
+def test_tiles_of_many_cells_frames_and_parts(spark, monkeypatch):
+    t = small_frames(spark, 60, (3, 2))
+    ext = discretize.extents(t.coords)
+    b, steps = discretize.bins(t.coords, ext, [255]), histogram.Steps(60, 7)
+    pairs = selection.all_pairs(ext.select("dof_type", "dof"))
+    wanted = listed(histogram.hist2d(b, pairs, steps, "join"))
+    monkeypatch.setattr(tiles, "GROUP", 20)  # tiles of 20 frames are parts of their own
+    wide = t.wide.where("frame >= 0").repartitionByRange(3, "frame")
+    assert listed(tiles.hist2d_tiles(tiles.pack(wide, ext, [255]), pairs, steps)) == wanted
+    none = pairs.where("d1 > 100")
+    assert tiles.hist2d_tiles(tiles.pack(wide, ext, [4]), none, steps).count() == 0
+
+
+def test_plans_of_tiles_shuffle_neither_frames_nor_pairs(spark):
+    t = small_frames(spark)
+    ext = discretize.extents(t.coords)
+    pairs = selection.all_pairs(ext.select("dof_type", "dof"))
+    plan = tiles.hist2d_tiles(tiles.pack(t.wide, ext, [4]), pairs, histogram.Steps(50, 2))._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert shuffles and not any("frame#" in line for line in shuffles)
+
+
+def test_many_steps_are_summed_along_the_row(spark):
+    rng = random.Random(4)
+    rows = [(k, rng.randrange(255), rng.randrange(1, 9)) for k in range(3) for _ in range(200)]
+    got = {(r["k"], r["step"]): r["cnt"] for r in histogram.cumulative(spark.createDataFrame(rows, "k int, step int, cnt long"), ["k"], 255).collect()}
+    assert got == {(k, s): sum(c for a, b, c in rows if a == k and b <= s) for k in range(3) for s in range(255)}
+
+
+def test_a_held_table_is_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    for most, local in ((10_000, True), (1_000, False)):
+        before = seen.value
+        df = small.held(spark.range(6_000).repartition(4).mapInPandas(count, "id long"), most)
+        assert small.is_local(df) == local
+        assert df.count() == 6_000 and df.agg(F.sum("id")).first()[0] == 5_999 * 3_000
+        assert seen.value - before == 6_000
+        small.release(df)
+        assert not df.is_cached
