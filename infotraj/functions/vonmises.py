@@ -22,15 +22,28 @@ def smoothing(n: int, kappa: float) -> float:
     return (3 * n * kappa**2 * scaled_bessel(2, 2 * kappa) / (4 * math.sqrt(math.pi) * scaled_bessel(0, kappa) ** 2)) ** 0.4
 
 
-def kernel_sums(angles: np.ndarray, nu: float, block: int = 4096) -> np.ndarray:
-    """Sums over angles, at each place of GRID, of the kernel and its two derivatives' terms, each scaled by e^-nu."""
-    out = np.zeros((3, len(GRID)))
-    for at in range(0, len(angles), block):
-        d = GRID[:, None] - angles[None, at : at + block]
-        c, s = np.cos(d), np.sin(d)
-        e = np.exp(nu * (c - 1))
-        out += [e.sum(1), -(s * e).sum(1), ((nu * s * s - c) * e).sum(1)]
-    return out
+def weights(nu: float, least: float = 1e-16) -> np.ndarray:
+    """I_k(nu) / I_0(nu) for k = 0, 1, 2, ... while above `least`: how much of a circle's k-th moment the kernel lets through.
+
+    They fall off like exp(-k^2 / 2 nu), so their number grows with the root of nu.
+    """
+    most = 8 + math.ceil(math.sqrt(80 * max(nu, 1.0)))
+    points = 64 + 8 * math.ceil(math.sqrt(abs(nu)) * 4 + most)
+    t = np.arange(points) * (2 * math.pi / points)
+    kernel = np.exp(nu * (np.cos(t) - 1))
+    w = np.fft.rfft(kernel).real[: most + 1]
+    w = w / w[0]
+    low = np.flatnonzero(w <= least)
+    return w[: low[0]] if low.size else w
+
+
+def density_of_moments(cosines: np.ndarray, sines: np.ndarray, n: int, w: np.ndarray) -> np.ndarray:
+    """(3, circles, places): density, gradient and second derivative on GRID from sums of cos kx and sin kx (circles, k), k from 0 on, over n angles."""
+    k = np.arange(len(w))
+    w = np.where(k == 0, 0.5, w)
+    c, s = np.cos(np.outer(k, GRID)), np.sin(np.outer(k, GRID))
+    a, b = cosines * (w / (math.pi * n)), sines * (w / (math.pi * n))
+    return np.stack([a @ c + b @ s, (b * k) @ c - (a * k) @ s, -(a * k * k) @ c - (b * k * k) @ s])
 
 
 def minima(gradient: np.ndarray, second: np.ndarray, most: int, step: float, rounds: int, tolerance: float) -> list[float]:

@@ -10,30 +10,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from infotraj.functions.vonmises import kernel_sums, minima, scaled_bessel, smoothing
+from infotraj.functions.vonmises import GRID, density_of_moments, minima, smoothing, weights
 from infotraj.operators.small import if_small
 
 
+def moments(coords: DataFrame, most: int) -> DataFrame:
+    """(dof, k, c, s): sums of cos kx and sin kx of each torsion, k from 0 (the number of angles) to most - 1.
+
+    Built-in functions all the way: what leaves a task is `most` rows a torsion, however many frames it has.
+    """
+    t = coords.where(F.col("dof_type") == "torsion").select("dof", "x", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("k"))
+    return t.groupBy("dof", "k").agg(F.sum(F.cos(F.col("k") * F.col("x"))).alias("c"), F.sum(F.sin(F.col("k") * F.col("x"))).alias("s"))
+
+
 def density(coords: DataFrame, n_frames: int, kappa: float = 1.0) -> DataFrame:
     """(dof, degree, density, gradient, second) of each torsion at 0 to 360 degrees.
 
-    Each task sums over its own part of the frames; 361 rows for a torsion and batch are what is shuffled and added.
+    The kernel is a low-pass filter of the circle's moments, so their sums are all that is needed of the frames; a torsion's own
+    moments, a row of two arrays, then give its 361 values.
     """
-    nu = smoothing(max(1, n_frames), kappa)
-    scale = 2 * np.pi * max(1, n_frames) * scaled_bessel(0, nu)
+    n = max(1, n_frames)
+    w = weights(smoothing(n, kappa))
+    names = ["dof", "degree", "density", "gradient", "second"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dof, x = batch.column("dof").to_numpy(), batch.column("x").to_numpy()
-            order = np.argsort(dof, kind="stable")
-            names, starts = np.unique(dof[order], return_index=True)
-            for d, part in zip(names.tolist(), np.split(x[order], starts[1:]), strict=True):
-                sums = kernel_sums(part, nu)
-                degree = np.arange(sums.shape[1], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full_like(degree, d)), pa.array(degree), *map(pa.array, sums)], names=["dof", "degree", "density", "gradient", "second"])
-
-    sums = coords.where(F.col("dof_type") == "torsion").select("dof", "x").mapInArrow(run, "dof int, degree int, density double, gradient double, second double")
-    return sums.groupBy("dof", "degree").agg((F.sum("density") / scale).alias("density"), (F.sum("gradient") * nu / scale).alias("gradient"), (F.sum("second") * nu / scale).alias("second"))
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                c, s = (part.column(x).flatten().to_numpy().reshape(part.num_rows, -1) for x in ("c", "s"))
+                degree = np.tile(np.arange(len(GRID), dtype=np.int32), part.num_rows)
+                dof = np.repeat(part.column("dof").to_numpy(), len(GRID))
+                yield pa.RecordBatch.from_arrays([pa.array(dof), pa.array(degree), *(pa.array(x.ravel()) for x in density_of_moments(c, s, n, w))], names=names)
+
+    gathered = moments(coords, len(w)).groupBy("dof").agg(F.sort_array(F.collect_list(F.struct("k", "c", "s"))).alias("m")).select("dof", F.col("m.c").alias("c"), F.col("m.s").alias("s"))
+    return gathered.mapInArrow(run, "dof int, degree int, density double, gradient double, second double")
 
 
 def torsion_minima(dens: DataFrame, nmaxconf: int = 5, step: float = 5.0, rounds: int = 1000, tolerance: float = 1e-4) -> DataFrame:

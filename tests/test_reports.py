@@ -124,3 +124,25 @@ def test_tree_order_and_maxima(spark):
     two = vonmises.minima(gradient, second, 2, 5.0, 200, 1e-4)
     assert len(two) == 2 and len(vonmises.minima(gradient, second, 3, 5.0, 200, 1e-4)) == 3
     assert discretize.TWO_PI > max(two) > math.radians(150) > 0
+
+
+def test_moments_leave_a_few_rows_a_torsion_and_skip_missing_angles(spark):
+    rng = np.random.default_rng(8)
+    x = rng.random((5, 40)) * 2 * math.pi
+    rows = [("torsion", d, f, float(v)) for d, xs in enumerate(x) for f, v in enumerate(xs) if (d, f) != (1, 7)] + [("bond", 0, 0, 1.0)]
+    c = spark.createDataFrame(rows, "dof_type string, dof int, frame long, x double")
+    nu = vonmises.smoothing(40, 1.0)
+    w = vonmises.weights(nu)
+    for k in (0, 1, 5, len(w) - 1):
+        assert math.isclose(w[k], vonmises.scaled_bessel(k, nu) / vonmises.scaled_bessel(0, nu), rel_tol=1e-3, abs_tol=1e-15)
+    assert kde.moments(c, len(w)).count() == 5 * len(w)
+    got = {(r["dof"], r["degree"]): (r["density"], r["gradient"], r["second"]) for r in kde.density(c, 40).collect()}
+    assert len(got) == 5 * 361
+    scale = 2 * math.pi * 40 * vonmises.scaled_bessel(0, nu)
+    for d, degree in ((0, 0), (1, 90), (4, 271)):
+        e = [(math.cos(math.radians(degree) - v), math.sin(math.radians(degree) - v)) for _, dd, _, v in rows[:-1] if dd == d]
+        k = [math.exp(nu * (a - 1)) for a, _ in e]
+        wanted = sum(k) / scale, -nu * sum(q * b for q, (_, b) in zip(k, e, strict=True)) / scale, nu * sum((nu * b * b - a) * q for q, (a, b) in zip(k, e, strict=True)) / scale
+        assert np.allclose(got[d, degree], wanted, rtol=1e-10, atol=1e-12)
+    plan = kde.moments(c, len(w))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
