@@ -5,6 +5,11 @@ The SQL counts over dense grids of all bins; the engine does not build those.
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+import uuid
 from functools import cached_property, partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +18,7 @@ from pyspark.sql import functions as F
 from infotraj.operators import discretize, estimators, kde, score, tiles
 from infotraj.operators.histogram import Steps, hist1d, hist2d, hist2d_frames, step_window
 from infotraj.operators.small import held, if_small, is_local, like
-from infotraj.sources import selection
+from infotraj.sources import classic, selection
 from infotraj.sources.trajectory import TYPES, from_embeddings, from_events
 
 NBINS, NSTEPS = 10, 4
@@ -90,6 +95,39 @@ def q_hist1d_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.hist1d_tiles(tiles.pack(p.t.wide, p.ext, p.schemes), p.steps).drop("scheme", "nbins")
 
 
+def _store_folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors mount: under spark.checkpoint.dir where that is set, else a local session's own."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = tempfile.gettempdir()
+    path = f"{top.removeprefix('file://').removeprefix('file:').rstrip('/')}/stores-{uuid.uuid4().hex}"
+    os.makedirs(path)
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+def q_store_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins written as stores of the classic layout, one a type, and every third frame from the tenth on read back and counted."""
+    p, folder = Plan(spark, sf_dir), _store_folder(spark)
+    packed, back = tiles.pack(p.t.wide, p.ext, p.schemes), None
+    for t in TYPES:
+        classic.write_bins(packed, p.ext, p.schemes, p.t.n_frames, t, f"{folder}/{t}.nc")
+        read = classic.read_bins(spark, f"{folder}/{t}.nc", 10, 3)
+        back = read if back is None else back.unionByName(read)
+    frames = len(range(10, p.t.n_frames, 3))
+    return hist1d(back, Steps(frames, NSTEPS)).drop("scheme", "nbins")
+
+
+def q_store_hist2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histograms of all pairs of a bond and a torsion, written as a store and read back, empty cells left out."""
+    p, path = Plan(spark, sf_dir), f"{_store_folder(spark)}/hist.nc"
+    classic.write_histograms(p.hist2d(pair_types=("BD",)), p.ext, p.schemes, p.steps, "BD", path)
+    ids, cell = F.col("ids"), F.col("cell")
+    return classic.read_histograms(spark, path).select(ids[0].alias("d1"), ids[1].alias("d2"), F.floor(cell / NBINS).cast("int").alias("b1"), (cell % NBINS).cast("int").alias("b2"), "step", "cnt")
+
+
 def q_hist2d(form: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return Plan(spark, sf_dir).hist2d(form).select("pair_type", "d1", "d2", "b1", "b2", "step", "cnt")
 
@@ -204,6 +242,7 @@ def q_kde_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f"extents_{k}": partial(q_extents, k) for k in TYPES}
 QUERIES |= {f"bins_{k}": partial(q_bins, k) for k in TYPES}
 QUERIES |= {"torsion_optimal_phase": q_phase, "hist1d_cumulative": q_hist1d, "hist2d_cumulative": partial(q_hist2d, "join"), "hist2d_blocks": partial(q_hist2d, "arrow"), "hist2d_tiles": partial(q_hist2d, "tiles"), "hist1d_tiles": q_hist1d_tiles}
+QUERIES |= {"store_stride_hist": q_store_stride, "store_hist2d": q_store_hist2d}
 QUERIES |= {f"entropy1d_{e.lower()}": partial(q_entropy1d, e, True) for e in estimators.ESTIMATORS}
 QUERIES |= {"entropy1d_nojac": partial(q_entropy1d, "ML", False)}
 QUERIES |= {f"entropy2d_{e.lower()}": partial(q_entropy2d, e, False) for e in estimators.ESTIMATORS}
@@ -369,11 +408,12 @@ ORACLES["bins_torsion"] = f"WITH {_COORDS}, {_PLAIN}, {_bins('tor')} SELECT dof,
 ORACLES["torsion_optimal_phase"] = f"WITH {_COORDS}, {_OPTIMAL} SELECT dof_type, dof, {_EXTENT} FROM opt"
 ORACLES["hist1d_cumulative"] = ORACLES["hist1d_tiles"] = f"{_BASE} SELECT dof_type, dof, bin, step, cnt FROM h1"
 ORACLES |= {k: f"{_BASE},\n{_H2} SELECT pair_type, d1, d2, b1, b2, step, cnt FROM h2" for k in ("hist2d_cumulative", "hist2d_blocks", "hist2d_tiles")}
+ORACLES["store_hist2d"] = f"{_BASE},\n{_H2} SELECT d1, d2, b1, b2, step, cnt FROM h2 WHERE pair_type = 'BD' AND cnt > 0"
 ORACLES |= {f"entropy1d_{e.lower()}": f"{_BASE}, {_s1(e)} SELECT dof_type, dof, step, {_R.format('s', 's')} FROM s1" for e in estimators.ESTIMATORS}
 ORACLES["entropy1d_nojac"] = f"{_BASE}, {_s1('ML', False)} SELECT dof_type, dof, step, {_R.format('s', 's')} FROM s1"
 ORACLES |= {f"entropy2d_{e.lower()}": f"{_BASE},\n{_H2},\n{_s2(e)} SELECT pair_type, d1, d2, step, {_R.format('s', 's')} FROM s2" for e in estimators.ESTIMATORS}
 ORACLES |= {f"entropy2d_{e.lower()}_strict": f"{_BASE},\n{_H2},\n{_s2(e, True)} SELECT pair_type, d1, d2, step, {_R.format('s', 's')} FROM s2" for e in ("CS", "JS")}
-ORACLES["frame_stride_hist"] = f"WITH {_EXT},\n{_bins('ext')},\n{_steps(10, 3)},\n{_H1} SELECT dof_type, dof, bin, step, cnt FROM h1"
+ORACLES["frame_stride_hist"] = ORACLES["store_stride_hist"] = f"WITH {_EXT},\n{_bins('ext')},\n{_steps(10, 3)},\n{_H1} SELECT dof_type, dof, bin, step, cnt FROM h1"
 ORACLES["frame_limit_hist"] = f"WITH {_EXT},\n{_bins('ext')},\n{_steps(7, 2, 301)},\n{_H1} SELECT dof_type, dof, bin, step, cnt FROM h1"
 ORACLES["subset_entropy"] = f"{_BASE}, {_s1('ML')} SELECT dof_type, dof, step, {_R.format('s', 's')} FROM s1 WHERE dof % 2 = 0"
 ORACLES["neighbor_pairs"] = f"WITH {_EXT}, {_PAIRS} SELECT * FROM pairs WHERE abs(d1 - d2) <= 3"
