@@ -7,7 +7,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from infotraj.operators import discretize, estimators, kde, score, tiles
+from infotraj.operators import discretize, estimators, kde, permute, score, tiles
 from infotraj.operators.histogram import Steps, step_window
 from infotraj.operators.small import held, if_small, is_local, release
 from infotraj.plans import reports
@@ -60,8 +60,10 @@ class Run:
             ext = discretize.extents(coords, c.optimizedih, c.referencenbins)
             out = discretize.bins(coords, ext, c.nbins)
         if c.shuffleframes or c.shuffledofs:
-            to = self._write(discretize.permutation(out, c.randseed + 1000, per_dof=c.shuffledofs), "shuffled")
-            out = discretize.permuted(out, to)
+            moved = permute.shuffled_frames(out, t.n_frames, c.randseed + 1000, c.shuffledofs)
+            frames = self.spark.range(t.n_frames).select(F.col("id").alias("frame"))
+            self._write(moved.where("scheme = 0").select("dof_type", "dof", "frame", "to") if c.shuffledofs else permute.shuffled_frames(frames, t.n_frames, c.randseed + 1000), "shuffled")
+            out = moved.withColumn("frame", F.col("to")).drop("to")
         self._write(ext, "extents")
         packable = is_local(ext) and t.wide is not None and not (c.kde or c.shuffleframes or c.shuffledofs)
         out = self._write(out, "bins", "dof_type")

@@ -15,7 +15,7 @@ from functools import cached_property, partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from infotraj.operators import discretize, estimators, kde, score, tiles
+from infotraj.operators import discretize, estimators, kde, permute, score, tiles
 from infotraj.operators.histogram import Steps, hist1d, hist2d, hist2d_frames, step_window
 from infotraj.operators.small import held, if_small, is_local, like
 from infotraj.sources import classic, selection
@@ -191,6 +191,17 @@ def q_shuffled(per_dof: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.groupBy("dof_type", "dof").agg(*frame, F.sum("x").alias("total")), "total")
 
 
+def q_permuted(per_dof: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a keyed permutation sends each frame of each coordinate."""
+    t = from_embeddings(spark, sf_dir)
+    return permute.shuffled_frames(t.coords.select("dof_type", "dof", "frame"), t.n_frames, 1000, per_dof)
+
+
+def q_permuted_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = from_embeddings(spark, sf_dir)
+    return permute.shuffled_blocks(t.wide.select("frame"), t.n_frames, 7 * NSTEPS, 1000)
+
+
 def _mist_of(spark: SparkSession, sf_dir: str) -> tuple[Plan, DataFrame, DataFrame, DataFrame]:
     p = Plan(spark, sf_dir)
     s1, mi = p.scored()
@@ -250,7 +261,7 @@ QUERIES |= {f"entropy2d_{e.lower()}_strict": partial(q_entropy2d, e, True) for e
 QUERIES |= {"frame_stride_hist": q_stride, "frame_limit_hist": q_frame_limit, "subset_entropy": q_subset, "neighbor_pairs": q_neighbors}
 QUERIES |= {f"mi_{k.lower()}": partial(q_mi, k) for k in selection.PAIR_TYPES}
 QUERIES |= {"mie_convergence": q_mie, "multi_scheme_entropy": q_schemes, "hist_step_window": q_window, "events_histogram": q_events}
-QUERIES |= {"shuffled_frames": partial(q_shuffled, False), "shuffled_dofs": partial(q_shuffled, True)}
+QUERIES |= {"shuffled_frames": partial(q_shuffled, False), "shuffled_dofs": partial(q_shuffled, True), "permuted_frames": partial(q_permuted, False), "permuted_dofs": partial(q_permuted, True), "permuted_blocks": q_permuted_blocks}
 QUERIES |= {"mist_tree": q_tree, "mist_convergence": q_mist, "kde_density": q_kde_density, "kde_minima": q_kde_minima, "kde_minima_places": q_kde_minima_places, "kde_states": q_kde_states, "kde_entropy": q_kde_entropy}
 
 # The SQL, in common table expressions that build on each other. Numbers with an exponent are doubles there.
@@ -424,6 +435,32 @@ ORACLES["hist_step_window"] = f"{_BASE} SELECT dof_type, dof, bin, step, cnt FRO
 ORACLES["events_histogram"] = f"""WITH coords AS (SELECT 'bond' AS dof_type, 0 AS dof, event_id AS frame, value AS x FROM events WHERE value IS NOT NULL), total AS (SELECT max(event_id) + 1 AS n FROM events),
 {_LINEAR}, {_bins('lin')}, {_steps()}, {_H1} SELECT bin, step, cnt FROM h1"""
 ORACLES |= {k: f"WITH {_COORDS} SELECT dof_type, dof, count(*) AS n, count(*) AS frames, 0::BIGINT AS first, (SELECT n - 1 FROM total) AS last, {_R.format('sum(x)', 'total')} FROM coords GROUP BY dof_type, dof" for k in ("shuffled_frames", "shuffled_dofs")}
+
+
+def _permuted(numbers: str, n: str) -> str:
+    """CTEs that end in walk(key, x, y): where the permutation of numbers below n with each key of numbers(key) sends x."""
+    p, rounds = permute.PRIME, []
+    for k, (times, plus) in enumerate(permute.MIX):
+        one, other = ("l", "h") if k % 2 else ("h", "l")
+        mixed = f"((m * m) % {p} * {times} % {p})"
+        moved = f"({one} + {mixed}) % {'b' if k % 2 else 'a'} AS {one}, {other}"
+        rounds.append(f"r{k + 1} AS (SELECT key, x, a, b, {moved} FROM (SELECT *, ({other} + (key * {times} + {plus}) % {p}) % {p} AS m FROM r{k}))")
+    return f"""many AS ({n}), root AS (SELECT n, greatest(1, floor(sqrt(n))::BIGINT) AS root FROM many),
+radix AS (SELECT n, a, greatest(1, (n + a - 1) // a) AS b FROM (SELECT n, unnest(range(root - least(1000, root // 2), root + least(1000, root // 2) + 1)) AS a FROM root) ORDER BY a * greatest(1, (n + a - 1) // a), abs(a - greatest(1, (n + a - 1) // a)), a LIMIT 1),
+keys AS ({numbers}),
+r0 AS (SELECT key, x, a, b, x // b AS h, x % b AS l FROM (SELECT a, b, unnest(range(a * b)) AS x FROM radix), keys),
+{", ".join(rounds)},
+net AS MATERIALIZED (SELECT key, x, h * b + l AS y FROM r{permute.ROUNDS}),
+walk AS (SELECT key, x, y, 0 AS i FROM net UNION ALL SELECT walk.key, walk.x, net.y, i + 1 FROM walk JOIN net ON net.key = walk.key AND net.x = walk.y, many WHERE walk.y >= n)"""
+
+
+_FRAMES = "SELECT n FROM total"
+_KEY = "(((1000::BIGINT * 48271 + list_position(['bond', 'angle', 'torsion'], dof_type) + 12345) % 2147483647) * 48271 + dof + 12345) % 2147483647"
+for _name, _keys, _on in (("permuted_frames", "SELECT 1000::BIGINT AS key", "1000"), ("permuted_dofs", f"SELECT DISTINCT {_KEY} AS key FROM coords", _KEY)):
+    ORACLES[_name] = f"WITH RECURSIVE {_COORDS}, {_permuted(_keys, _FRAMES)} SELECT dof_type, dof, frame, y AS \"to\" FROM coords JOIN walk ON walk.key = {_on} AND walk.x = frame, many WHERE y < n"
+ORACLES["permuted_blocks"] = f"""WITH RECURSIVE {_COORDS}, {_permuted("SELECT 1000::BIGINT AS key", f"SELECT least({7 * NSTEPS}, n) AS n FROM total")}
+SELECT DISTINCT frame, CASE WHEN frame < size * {7 * NSTEPS} THEN y * size + frame % size ELSE frame END AS "to"
+FROM coords, (SELECT greatest(1, n // {7 * NSTEPS}) AS size FROM total), many LEFT JOIN walk ON walk.x = frame // size AND y < n WHERE y IS NOT NULL OR frame >= size * {7 * NSTEPS}"""
 ORACLES["mist_tree"] = f"{_tree()} SELECT step, pair_type, t1, d1, t2, d2, {_R.format('mi', 'mi')} FROM tree"
 ORACLES["mist_convergence"] = _mist()
 ORACLES["kde_density"] = f"WITH {_DENSITY} SELECT dof, degree, {', '.join(_R.format(c, c) for c in ('density', 'gradient', 'second'))} FROM dens"

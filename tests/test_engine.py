@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from infotraj.operators import discretize, estimators, histogram, score, small, tiles
+from infotraj.operators import discretize, estimators, histogram, permute, score, small, tiles
 from infotraj.plans import config
 from infotraj.plans.run import Run
 from infotraj.sources import selection
@@ -257,3 +257,23 @@ def test_a_held_table_is_computed_once(spark):
         assert seen.value - before == 6_000
         small.release(df)
         assert not df.is_cached
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 97, 500, 1999])
+def test_keyed_permutations_are_bijections(spark, n):
+    df = spark.range(-1, n + 1).select(F.col("id").alias("frame"), F.lit("bond").alias("dof_type"), F.lit(3).alias("dof"))
+    got = {r.frame: r.to for r in permute.shuffled_frames(df, n, 77).collect()}
+    assert sorted(got) == sorted(got.values()) == list(range(-1, n + 1)) and got[-1] == -1 and got[n] == n
+    assert [got[x] for x in range(n)] == [permute.plain_permutation(x, n, 77) for x in range(n)]
+    if n > 90:
+        own = {r.frame: r.to for r in permute.shuffled_frames(df, n, 77, per_dof=True).collect()}
+        assert own != got and sorted(own.values()) == sorted(got.values())
+        assert sum(abs(got[x] - got[x + 1]) == 1 for x in range(n - 1)) < n / 10  # neighbours part
+
+
+def test_blocks_change_places_whole(spark):
+    got = [r.to for r in permute.shuffled_blocks(spark.range(23).withColumnRenamed("id", "frame"), 23, 5, 3).orderBy("frame").collect()]
+    assert sorted(got) == list(range(23)) and got[20:] == [20, 21, 22]
+    assert all(got[k + 1] - got[k] == 1 for k in range(20) if k % 4 < 3)
+    plan = permute.shuffled_frames(spark.range(9).withColumnRenamed("id", "frame"), 9, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan and permute.radices(10**12)[0] == 10**6
