@@ -158,6 +158,21 @@ def q_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.all_pairs(discretize.linear_extents(from_embeddings(spark, sf_dir).coords).unionByName(discretize.torsion_extents(from_embeddings(spark, sf_dir).coords)).select("dof_type", "dof"), max_apart=3)
 
 
+def q_subset_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As q_subset, the subset written to a file and read from it."""
+    p, path = Plan(spark, sf_dir), f"{_store_folder(spark)}/subset"
+    selection.write_subset(p.ext, p.ext.where("dof % 2 = 0"), path)
+    p.bins = p.bins.join(if_small(selection.read_subset(spark, path)), ["dof_type", "dof"], "left_semi")
+    return rounded(p.entropy1d(["ML"]).select("dof_type", "dof", "step", "s"), "s")
+
+
+def q_neighbor_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As q_neighbors, the pairs written to a neighbour file and read from it."""
+    path = f"{_store_folder(spark)}/neighbours"
+    selection.write_neighbors(q_neighbors(spark, sf_dir), path)
+    return selection.read_neighbors(spark, path)
+
+
 def q_mi(pair_type: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Plan(spark, sf_dir, types=set(selection.PAIR_TYPES[pair_type][1:]))
     return rounded(p.mi(("MM",), (pair_type,)).select("pair_type", "d1", "d2", "step", "mi"), "mi")
@@ -258,7 +273,7 @@ QUERIES |= {f"entropy1d_{e.lower()}": partial(q_entropy1d, e, True) for e in est
 QUERIES |= {"entropy1d_nojac": partial(q_entropy1d, "ML", False)}
 QUERIES |= {f"entropy2d_{e.lower()}": partial(q_entropy2d, e, False) for e in estimators.ESTIMATORS}
 QUERIES |= {f"entropy2d_{e.lower()}_strict": partial(q_entropy2d, e, True) for e in ("CS", "JS")}
-QUERIES |= {"frame_stride_hist": q_stride, "frame_limit_hist": q_frame_limit, "subset_entropy": q_subset, "neighbor_pairs": q_neighbors}
+QUERIES |= {"frame_stride_hist": q_stride, "frame_limit_hist": q_frame_limit, "subset_entropy": q_subset, "neighbor_pairs": q_neighbors, "subset_file_entropy": q_subset_file, "neighbor_file_pairs": q_neighbor_file}
 QUERIES |= {f"mi_{k.lower()}": partial(q_mi, k) for k in selection.PAIR_TYPES}
 QUERIES |= {"mie_convergence": q_mie, "multi_scheme_entropy": q_schemes, "hist_step_window": q_window, "events_histogram": q_events}
 QUERIES |= {"shuffled_frames": partial(q_shuffled, False), "shuffled_dofs": partial(q_shuffled, True), "permuted_frames": partial(q_permuted, False), "permuted_dofs": partial(q_permuted, True), "permuted_blocks": q_permuted_blocks}
@@ -426,8 +441,8 @@ ORACLES |= {f"entropy2d_{e.lower()}": f"{_BASE},\n{_H2},\n{_s2(e)} SELECT pair_t
 ORACLES |= {f"entropy2d_{e.lower()}_strict": f"{_BASE},\n{_H2},\n{_s2(e, True)} SELECT pair_type, d1, d2, step, {_R.format('s', 's')} FROM s2" for e in ("CS", "JS")}
 ORACLES["frame_stride_hist"] = ORACLES["store_stride_hist"] = f"WITH {_EXT},\n{_bins('ext')},\n{_steps(10, 3)},\n{_H1} SELECT dof_type, dof, bin, step, cnt FROM h1"
 ORACLES["frame_limit_hist"] = f"WITH {_EXT},\n{_bins('ext')},\n{_steps(7, 2, 301)},\n{_H1} SELECT dof_type, dof, bin, step, cnt FROM h1"
-ORACLES["subset_entropy"] = f"{_BASE}, {_s1('ML')} SELECT dof_type, dof, step, {_R.format('s', 's')} FROM s1 WHERE dof % 2 = 0"
-ORACLES["neighbor_pairs"] = f"WITH {_EXT}, {_PAIRS} SELECT * FROM pairs WHERE abs(d1 - d2) <= 3"
+ORACLES["subset_entropy"] = ORACLES["subset_file_entropy"] = f"{_BASE}, {_s1('ML')} SELECT dof_type, dof, step, {_R.format('s', 's')} FROM s1 WHERE dof % 2 = 0"
+ORACLES["neighbor_pairs"] = ORACLES["neighbor_file_pairs"] = f"WITH {_EXT}, {_PAIRS} SELECT * FROM pairs WHERE abs(d1 - d2) <= 3"
 ORACLES |= {f"mi_{k.lower()}": f"{_chain('MM')} SELECT pair_type, d1, d2, step, {_R.format('mi', 'mi')} FROM m WHERE pair_type = '{k}'" for k in selection.PAIR_TYPES}
 ORACLES["mie_convergence"] = _mie()
 ORACLES["multi_scheme_entropy"] = f"WITH {_EXT},\n{_bins('ext', (5, 12))},\n{_steps()},\n{_H1},\n{_s1('ML')} SELECT dof_type, dof, scheme, step, {_R.format('s', 's')} FROM s1"

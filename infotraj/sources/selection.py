@@ -1,6 +1,6 @@
 """Which degrees of freedom and which pairs take part: files, defaults and joins with them.
 
-Both files hold records that end in a semicolon. A subset record is `type total n id...`, a neighbour record is
+Both files, or folders of such files, hold records that end in a semicolon; tasks read ranges of bytes and part them there. A subset record is `type total n id...`, a neighbour record is
 `kind id n id...`. Records that begin with # are comments, those with n = 0 say nothing, and of records with the same
 key the first counts.
 """
@@ -27,10 +27,11 @@ PAIR_TYPES = {
 
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
-    """(at, key, second, n, ids): the records of a file that count, in their order."""
-    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", ";")).alias("at", "record"))
+    """(at, key, second, n, ids): the records that count, and where they stand: file, first byte of the split, place in it."""
+    text = spark.read.option("lineSep", ";").text(path)
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("place"))
     words = F.filter(F.split(F.trim(F.regexp_replace("record", r"\s+", " ")), " "), lambda w: w != "")
-    good = text.withColumn("w", words).where((F.size("w") >= 3) & ~F.startswith(F.get("w", F.lit(0)), F.lit("#")))
+    good = text.select(at.alias("at"), F.col("value").alias("record")).withColumn("w", words).where((F.size("w") >= 3) & ~F.startswith(F.get("w", F.lit(0)), F.lit("#")))
     good = good.select("at", F.lower(F.get("w", F.lit(0))).alias("key"), F.get("w", F.lit(1)).cast("int").alias("second"), F.get("w", F.lit(2)).cast("int").alias("n"), F.slice("w", F.lit(4), F.size("w")).cast("array<int>").alias("ids"))
     return good.where("n > 0").withColumn("ids", F.slice("ids", F.lit(1), F.col("n")))
 
@@ -52,6 +53,31 @@ def _kinds(column: Column, place: int) -> Column:
     return out
 
 
+def _write(records: DataFrame, path: str) -> None:
+    records.select(F.col("record").alias("value")).write.option("lineSep", ";\n").text(path)
+
+
+def _ids(column: str) -> Column:
+    ids = F.sort_array(F.collect_set(column))
+    return F.concat_ws(" ", F.size(ids).cast("string"), F.array_join(ids.cast("array<string>"), " "))
+
+
+def write_subset(dofs: DataFrame, subset: DataFrame, path: str) -> None:
+    """A folder of records of the degrees of freedom of a subset (dof_type, dof), with the number of all dofs of their type."""
+    total = dofs.groupBy("dof_type").agg(F.countDistinct("dof").alias("total"))
+    rows = subset.groupBy("dof_type").agg(_ids("dof").alias("ids")).join(total, "dof_type")
+    _write(rows.select(F.concat_ws(" ", "dof_type", "total", "ids").alias("record")), path)
+
+
+def write_neighbors(pairs: DataFrame, path: str) -> None:
+    """A folder of records of pairs (pair_type, d1, d2): one for each kind and first coordinate."""
+    kind = None
+    for name, (record, _, _) in PAIR_TYPES.items():
+        kind = (F if kind is None else kind).when(F.col("pair_type") == name, record)
+    rows = pairs.select(kind.alias("kind"), "d1", "d2").groupBy("kind", "d1").agg(_ids("d2").alias("ids"))
+    _write(rows.select(F.concat_ws(" ", "kind", "d1", "ids").alias("record")), path)
+
+
 def read_neighbors(spark: SparkSession, path: str) -> DataFrame:
     """pairs(pair_type, t1, d1, t2, d2) from a neighbour file."""
     got = _first(_records(spark, path), "key", "second")

@@ -277,3 +277,20 @@ def test_blocks_change_places_whole(spark):
     assert all(got[k + 1] - got[k] == 1 for k in range(20) if k % 4 < 3)
     plan = permute.shuffled_frames(spark.range(9).withColumnRenamed("id", "frame"), 9, 3)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and permute.radices(10**12)[0] == 10**6
+
+
+def test_records_are_parted_across_tasks_and_the_first_of_a_key_counts(spark, tmp_path):
+    rng = random.Random(2)
+    lines = [f"bond {i % 400} 2 {i} {i + 1 + rng.randrange(9)}" for i in range(3000)]
+    (tmp_path / "n").write_text(";\n".join(lines) + ";\n# bond 5 1 1;\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = selection.read_neighbors(spark, str(tmp_path / "n"))
+        assert spark.read.option("lineSep", ";").text(str(tmp_path / "n")).rdd.getNumPartitions() > 8
+        first = {int(x.split()[1]): x.split()[3:] for x in reversed(lines)}
+        assert sorted((r.d1, r.d2) for r in got.collect()) == sorted({(k, int(v)) for k, vs in first.items() for v in vs})
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
