@@ -5,9 +5,9 @@
 2. All words have one order: the rarer ones (by the log of their own cell's count, then by hash) come last. A phrase belongs to its
    last word, its pivot, at that word's leftmost place in it.
 3. Texts are rewritten for each pivot: the words before and after one of its places, up to the first that is rarer, stands behind
-   infrequent neighbours, or would make the phrase too long. Equal fragments of a slice of text become one with a count and are routed by pivot;
-   pivots of very frequent words are dealt over several parts.
-4. Each part counts the phrases that hold the pivot, and none else. Phrases below the least count go, at once where the pivot is whole.
+   infrequent neighbours, or would make the phrase too long. Equal fragments of a slice of text become one with a count and are routed
+   by pivot, a row for each slice and bucket of pivots; those of very frequent words are dealt over several parts.
+4. Each bucket counts the phrases of its pivots, and none else. Phrases below the least count go, at once where the pivot is whole.
 5. Each phrase is cut in two at every place; both parts are themselves frequent, so joins find their counts. The lowest score
    counts. Phrases that stand nearly always inside a longer one are dropped: the longer by one word suffices, as it is the most frequent.
 
@@ -35,6 +35,8 @@ from infotraj.llm.common import free, sorted_runs, table, text_slices
 MIN_COUNT, MOST_WORDS, TOP, CONTAINED = 100, 5, 2000, 100
 #: Bits of the tables of word cells and of cells of neighbours; cells of a row; rows of one pivot that a part gets, as bits.
 WORD_BITS, PAIR_BITS, ROW_BITS, PART_BITS = 20, 22, 16, 18
+#: Words of the input for each bucket of pivots that is mined at a time.
+BUCKET_WORDS = 1 << 20
 #: Characters of text a slice, and words that a task remembers.
 SLICE, REMEMBERED = 8 << 20, 1_000_000
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
@@ -167,10 +169,14 @@ def windows(key: np.ndarray, link: np.ndarray, most: int) -> tuple[np.ndarray, n
     return left, right
 
 
-def fragments(slim: DataFrame, bits: np.ndarray, codes: np.ndarray, most: int, part_bits: int = PART_BITS) -> DataFrame:
-    """(lang, pivot, parts, before, after, n): fragments of all texts, equal ones of a slice as one."""
+def fragments(slim: DataFrame, bits: np.ndarray, codes: np.ndarray, most: int, buckets: int, part_bits: int = PART_BITS) -> DataFrame:
+    """(lang, bucket, pivot, parts, before, after, n): fragments of all texts, a row for each bucket of pivots and slice of text.
+
+    From pivot on all are arrays: a distinct fragment's pivot, how many parts that pivot is dealt over, the words before and after it,
+    and how often it is found.
+    """
     sent = slim.sparkSession.sparkContext.broadcast((np.packbits(bits), codes))
-    names = ["lang", "pivot", "parts", "before", "after", "n"]
+    names = ["lang", "bucket", "pivot", "parts", "before", "after", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed, code_of = sent.value
@@ -211,42 +217,54 @@ def fragments(slim: DataFrame, bits: np.ndarray, codes: np.ndarray, most: int, p
         before = [b" ".join([words[i] for i in r if i >= 0]) for r in rows[:, :mid].tolist()]
         after = [b" ".join([words[i] for i in r if i >= 0]) for r in rows[:, most:].tolist()]
         pivot = rows[:, mid]
-        parts = np.maximum(0, code[pivot].astype(np.int64) - part_bits)
+        parts = 1 << np.maximum(0, code[pivot].astype(np.int64) - part_bits)
+        part = np.zeros(len(rows), dtype=np.int64)
+        for k in np.flatnonzero(parts > 1).tolist():
+            part[k] = xxhash.xxh64_intdigest(before[k] + b"\0" + after[k]) % int(parts[k])
+        owner, owned = np.unique(np.stack([pivot, part]), axis=1, return_inverse=True)
+        home = np.fromiter((xxhash.xxh64_intdigest(w.start + words[p] + b"\0%d" % k) % buckets for p, k in owner.T.tolist()), np.int64, owner.shape[1])
+        order = np.lexsort((pivot, home[owned.ravel()]))
+        bucket = home[owned.ravel()][order]
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        ends = pa.array(np.append(starts, len(rows)).astype(np.int32))
         text = lambda x: pa.array(x, pa.binary()).cast(pa.string())
-        cols = [pa.array([lang] * len(rows), pa.string()), text([words[i] for i in pivot.tolist()]), pa.array(1 << parts, pa.int64()), text(before), text(after), pa.array(n, pa.int64())]
+        at = order.tolist()
+        lists = [text([words[i] for i in pivot[order].tolist()]), pa.array(parts[order]), text([before[k] for k in at]), text([after[k] for k in at]), pa.array(n[order], pa.int64())]
+        cols = [pa.array([lang] * len(starts), pa.string()), pa.array(bucket[starts]), *(pa.ListArray.from_arrays(ends, x) for x in lists)]
         return pa.RecordBatch.from_arrays(cols, names=names)
 
-    return slim.mapInArrow(run, "lang string, pivot string, parts long, before string, after string, n long")
+    return slim.mapInArrow(run, "lang string, bucket long, pivot array<string>, parts array<long>, before array<string>, after array<string>, n array<long>")
 
 
 def mine(routed: DataFrame, min_count: int, most: int) -> DataFrame:
     """(lang, phrase, n): how often each phrase that a pivot owns is in its fragments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in sorted_runs(batches, ["lang", "pivot", "part"]):
-            lang, pivot, parts, before, after, n = (t.column(c).to_pylist() for c in ("lang", "pivot", "parts", "before", "after", "n"))
+        for t, starts in sorted_runs(batches, ["bucket", "lang"]):
+            lang, lists = t.column("lang").to_pylist(), [t.column(c) for c in ("pivot", "parts", "before", "after", "n")]
             out: tuple[list[str], list[str], list[int]] = ([], [], [])
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
-                count: dict[str, int] = defaultdict(int)
-                for k in range(s, e):
-                    ends = [""]
-                    for w in after[k].split(" ") if after[k] else ():
-                        ends.append(f"{ends[-1]} {w}")
-                    head, m = pivot[s], n[k]
-                    for end in ends[1:most]:
-                        count[head + end] += m
-                    for i, w in enumerate(reversed(before[k].split(" ")) if before[k] else (), 1):
-                        head = f"{w} {head}"
-                        for end in ends[: most - i]:
+                whole: dict[str, int] = defaultdict(int)
+                partial: dict[str, int] = defaultdict(int)
+                for row in range(s, e):
+                    for head, parts, left, right, m in zip(*(x[row].as_py() for x in lists), strict=True):
+                        count = whole if parts == 1 else partial
+                        ends = [""]
+                        for w in right.split(" ") if right else ():
+                            ends.append(f"{ends[-1]} {w}")
+                        for end in ends[1:most]:
                             count[head + end] += m
-                good = [(p, c) for p, c in count.items() if c >= min_count or parts[s] > 1]
+                        for i, w in enumerate(reversed(left.split(" ")) if left else (), 1):
+                            head = f"{w} {head}"
+                            for end in ends[: most - i]:
+                                count[head + end] += m
+                good = [(p, c) for p, c in whole.items() if c >= min_count] + list(partial.items())
                 out[0].extend([lang[s]] * len(good))
                 out[1].extend(p for p, _ in good)
                 out[2].extend(c for _, c in good)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], names=["lang", "phrase", "n"])
 
-    dealt = routed.withColumn("part", F.pmod(F.xxhash64("before", "after"), F.col("parts")))
-    dealt = dealt.repartition("lang", "pivot", "part").sortWithinPartitions("lang", "pivot", "part")
+    dealt = routed.repartition("bucket").sortWithinPartitions("bucket", "lang")
     found = dealt.mapInArrow(run, "lang string, phrase string, n long")
     return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
 
@@ -265,7 +283,8 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     free(counted)
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     single = words.where(F.col("n") >= min_count).select("lang", F.col("word").alias("phrase"), "n")
-    phrases = table(mine(fragments(slim, bits, codes, most, part_bits), min_count, most).unionByName(single).join(totals, "lang"), "phrases")
+    buckets = 64 + (totals.agg(F.sum("total")).first()[0] or 0) // BUCKET_WORDS
+    phrases = table(mine(fragments(slim, bits, codes, most, buckets, part_bits), min_count, most).unionByName(single).join(totals, "lang"), "phrases")
     free(words)
 
     parts = F.split("phrase", " ")
