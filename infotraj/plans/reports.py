@@ -16,10 +16,10 @@ LETTER = {"bond": "B", "angle": "A", "torsion": "T"}
 HEADS = {"TIME": "TIME", "BOND_S1": "BOND-S1", "ANGLE_S1": "ANGLE-S1", "DIHED_S1": "DIHED-S1", "S1": "S1", "S2": "S2"}
 
 
-def write_file(spark: SparkSession, path: str, lines: list[str]) -> None:
-    """One file of these lines, in whatever store the path names; one that exists is not overwritten."""
+def write_file(spark: SparkSession, path: str, lines: list[str], overwrite: bool = False) -> None:
+    """One file of these lines, in whatever store the path names; one that exists is not overwritten unless asked for."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, False)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, overwrite)
     try:
         out.write(bytearray("".join(f"{x}\n" for x in lines).encode()))
     finally:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from infotraj.operators.histogram import Steps, step_window
 from infotraj.operators.small import held, if_small, is_local, release
 from infotraj.plans import reports
 from infotraj.plans.config import Config
+from infotraj.plans.progress import Progress
 from infotraj.sources import selection
 from infotraj.sources.trajectory import Trajectory, read_wide
 
@@ -22,7 +21,7 @@ class Run:
     Histograms are counted from tiles, so that no row for a frame is shuffled.
 
     Histograms are written if writefreq is set, of the coordinates and pairs of writeset and the steps of the window.
-    Shuffled frames leave their permutation as a table shuffled. Reports and the progress file are single text files.
+    Shuffled frames leave their permutation as a table shuffled. Reports and the progress file, which is written while the run goes on, are single text files.
     Tables that exist are not overwritten unless overwrite is set.
     """
 
@@ -33,7 +32,7 @@ class Run:
         if trajectory is not None:
             trajectory = trajectory.limited(sum(config.inputframes)) if config.inputframes else trajectory
             trajectory.expect({"bond": config.nbond, "angle": config.nangle, "torsion": config.ndihed})
-        self.trajectory, self.took = trajectory, []
+        self.trajectory = trajectory
 
     def path(self, name: str) -> str:
         return f"{self.config.outfilepath}/{name}"
@@ -123,9 +122,8 @@ class Run:
 
     def __call__(self) -> None:
         c = self.config
-        for wanted, name, stage in ((c.discretize, "discretise", self.discretise), (c.calcentropy, "entropies", self.entropies), (c.genconvgdata, "reports", self.report)):
-            if wanted:
-                began = time.monotonic()
+        stages = [(name, stage) for wanted, name, stage in ((c.discretize, "discretise", self.discretise), (c.calcentropy, "entropies", self.entropies), (c.genconvgdata, "reports", self.report)) if wanted]
+        progress = Progress(self.spark, self.path(c.infofile), [name for name, _ in stages], overwrite=self.mode == "overwrite")
+        for name, stage in stages:
+            with progress.stage(name):
                 stage()
-                self.took.append(f"{name:<12}{time.monotonic() - began:12.3f} s")
-        reports.write_file(self.spark, self.path(c.infofile), self.took)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from infotraj.functions import vonmises
 from infotraj.operators import discretize, kde
-from infotraj.plans import config, reports
+from infotraj.plans import config, progress, reports
 from infotraj.plans.run import Run
 from infotraj.sources import trajectory
 
@@ -146,3 +146,38 @@ def test_moments_leave_a_few_rows_a_torsion_and_skip_missing_angles(spark):
         assert np.allclose(got[d, degree], wanted, rtol=1e-10, atol=1e-12)
     plan = kde.moments(c, len(w))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_progress_counts_rise_while_a_run_goes_on(spark, tmp_path):
+    import threading
+    import time
+
+    def slow(batches):
+        for b in batches:
+            time.sleep(0.3)
+            yield b
+
+    path, seen = str(tmp_path / "p.info"), []
+    p = progress.Progress(spark, path, ["one", "two"], interval=0.1)
+    assert [x.split()[1] for x in (tmp_path / "p.info").read_text().splitlines()] == ["Waiting", "Waiting"]
+    over = threading.Event()
+
+    def look():
+        while not over.wait(0.05):
+            lines = (tmp_path / "p.info").read_text().splitlines()
+            if len(lines) == 2 and "Running" in lines[0]:
+                seen.append(int(lines[0].split()[-5]))
+
+    watcher = threading.Thread(target=look)
+    watcher.start()
+    with p.stage("one"):
+        spark.range(40).repartition(40).mapInPandas(slow, "id long").write.format("noop").mode("overwrite").save()
+    over.set()
+    watcher.join()
+    assert len({*seen}) > 3 and seen == sorted(seen) and max(seen) < p.counts["one"][1]
+    with pytest.raises(ZeroDivisionError), p.stage("two"):
+        1 / 0
+    lines = [x.split() for x in (tmp_path / "p.info").read_text().splitlines()]
+    assert [x[1] for x in lines] == ["Completed", "Failed"] and lines[0][-5] == lines[0][-4] == str(p.counts["one"][1]) and p.counts["one"][1] >= 48
+    with pytest.raises(Exception, match="(?i)exist"):
+        progress.Progress(spark, path, ["one"])
