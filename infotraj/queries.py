@@ -15,7 +15,7 @@ from functools import cached_property, partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from infotraj.operators import discretize, estimators, kde, permute, score, tiles
+from infotraj.operators import discretize, estimators, kde, permute, prefix, score, tiles
 from infotraj.operators.histogram import Steps, hist1d, hist2d, hist2d_frames, step_window
 from infotraj.operators.small import held, if_small, is_local, like
 from infotraj.sources import classic, selection
@@ -128,6 +128,20 @@ def q_store_hist2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classic.read_histograms(spark, path).select(ids[0].alias("d1"), ids[1].alias("d2"), F.floor(cell / NBINS).cast("int").alias("b1"), (cell % NBINS).cast("int").alias("b2"), "step", "cnt")
 
 
+def q_running(append: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usual steps from stored running counts; with append the second half of the frames is counted behind the first."""
+    p, path = Plan(spark, sf_dir), f"{_store_folder(spark)}/running"
+    n, size = p.t.n_frames, max(1, p.steps.size)
+    block = max(d for d in range(1, max(1, size // 5) + 1) if size % d == 0)
+    half = n // (2 * block) * block if append else n // block * block
+    kept = prefix.count(p.coords.where(F.col("frame") < half), half, p.ext, p.schemes, path, block)
+    if append:
+        rest = n // block * block - half
+        later = p.coords.where((F.col("frame") >= half) & (F.col("frame") < half + rest)).withColumn("frame", F.col("frame") - half)
+        kept.append(later, rest, p.schemes)
+    return kept.hist1d(Steps(size * NSTEPS, NSTEPS)).drop("scheme", "nbins")
+
+
 def q_hist2d(form: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return Plan(spark, sf_dir).hist2d(form).select("pair_type", "d1", "d2", "b1", "b2", "step", "cnt")
 
@@ -267,7 +281,7 @@ def q_kde_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f"extents_{k}": partial(q_extents, k) for k in TYPES}
 QUERIES |= {f"bins_{k}": partial(q_bins, k) for k in TYPES}
-QUERIES |= {"torsion_optimal_phase": q_phase, "hist1d_cumulative": q_hist1d, "hist2d_cumulative": partial(q_hist2d, "join"), "hist2d_blocks": partial(q_hist2d, "arrow"), "hist2d_tiles": partial(q_hist2d, "tiles"), "hist1d_tiles": q_hist1d_tiles}
+QUERIES |= {"torsion_optimal_phase": q_phase, "hist1d_cumulative": q_hist1d, "hist2d_cumulative": partial(q_hist2d, "join"), "hist2d_blocks": partial(q_hist2d, "arrow"), "hist2d_tiles": partial(q_hist2d, "tiles"), "hist1d_tiles": q_hist1d_tiles, "running_hist": partial(q_running, False), "running_hist_appended": partial(q_running, True)}
 QUERIES |= {"store_stride_hist": q_store_stride, "store_hist2d": q_store_hist2d}
 QUERIES |= {f"entropy1d_{e.lower()}": partial(q_entropy1d, e, True) for e in estimators.ESTIMATORS}
 QUERIES |= {"entropy1d_nojac": partial(q_entropy1d, "ML", False)}
@@ -432,7 +446,7 @@ ORACLES["extents_torsion"] = f"WITH {_COORDS}, {_PLAIN} SELECT dof_type, dof, {_
 ORACLES |= {f"bins_{k}": f"WITH {_COORDS}, {_LINEAR}, {_bins('lin')} SELECT dof, frame, bin FROM bins WHERE dof_type = '{k}'" for k in ("bond", "angle")}
 ORACLES["bins_torsion"] = f"WITH {_COORDS}, {_PLAIN}, {_bins('tor')} SELECT dof, frame, bin FROM bins"
 ORACLES["torsion_optimal_phase"] = f"WITH {_COORDS}, {_OPTIMAL} SELECT dof_type, dof, {_EXTENT} FROM opt"
-ORACLES["hist1d_cumulative"] = ORACLES["hist1d_tiles"] = f"{_BASE} SELECT dof_type, dof, bin, step, cnt FROM h1"
+ORACLES["hist1d_cumulative"] = ORACLES["hist1d_tiles"] = ORACLES["running_hist"] = ORACLES["running_hist_appended"] = f"{_BASE} SELECT dof_type, dof, bin, step, cnt FROM h1"
 ORACLES |= {k: f"{_BASE},\n{_H2} SELECT pair_type, d1, d2, b1, b2, step, cnt FROM h2" for k in ("hist2d_cumulative", "hist2d_blocks", "hist2d_tiles")}
 ORACLES["store_hist2d"] = f"{_BASE},\n{_H2} SELECT d1, d2, b1, b2, step, cnt FROM h2 WHERE pair_type = 'BD' AND cnt > 0"
 ORACLES |= {f"entropy1d_{e.lower()}": f"{_BASE}, {_s1(e)} SELECT dof_type, dof, step, {_R.format('s', 's')} FROM s1" for e in estimators.ESTIMATORS}

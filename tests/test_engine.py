@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from infotraj.operators import discretize, estimators, histogram, permute, score, small, tiles
+from infotraj.operators import discretize, estimators, histogram, permute, prefix, score, small, tiles
 from infotraj.plans import config
 from infotraj.plans.run import Run
 from infotraj.sources import selection
@@ -294,3 +294,25 @@ def test_records_are_parted_across_tasks_and_the_first_of_a_key_counts(spark, tm
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
         spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_running_counts_answer_any_steps_on_blocks(spark, tmp_path):
+    t = small_frames(spark, 60, (2, 2))
+    ext = discretize.extents(t.coords)
+    bins = discretize.bins(t.coords, ext, [4, 6])
+    kept = prefix.count(t.coords.where("frame < 40"), 40, ext, [4, 6], str(tmp_path / "r"), 5)
+    held = kept.counts.count()
+    later = t.coords.where("frame >= 40").withColumn("frame", F.col("frame") - 40)
+    kept.append(later, 20, [4, 6])
+    assert kept.n_frames == 60 and kept.counts.where("block < 8").count() == held  # what was counted is not touched
+    for steps in (histogram.Steps(60, 3), histogram.Steps(60, 12), histogram.Steps(60, 2, 10), histogram.Steps(45, 3, 15), histogram.Steps(60, 1, 20)):
+        got = kept.hist1d(steps)
+        assert listed(got) == listed(histogram.hist1d(bins, steps).select(*got.columns)), steps
+    for steps in (histogram.Steps(60, 3, 1), histogram.Steps(60, 3, 0, 2), histogram.Steps(60, 8), histogram.Steps(80, 4)):
+        with pytest.raises(ValueError):
+            kept.hist1d(steps)
+    with pytest.raises(ValueError, match="moved.*bond 0"):
+        kept.append(spark.createDataFrame([("bond", 0, f, 9.0) for f in range(5)], "dof_type string, dof int, frame long, x double"), 5, [4, 6])
+    with pytest.raises(ValueError, match="whole blocks"):
+        kept.append(later.where("frame < 3"), 3, [4, 6])
+    assert kept.n_frames == 60
