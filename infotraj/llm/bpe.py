@@ -14,6 +14,7 @@ printable characters, and the word-end suffix on the last. Files of another make
 
 Edges: a null or empty text has no tokens and decodes to the empty text. Symbols the vocabulary lacks are dropped, as
 its library does where there is no unknown token. Repeated rows and extra columns do not matter.
+An empty table gives no rows; ids are cast to long, and ids that are no numbers raise.
 """
 
 from __future__ import annotations

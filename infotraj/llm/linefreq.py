@@ -16,7 +16,8 @@ shuffle, serves; a hot host or line is one key of a pre-aggregated sum. Only lin
 and only texts that hold some pass through Python again.
 
 Edges: a null or empty text has no words and fails the base rules; a null host is a host of its own; repeated rows are
-equal texts; rows that share an id are judged each by its own text; extra columns are ignored.
+equal texts; rows that share an id are judged each by its own text; extra columns are ignored; an empty table gives no rows; ids are
+cast to long, and ids that are no numbers raise.
 """
 
 from __future__ import annotations

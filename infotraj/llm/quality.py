@@ -12,7 +12,7 @@ order of that hash. Features are made in parallel; the trainer sees indices and
 
 Edges: null texts are scored like empty ones; rows with a null id or label train nothing; without any label the score
 is 0.5; repeated labels of an id are averaged, and of rows that repeat a labelled id one (the least by its features)
-trains; extra columns are ignored.
+trains; extra columns are ignored; an empty table gives no rows; ids are cast to long, and ids that are no numbers raise.
 """
 
 from __future__ import annotations

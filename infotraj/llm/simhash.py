@@ -16,7 +16,8 @@ a bucket each node gives its first link; sets of shingles verify those, and a se
 not joined, so its links are those of all candidates. Equal sets fall together before any search.
 
 Edges: a null or empty text has fingerprint zero and is linked like any other. Null ids are a node of none: the row
-gets a null component. Repeated ids share one component if their fingerprints link. Extra columns are ignored.
+gets a null component. Repeated ids share one component if their fingerprints link. Extra columns are ignored. An
+empty table gives no rows; ids are cast to long, and ids that are no numbers raise.
 """
 
 from __future__ import annotations

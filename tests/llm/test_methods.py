@@ -12,7 +12,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 from test_operators import classes, sentence
 
-from infotraj.llm import chat, common, embeddings, langid, linededup, linefreq, quality, queries, sharding
+from infotraj.llm import chat, common, embeddings, langid, linededup, linefreq, mixing, quality, queries, sharding
 
 
 def unit(x):
@@ -269,3 +269,20 @@ def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
         assert "spark.checkpoint.dir" in str(e)
     else:
         raise AssertionError
+
+
+def test_targets_are_those_of_sharing_again_and_again(spark):
+    rng = random.Random(6)
+    for n in (1, 2, 5, 9, 14):
+        sizes = {f"s{i:02}": rng.choice([1, 3, 10, 200, 5000, rng.randint(1, 10**6)]) for i in range(n)}
+        weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes))}
+        wanted, left = dict.fromkeys(sizes, 0.0), 1.5 * sum(sizes.values())
+        while left > 1e-9 and (below := [s for s in sizes if wanted[s] < 2 * sizes[s] - 1e-12]):
+            share = left / sum(weight[s] for s in below)
+            left = 0.0
+            for s in below:
+                wanted[s] += share * weight[s]
+                left += max(0.0, wanted[s] - 2 * sizes[s])
+                wanted[s] = min(wanted[s], 2.0 * sizes[s])
+        got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+        assert got.keys() == wanted.keys() and all(math.isclose(got[s], wanted[s], rel_tol=1e-9) for s in sizes), (sizes, got, wanted)

@@ -50,7 +50,7 @@ def texts():
     return rows + [(400 + i, passage[: 20 + i] + letters(60)) for i in range(60)] + [(-5, passage[20:90])]
 
 
-@pytest.mark.parametrize("how", [{}, {"block_bytes": 900, "bucket_bytes": 1500}, {"block_bytes": 5000, "bucket_bytes": 100_000}])
+@pytest.mark.parametrize("how", [{}, {"block_bytes": 900, "bucket_bytes": 1500, "heavy_bytes": 300}, {"block_bytes": 5000, "bucket_bytes": 700}])
 def test_removed_bytes_are_those_of_all_strings_compared(spark, how):
     rows = texts()
     assert found(spark, rows, **how) == sorted(plain(rows), key=order)
