@@ -6,7 +6,7 @@ Strings are judged on the input: a string that also starts in a document of a sm
 2. Every 50-byte string is named by its anchor, the smallest hash of its 20-byte pieces: equal strings have equal anchors. Neighbouring strings
    mostly share one, so anchors are few. Those that one document alone has cannot repeat and are done with.
 3. The strings of the other anchors, as segments of up to 80 bytes, are routed by anchor to buckets of about BUCKET bytes, one row for each
-   block and distinct segment. An anchor with more than that is split: its strings go singly, dealt by their own hash.
+   block and distinct segment. An anchor with more than HEAVY is split: its strings go singly, dealt by their own hash.
 4. In a bucket, shards of segments each get the Burrows-Wheeler transform of their own suffixes. The shards are then merged: starting
    with the rows of one shard after another, the interleave is refined by one stable distribution on the preceding symbol a round, through each
    shard's own last-to-first mapping; no suffix is compared or sorted again. A row that first parts from its neighbour in round h has
@@ -39,7 +39,9 @@ from infotraj.llm.common import free, sorted_runs, table
 SPAN, PIECE = 50, 20
 STRETCH = SPAN - PIECE + 1
 #: Bytes of a block of texts, of a bucket of segments, of a shard, and windows hashed at a time.
-BLOCK, BUCKET, SHARD, CHUNK = 8 << 20, 4 << 20, 1 << 17, 1 << 17
+BLOCK, BUCKET, SHARD, CHUNK = 8 << 20, 1 << 20, 1 << 16, 1 << 15
+#: Bytes of one anchor's segments from which they are split.
+HEAVY = 4 << 20
 LAST = (1 << 63) - 1
 _U = np.uint64
 
@@ -74,24 +76,24 @@ def string_anchors(data: np.ndarray) -> np.ndarray:
 def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text, first, strings): runs of up to STRETCH neighbouring strings with one anchor, in texts that end at `ends`."""
     starts = np.append(0, ends[:-1])
-    found = []
+    found = [(np.empty(0, dtype=_U), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))]
     for at in range(0, max(0, len(data) - SPAN + 1), CHUNK):
         h = string_anchors(data[at : at + CHUNK + SPAN - 1])
-        place = np.arange(at, at + len(h))
-        text = np.searchsorted(ends, place, side="right")
-        inside = place + SPAN <= ends[text]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-        begin = np.flatnonzero(new)
-        since = np.arange(len(h)) - np.repeat(begin, np.diff(np.append(begin, len(h))))
-        begin = np.flatnonzero((since % STRETCH == 0) & inside)
-        n = np.add.reduceat(inside, np.flatnonzero(since % STRETCH == 0)) if len(h) else np.empty(0, dtype=np.int64)
-        n = n[inside[np.flatnonzero(since % STRETCH == 0)]]
-        found.append((h[begin].view(np.int64), text[begin], place[begin], n))
-    if not found:
-        return tuple(np.empty(0, dtype=np.int64) for _ in range(4))  # type: ignore[return-value]
-    h, text, first, n = (np.concatenate(x) for x in zip(*found, strict=True))
-    return h, text, first - starts[text], n
+        new = np.flatnonzero(h[1:] != h[:-1]) + 1
+        texts = starts[np.searchsorted(starts, at, side="right") : np.searchsorted(starts, at + len(h))] - at
+        begin = np.unique(np.concatenate([[0], new, texts]))
+        size = np.diff(np.append(begin, len(h)))
+        if size.max() > STRETCH:  # a text that repeats itself
+            pieces = -(-size // STRETCH)
+            begin = np.repeat(begin, pieces) + STRETCH * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+            size = np.diff(np.append(begin, len(h)))
+        found.append((h[begin], begin + at, size))
+    h, begin, n = (np.concatenate(x) for x in zip(*found, strict=True))
+    text = np.searchsorted(ends, begin, side="right")
+    n = np.minimum(n, ends[np.minimum(text, len(ends) - 1)] - SPAN + 1 - begin) if len(ends) else n
+    keep = n > 0
+    h, text, begin, n = h[keep], text[keep], begin[keep], n[keep]
+    return h.view(np.int64), text, begin - starts[text], n
 
 
 def bytes_of(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -103,6 +105,15 @@ def bytes_of(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray
     return data, offsets[1:] - offsets[0]
 
 
+def _ranks(key: np.ndarray) -> np.ndarray:
+    """The rank of each key among the distinct ones, from 1; 0 for key 0."""
+    order = np.argsort(key)
+    rank = np.empty(len(key), dtype=_U)
+    same = key[order]
+    rank[order] = np.cumsum(np.append(same[:1] > 0, same[1:] != same[:-1])).astype(_U)
+    return rank
+
+
 class Shard:
     """The Burrows-Wheeler transform of some byte strings without 255: symbols are bytes + 1, 0 ends a string.
 
@@ -116,11 +127,16 @@ class Shard:
         string = np.repeat(np.arange(len(strings)), sizes + 1)
         ends = np.cumsum(sizes + 1)
         left = ends[string] - np.arange(len(text)) - 1
-        width = -(-(int(sizes.max()) + 1) // 8) * 8
-        padded = np.append(text, np.zeros(width, dtype=np.uint8))
-        grid = np.lib.stride_tricks.sliding_window_view(padded, width)[: len(text)].copy()
-        grid[np.arange(width) >= left[:, None]] = 0
-        order = np.argsort(grid.view(f"S{width}").ravel(), kind="stable")
+        padded, key = np.append(text, np.zeros(8, dtype=np.uint8)), np.zeros(len(text), dtype=_U)
+        for k in range(8):
+            key = key << _U(8) | np.where(left > k, padded[k : len(text) + k], 0).astype(_U)
+        reach, rank, distinct = 8, _ranks(key), 0
+        while reach < sizes.max() and rank.max() > distinct:  # suffixes told apart by twice as many symbols each time
+            distinct = rank.max()
+            beyond = np.where(left > reach, np.append(rank[reach:], np.zeros(min(reach, len(rank)), dtype=_U))[: len(rank)], _U(0))
+            rank = _ranks(rank << _U(32) | beyond)
+            reach *= 2
+        order = np.argsort(rank, kind="stable")
         self.strings = len(strings)
         before = np.roll(text, 1)
         before[ends - sizes - 1] = 0
@@ -133,21 +149,22 @@ class Shard:
 def repeated_intervals(shards: list[Shard], span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
     """(rows, interval): the merged order of all shards' rows by their first `span` symbols, and a number for each run of rows that agree in them."""
     base = np.cumsum([0, *[len(s.last) for s in shards]])
-    last = np.concatenate([s.last for s in shards])
-    back = np.concatenate([s.back + b for s, b in zip(shards, base, strict=False)]).astype(np.int32)
-    ends = np.concatenate([np.arange(b, b + s.strings, dtype=np.int32) for s, b in zip(shards, base, strict=False)])
-    rows, interval = np.arange(len(last), dtype=np.int32), np.zeros(len(last), dtype=np.int32)
+    back = np.concatenate([np.where(s.last > 0, s.back + b, 0) for s, b in zip(shards, base, strict=False)])
+    kind = np.int32 if len(back) < 1 << 23 else np.int64  # 24 bits of rows
+    step = (back << 8 | np.concatenate([s.last for s in shards])).astype(kind)  # a row's preceding symbol, and above it the row to go back to
+    ends = np.concatenate([np.arange(b, b + s.strings) for s, b in zip(shards, base, strict=False)])
+    rows, interval, n = np.arange(len(step), dtype=kind), np.zeros(len(step), dtype=np.int32), len(ends)
     for _ in range(span):
-        symbol = last[rows]
-        full = symbol > 0
-        rows, symbol, was = rows[full], symbol[full], interval[full]
-        to = np.argsort(symbol, kind="stable")
-        symbol, was = symbol[to], was[to]
-        parted = np.ones(len(to), dtype=np.int32)
-        parted[1:] = (symbol[1:] != symbol[:-1]) | (was[1:] != was[:-1])
-        before = interval[-1]
-        rows = np.append(ends, back[rows[to]])
-        interval = np.append(np.zeros(len(ends), dtype=np.int32), np.cumsum(parted, dtype=np.int32))
+        way = step[rows]
+        to = np.argsort((way & 255).astype(np.uint8), kind="stable")
+        way, was = way[to], interval[to]
+        symbol = (way & 255).astype(np.uint8)
+        before, interval = interval[-1], np.zeros(len(step), dtype=np.int32)
+        interval[n:] = 1  # as many rows have no symbol before them as there are strings: they go to the strings' ends, which come first
+        interval[n + 1 :] = (symbol[n + 1 :] != symbol[n:-1]) | (was[n + 1 :] != was[n:-1])
+        np.cumsum(interval, out=interval)
+        rows = way >> 8
+        rows[:n] = ends
         if interval[-1] == before:
             break
     return rows, interval
@@ -204,7 +221,7 @@ def distinct_texts(df: DataFrame, id_col: str, text_col: str, block_bytes: int)
 
 
 def shared_anchors(texts: DataFrame) -> DataFrame:
-    """(block, hash): the anchors that more than one document has, in each block that has them."""
+    """(block, hash): the anchors that more than one document, or block, has, in each block that has them."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,19 +230,18 @@ def shared_anchors(texts: DataFrame) -> DataFrame:
             block, doc = (batch.column(c).to_numpy()[text] for c in ("block", "doc"))
             order = np.lexsort((h, block))
             h, block, doc = h[order], block[order], doc[order]
-            new = np.ones(len(h), dtype=bool)
-            new[1:] = (h[1:] != h[:-1]) | (block[1:] != block[:-1])
-            at = np.flatnonzero(new)
+            at = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (block[1:] != block[:-1]))) if len(h) else order
             if at.size:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[at], block[at], np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at))], names=["hash", "block", "lo", "hi"])
+                several = np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at)
+                yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(block[at] << 1 | several)], names=["hash", "block"])
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in sorted_runs(batches, ["hash"]):
-            lo, hi = np.minimum.reduceat(t.column("lo").to_numpy(), starts), np.maximum.reduceat(t.column("hi").to_numpy(), starts)
-            keep = np.repeat(lo < hi, np.diff(np.append(starts, t.num_rows)))
-            yield pa.RecordBatch.from_arrays([pa.array(t.column(c).to_numpy()[keep]) for c in ("block", "hash")], names=["block", "hash"])
+            block, size = t.column("block").to_numpy(), np.diff(np.append(starts, t.num_rows))
+            keep = np.repeat((size > 1) | np.bitwise_or.reduceat(block & 1, starts).astype(bool), size)
+            yield pa.RecordBatch.from_arrays([pa.array(block[keep] >> 1), pa.array(t.column("hash").to_numpy()[keep])], names=["block", "hash"])
 
-    found = texts.mapInArrow(anchors, "hash long, block long, lo long, hi long")
+    found = texts.mapInArrow(anchors, "hash long, block long")  # a block's number, doubled, and whether several of its own documents have it
     return found.repartition("hash").sortWithinPartitions("hash").mapInArrow(several, "block long, hash long")
 
 
@@ -267,12 +283,12 @@ def segments(texts: DataFrame, shared: DataFrame) -> DataFrame:
     return texts.groupBy("block").cogroup(right.groupBy("of_block")).applyInArrow(cut, kinds)
 
 
-def least_by_segment(segs: DataFrame, bucket_bytes: int) -> DataFrame:
-    """(block, seg, off, least): for the strings from off on of a segment, the smallest documents that have them; not where all of them are the block's own."""
+def least_by_segment(segs: DataFrame, bucket_bytes: int, heavy_bytes: int) -> DataFrame:
+    """(block, seg, off, least): for the strings from off on of a segment, the smallest documents that have them, one for all where off is -1; not where the block's own are no larger."""
     size = segs.agg(F.sum(F.length("bytes"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
-    heavy = segs.groupBy("hash").agg(F.sum(F.length("bytes")).alias("size")).where(F.col("size") > bucket_bytes // 4)
-    heavy = heavy.select("hash", F.ceil(F.col("size") * 40 / bucket_bytes).alias("parts"))  # strings sent singly take up to 19 times the bytes
+    heavy = segs.groupBy("hash").agg(F.sum(F.length("bytes")).alias("size")).where(F.col("size") > heavy_bytes)
+    heavy = heavy.select("hash", F.ceil(F.col("size") * 20 / bucket_bytes).alias("parts"))  # strings sent singly take up to 19 times the bytes
     whole = segs.select(F.pmod("hash", F.lit(buckets)).alias("bucket"), "hash", "block", "seg", F.lit(0).alias("off"), "lo", "hi", "bytes")
     if heavy.limit(1).count():
 
@@ -292,38 +308,39 @@ def least_by_segment(segs: DataFrame, bucket_bytes: int) -> DataFrame:
         whole = whole.join(heavy, "hash", "left_anti").select(names).unionByName(split)
 
     def merge(t: pa.Table) -> pa.Table:
-        hashes, raw, lo = t.column("hash").to_pylist(), t.column("bytes").to_pylist(), t.column("lo").to_pylist()
-        number: dict[tuple[int, bytes], int] = {}
-        mine, least = [], []
-        for key, d in zip(zip(hashes, raw, strict=True), lo, strict=True):
-            k = number.setdefault(key, len(least))
-            mine.append(k)
-            if k == len(least):
-                least.append(d)
-            elif d < least[k]:
-                least[k] = d
-        doc = np.array(least, dtype=np.int64)
-        own: dict[int, int] = {}
-        for h, _ in number:
-            own[h] = own.get(h, 0) + 1
-        strings = [s for _, s in number]
-        got = [np.full(len(s) - SPAN + 1, d) for s, d in zip(strings, least, strict=True)]
-        several = [k for k, (h, _) in enumerate(number) if own[h] > 1]
-        if several:
-            for k, x in zip(several, least_documents([strings[k] for k in several], doc[several]), strict=True):
-                got[k] = x
-        at = [i for i, (k, hi) in enumerate(zip(mine, t.column("hi").to_pylist(), strict=True)) if got[k].min() < hi]
-        cols = [t.column(c).take(pa.array(at, pa.int64())).combine_chunks() for c in ("block", "seg", "off")]
-        return pa.table([*cols, pa.array([got[mine[i]].tobytes() for i in at], pa.binary())], names=["block", "seg", "off", "least"])
+        coded = t.column("bytes").combine_chunks().dictionary_encode()
+        coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+        mine, strings = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        order = np.argsort(mine, kind="stable")
+        starts = np.flatnonzero(np.diff(mine[order], prepend=-1))
+        doc = np.minimum.reduceat(t.column("lo").to_numpy()[order], starts)
+        _, of, own = np.unique(t.column("hash").to_numpy()[order[starts]], return_inverse=True, return_counts=True)  # a segment has one anchor
+        several = np.flatnonzero(own[of] > 1)
+        got: dict[int, np.ndarray] = {}
+        least = doc.copy()
+        if several.size:
+            got = dict(zip(several.tolist(), least_documents([strings[k] for k in several.tolist()], doc[several]), strict=True))
+            least[several] = [x.min() for x in got.values()]
+        at = np.flatnonzero(least[mine] < t.column("hi").to_numpy())
+        off = t.column("off").to_numpy()[at]
+        told = [got[k].tobytes() if k in got else None for k in mine[at].tolist()]
+        alone = np.array([x is None for x in told], dtype=bool)
+        whole_segment = alone & (pa.compute.binary_length(coded.dictionary).to_numpy()[mine[at]] > SPAN)
+        same = doc[mine[at]].tolist()
+        said = pa.array([x if x is not None else d.to_bytes(8, "little", signed=True) for x, d in zip(told, same, strict=True)], pa.binary())
+        cols = [t.column(c).take(pa.array(at)).combine_chunks() for c in ("block", "seg")]
+        return pa.table([*cols, pa.array(np.where(whole_segment, -1, off).astype(np.int32)), said], names=["block", "seg", "off", "least"])
 
     return whole.groupBy("bucket").applyInArrow(merge, "block long, seg int, off int, least binary")
 
 
-def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK, bucket_bytes: int = BUCKET, kept_text: bool = False) -> DataFrame:
+def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK, bucket_bytes: int = BUCKET, heavy_bytes: int = HEAVY, kept_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of df; with kept_text also what is left, as `kept` (binary)."""
     docs, texts = distinct_texts(df, id_col, text_col, block_bytes)
-    cut = table(segments(texts, shared_anchors(texts)), "segments")
-    found = table(least_by_segment(cut.where("seg is not null").select("block", "seg", "hash", "lo", "hi", "bytes"), bucket_bytes), "least-documents")
+    shared = table(shared_anchors(texts), "shared-anchors")
+    cut = table(segments(texts, shared), "segments")
+    free(shared)
+    found = table(least_by_segment(cut.where("seg is not null").select("block", "seg", "hash", "lo", "hi", "bytes"), bucket_bytes, heavy_bytes), "least-documents")
     places = cut.where("seg is null").select("block", "rows", "firsts", "strings", "segs")
     none = lambda *cols: [F.lit(None).cast(k).alias(c) for c, k in cols]
     right = places.select(F.col("block").alias("of_block"), *places.columns[1:], *none(("seg", "int"), ("off", "int"), ("least", "binary")))
@@ -339,9 +356,13 @@ def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
             places = told.filter(pa.compute.is_valid(told.column("rows")))
             text, first, n, seg = (np.frombuffer(places.column(c)[0].as_py(), k).astype(np.int64) for c, k in (("rows", np.int32), ("firsts", np.int32), ("strings", np.uint8), ("segs", np.int32)))
             least = np.full((int(seg.max()) + 1, STRETCH), LAST)
-            for s, off, x in zip(*(said.column(c).to_pylist() for c in ("seg", "off", "least")), strict=True):
-                got = np.frombuffer(x, np.int64)
-                least[s, off : off + len(got)] = got
+            s, off, m = said.column("seg").to_numpy(), said.column("off").to_numpy(), pa.compute.binary_length(said.column("least")).to_numpy() // 8
+            got = np.frombuffer(b"".join(said.column("least").to_pylist()), np.int64)
+            each = np.repeat(np.arange(len(m)), m)
+            whole = off[each] < 0
+            least[s[each[whole]]] = got[whole][:, None]
+            place = off[each] + np.arange(len(each)) - np.repeat(np.cumsum(m) - m, m)
+            least[s[each[~whole]], place[~whole]] = got[~whole]
             at = np.repeat(np.arange(len(n)), n)
             ramp = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
             hit = least[seg[at], ramp] < doc[text[at]]
