@@ -43,11 +43,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(_KINDS), _KINDS, strict=True)], names=_NAMES)
 
 
-def pack(wide: DataFrame, ext: DataFrame, schemes: Sequence[int]) -> DataFrame:
-    """Tiles of frames (frame, bond array, angle array, torsion array), binned in the scan's own tasks.
-
-    Extents go to all workers: their number is to be checked before. Bins are those of discretize.bins.
-    """
+def geometry_of(wide: DataFrame, ext: DataFrame) -> dict[str, np.ndarray]:
+    """(min, max, phase) by dof of each type that wide has, NaN where there is none, up to whole blocks."""
     found = ext.select("dof_type", "dof", "min", "max", "phase").toArrow().to_pydict()
     geometry = {}
     for t in TYPES:
@@ -57,7 +54,27 @@ def pack(wide: DataFrame, ext: DataFrame, schemes: Sequence[int]) -> DataFrame:
             values = np.full((3, -(-(int(dof.max()) + 1) // BLOCK) * BLOCK), np.nan)
             values[:, dof] = [[found[c][k] for k in mine] for c in ("min", "max", "phase")]
             geometry[t] = values
-    width, plans = sum(v.shape[1] for v in geometry.values()), list(enumerate(schemes))
+    return geometry
+
+
+def binned(batch: pa.RecordBatch, geometry: dict[str, np.ndarray], schemes: Sequence[int]) -> Iterator[tuple[str, int, int, np.ndarray]]:
+    """(type, scheme, nbins, bytes of frames by dofs) of a batch of frames."""
+    for t, (low, high, phase) in geometry.items():
+        x = _matrix(batch.column(t), len(low))
+        with np.errstate(invalid="ignore"):
+            x = np.where(phase != 0, np.fmod(x + phase, 2 * math.pi), x)
+            for k, n in enumerate(schemes):
+                bins = np.minimum(np.floor((x - low) / ((high - low) / n)), n - 1)
+                yield t, k, n, np.where(np.isnan(bins), NONE, bins).astype(np.uint8)
+
+
+def pack(wide: DataFrame, ext: DataFrame, schemes: Sequence[int]) -> DataFrame:
+    """Tiles of frames (frame, bond array, angle array, torsion array), binned in the scan's own tasks.
+
+    Extents go to all workers: their number is to be checked before. Bins are those of discretize.bins.
+    """
+    geometry = geometry_of(wide, ext)
+    width, schemes = sum(v.shape[1] for v in geometry.values()), list(schemes)
     if not geometry:
         return wide.sparkSession.createDataFrame([], TILE)
 
@@ -67,15 +84,9 @@ def pack(wide: DataFrame, ext: DataFrame, schemes: Sequence[int]) -> DataFrame:
             for at in range(0, whole.num_rows, each):
                 batch = whole.slice(at, each)
                 frames, rows = batch.column("frame").to_numpy(), []
-                for t, (low, high, phase) in geometry.items():
-                    x = _matrix(batch.column(t), len(low))
-                    with np.errstate(invalid="ignore"):
-                        x = np.where(phase != 0, np.fmod(x + phase, 2 * math.pi), x)
-                        for k, n in plans:
-                            bins = np.minimum(np.floor((x - low) / ((high - low) / n)), n - 1)
-                            bins = np.where(np.isnan(bins), NONE, bins).astype(np.uint8)
-                            for c in range(0, len(low), BLOCK):
-                                rows.append((TYPES.index(t), c // BLOCK, k, n, int(frames[0]), frames.tobytes(), np.ascontiguousarray(bins[:, c : c + BLOCK]).tobytes()))
+                for t, k, n, bins in binned(batch, geometry, schemes):
+                    for c in range(0, bins.shape[1], BLOCK):
+                        rows.append((TYPES.index(t), c // BLOCK, k, n, int(frames[0]), frames.tobytes(), np.ascontiguousarray(bins[:, c : c + BLOCK]).tobytes()))
                 yield _batch(rows)
 
     return wide.select("frame", *geometry).mapInArrow(run, TILE)

@@ -15,7 +15,7 @@ from functools import cached_property, partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from infotraj.operators import discretize, estimators, kde, permute, prefix, score, tiles
+from infotraj.operators import discretize, estimators, kde, ntuple, permute, prefix, score, tiles
 from infotraj.operators.histogram import Steps, hist1d, hist2d, hist2d_frames, step_window
 from infotraj.operators.small import held, if_small, is_local, like
 from infotraj.sources import classic, selection
@@ -154,6 +154,16 @@ def q_entropy2d(est: str, strict_math: bool, spark: SparkSession, sf_dir: str) -
     return rounded(Plan(spark, sf_dir).entropy2d([est], strict_math=strict_math).select("pair_type", "d1", "d2", "step", "s"), "s")
 
 
+#: Triples of successive torsions, of torsions that share their first two, and of a bond, an angle and a torsion.
+TRIPLES = [[("torsion", i), ("torsion", i + 1), ("torsion", i + 2)] for i in range(22)] + [[("torsion", 0), ("torsion", 1), ("torsion", i)] for i in range(3, 9)] + [[("bond", i), ("angle", i), ("torsion", i)] for i in range(20)]
+
+
+def q_entropy3d(miller_madow: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Plan(spark, sf_dir)
+    hist = ntuple.histnd(p.t.wide, p.ext, p.schemes, TRIPLES, p.steps)
+    return rounded(ntuple.entropynd(hist, estimators.geometry(p.ext, p.schemes), TRIPLES, p.steps.size, miller_madow).select("tuple", "step", "s"), "s")
+
+
 def q_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Plan(spark, sf_dir, start=10, stride=3).hist1d().drop("scheme", "nbins")
 
@@ -281,7 +291,7 @@ def q_kde_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f"extents_{k}": partial(q_extents, k) for k in TYPES}
 QUERIES |= {f"bins_{k}": partial(q_bins, k) for k in TYPES}
-QUERIES |= {"torsion_optimal_phase": q_phase, "hist1d_cumulative": q_hist1d, "hist2d_cumulative": partial(q_hist2d, "join"), "hist2d_blocks": partial(q_hist2d, "arrow"), "hist2d_tiles": partial(q_hist2d, "tiles"), "hist1d_tiles": q_hist1d_tiles, "running_hist": partial(q_running, False), "running_hist_appended": partial(q_running, True)}
+QUERIES |= {"torsion_optimal_phase": q_phase, "hist1d_cumulative": q_hist1d, "hist2d_cumulative": partial(q_hist2d, "join"), "hist2d_blocks": partial(q_hist2d, "arrow"), "hist2d_tiles": partial(q_hist2d, "tiles"), "hist1d_tiles": q_hist1d_tiles, "running_hist": partial(q_running, False), "running_hist_appended": partial(q_running, True), "entropy3d_ml": partial(q_entropy3d, False), "entropy3d_mm": partial(q_entropy3d, True)}
 QUERIES |= {"store_stride_hist": q_store_stride, "store_hist2d": q_store_hist2d}
 QUERIES |= {f"entropy1d_{e.lower()}": partial(q_entropy1d, e, True) for e in estimators.ESTIMATORS}
 QUERIES |= {"entropy1d_nojac": partial(q_entropy1d, "ML", False)}
@@ -448,6 +458,20 @@ ORACLES["bins_torsion"] = f"WITH {_COORDS}, {_PLAIN}, {_bins('tor')} SELECT dof,
 ORACLES["torsion_optimal_phase"] = f"WITH {_COORDS}, {_OPTIMAL} SELECT dof_type, dof, {_EXTENT} FROM opt"
 ORACLES["hist1d_cumulative"] = ORACLES["hist1d_tiles"] = ORACLES["running_hist"] = ORACLES["running_hist_appended"] = f"{_BASE} SELECT dof_type, dof, bin, step, cnt FROM h1"
 ORACLES |= {k: f"{_BASE},\n{_H2} SELECT pair_type, d1, d2, b1, b2, step, cnt FROM h2" for k in ("hist2d_cumulative", "hist2d_blocks", "hist2d_tiles")}
+
+
+def _s3(miller_madow: bool) -> str:
+    rows = ", ".join(f"({i}, {', '.join(f"'{t}', {d}" for t, d in x)})" for i, x in enumerate(TRIPLES))
+    sides = "\n".join(f"JOIN b b{k} ON b{k}.dof_type = t{k} AND b{k}.dof = d{k}" + (" AND b{0}.frame = b1.frame".format(k) if k > 1 else "") for k in (1, 2, 3))
+    space = " + ".join(f"ln((x{k}.mx - x{k}.mn) / 10) + {_lnj(f'x{k}.dof_type', f'(x{k}.mn + (i{k} + 0.5e0) * ((x{k}.mx - x{k}.mn) / 10))')}" for k in (1, 2, 3))
+    extra = " + (count(*) - 1) / (2 * any_value(n))" if miller_madow else ""
+    return f"""{_BASE}, triples(tuple, t1, d1, t2, d2, t3, d3) AS (VALUES {rows}),
+h3 AS (SELECT tuple, t1, d1, t2, d2, t3, d3, b1.bin AS i1, b2.bin AS i2, b3.bin AS i3, k AS step, count(*) AS cnt FROM triples {sides} JOIN ks ON b1.step <= k GROUP BY ALL),
+p3 AS (SELECT *, ((step + 1) * size)::DOUBLE AS n, cnt / ((step + 1) * size)::DOUBLE AS p FROM h3, size)
+SELECT tuple, step, {_R.format(f"sum(-p * (ln(p) - ({space}))){extra}", "s")} FROM p3 {" ".join(f"JOIN ext x{k} ON x{k}.dof_type = t{k} AND x{k}.dof = d{k}" for k in (1, 2, 3))} GROUP BY tuple, step"""
+
+
+ORACLES["entropy3d_ml"], ORACLES["entropy3d_mm"] = _s3(False), _s3(True)
 ORACLES["store_hist2d"] = f"{_BASE},\n{_H2} SELECT d1, d2, b1, b2, step, cnt FROM h2 WHERE pair_type = 'BD' AND cnt > 0"
 ORACLES |= {f"entropy1d_{e.lower()}": f"{_BASE}, {_s1(e)} SELECT dof_type, dof, step, {_R.format('s', 's')} FROM s1" for e in estimators.ESTIMATORS}
 ORACLES["entropy1d_nojac"] = f"{_BASE}, {_s1('ML', False)} SELECT dof_type, dof, step, {_R.format('s', 's')} FROM s1"

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from infotraj.operators import discretize, estimators, histogram, permute, prefix, score, small, tiles
+from infotraj.operators import discretize, estimators, histogram, ntuple, permute, prefix, score, small, tiles
 from infotraj.plans import config
 from infotraj.plans.run import Run
 from infotraj.sources import selection
@@ -316,3 +316,29 @@ def test_running_counts_answer_any_steps_on_blocks(spark, tmp_path):
     with pytest.raises(ValueError, match="whole blocks"):
         kept.append(later.where("frame < 3"), 3, [4, 6])
     assert kept.n_frames == 60
+
+
+def test_tuples_of_any_length_are_counted_sparsely(spark):
+    t = small_frames(spark, 45, (3, 2))
+    ext = discretize.extents(t.coords)
+    steps, b = histogram.Steps(45, 4), discretize.bins(t.coords, ext, [3, 7])
+    listed_tuples = [[("torsion", 0), ("bond", 2)], [("bond", 0)], [("bond", 0), ("bond", 1), ("torsion", 1)], [("bond", 0), ("bond", 1)], [("bond", 0), ("bond", 1), ("torsion", 0), ("bond", 2), ("torsion", 1)], [("bond", 0), ("bond", 1)]]
+    place = {(r.dof_type, r.dof, r.scheme, r.frame): r.bin for r in b.collect()}
+    wanted: dict = {}
+    for i, own in enumerate(listed_tuples):
+        for k, n in enumerate((3, 7)):
+            for f in range(44):
+                bins = [place.get((*c, k, f)) for c in own]
+                if None not in bins:
+                    cell = sum(x * n ** (len(bins) - 1 - j) for j, x in enumerate(bins))
+                    for s in range(f // 11, 4):
+                        wanted[i, k, cell, s] = wanted.get((i, k, cell, s), 0) + 1
+    hist = ntuple.histnd(t.wide, ext, [3, 7], listed_tuples, steps)
+    assert {(r.tuple, r.scheme, r.cell, r.step): r.cnt for r in hist.collect() if r.cnt} == wanted
+    s = {(r.tuple, r.scheme, r.step): r.s for r in ntuple.entropynd(hist, estimators.geometry(ext, [3, 7]), listed_tuples, steps.size).collect()}
+    one = {(r.scheme, r.step): r.s for r in estimators.entropy1d(histogram.hist1d(b, steps), estimators.geometry(ext, [3, 7]), steps.size, ["ML"]).where("dof_type = 'bond' and dof = 0").collect()}
+    assert all(math.isclose(s[1, k, step], v, abs_tol=1e-9) for (k, step), v in one.items()) and math.isclose(s[3, 0, 3], s[5, 0, 3], abs_tol=1e-12)
+    with pytest.raises(ValueError, match="not there"):
+        ntuple.histnd(t.wide, ext, [3], [[("bond", 9)]], steps)
+    with pytest.raises(ValueError, match="64 bits"):
+        ntuple.histnd(t.wide, ext, [255], [[("bond", 0)] * 8], steps)
