@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from infotraj.operators import discretize, estimators, kde, ntuple, permute, prefix, score, tiles
 from infotraj.operators.histogram import Steps, hist1d, hist2d, hist2d_frames, step_window
 from infotraj.operators.small import held, if_small, is_local, like
-from infotraj.sources import classic, selection
+from infotraj.sources import blocks, classic, selection
 from infotraj.sources.trajectory import TYPES, from_embeddings, from_events
 
 NBINS, NSTEPS = 10, 4
@@ -128,6 +128,25 @@ def q_store_hist2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classic.read_histograms(spark, path).select(ids[0].alias("d1"), ids[1].alias("d2"), F.floor(cell / NBINS).cast("int").alias("b1"), (cell % NBINS).cast("int").alias("b2"), "step", "cnt")
 
 
+def q_blocks_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trajectory stored by coordinate, its second half appended to the first; successive coordinates of one type read from frame 100 on."""
+    t, path = from_embeddings(spark, sf_dir), f"{_store_folder(spark)}/blocks"
+    half = t.n_frames // 2
+    blocks.write_blocks(t.wide.where(F.col("frame") < half), path)
+    blocks.write_blocks(t.wide.where(F.col("frame") >= half).withColumn("frame", F.col("frame") - half), path, append=True)
+    return rounded(blocks.read_blocks(spark, path).block("torsion", 5, 7, 100).select("dof", "frame", "x"), "x")
+
+
+def q_blocks_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histograms of every third frame from the tenth on, of coordinates stated one by one, off the store by coordinate."""
+    p, path = Plan(spark, sf_dir), f"{_store_folder(spark)}/blocks"
+    blocks.write_blocks(p.t.wide, path)
+    chosen = {"bond": [0, 3, 17], "angle": range(4, 9), "torsion": [23]}
+    read = blocks.scan(spark, path, chosen, 10, stride=3)
+    steps = Steps(p.t.n_frames, NSTEPS, 10, 3)
+    return hist1d(discretize.bins(read, p.ext, p.schemes), steps).drop("scheme", "nbins")
+
+
 def q_running(append: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
     """The usual steps from stored running counts; with append the second half of the frames is counted behind the first."""
     p, path = Plan(spark, sf_dir), f"{_store_folder(spark)}/running"
@@ -292,6 +311,7 @@ def q_kde_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f"extents_{k}": partial(q_extents, k) for k in TYPES}
 QUERIES |= {f"bins_{k}": partial(q_bins, k) for k in TYPES}
 QUERIES |= {"torsion_optimal_phase": q_phase, "hist1d_cumulative": q_hist1d, "hist2d_cumulative": partial(q_hist2d, "join"), "hist2d_blocks": partial(q_hist2d, "arrow"), "hist2d_tiles": partial(q_hist2d, "tiles"), "hist1d_tiles": q_hist1d_tiles, "running_hist": partial(q_running, False), "running_hist_appended": partial(q_running, True), "entropy3d_ml": partial(q_entropy3d, False), "entropy3d_mm": partial(q_entropy3d, True)}
+QUERIES |= {"blocks_scan": q_blocks_scan, "blocks_hist": q_blocks_hist}
 QUERIES |= {"store_stride_hist": q_store_stride, "store_hist2d": q_store_hist2d}
 QUERIES |= {f"entropy1d_{e.lower()}": partial(q_entropy1d, e, True) for e in estimators.ESTIMATORS}
 QUERIES |= {"entropy1d_nojac": partial(q_entropy1d, "ML", False)}
@@ -478,6 +498,8 @@ ORACLES["entropy1d_nojac"] = f"{_BASE}, {_s1('ML', False)} SELECT dof_type, dof,
 ORACLES |= {f"entropy2d_{e.lower()}": f"{_BASE},\n{_H2},\n{_s2(e)} SELECT pair_type, d1, d2, step, {_R.format('s', 's')} FROM s2" for e in estimators.ESTIMATORS}
 ORACLES |= {f"entropy2d_{e.lower()}_strict": f"{_BASE},\n{_H2},\n{_s2(e, True)} SELECT pair_type, d1, d2, step, {_R.format('s', 's')} FROM s2" for e in ("CS", "JS")}
 ORACLES["frame_stride_hist"] = ORACLES["store_stride_hist"] = f"WITH {_EXT},\n{_bins('ext')},\n{_steps(10, 3)},\n{_H1} SELECT dof_type, dof, bin, step, cnt FROM h1"
+ORACLES["blocks_hist"] = f"{ORACLES['frame_stride_hist']} WHERE (dof_type = 'bond' AND dof IN (0, 3, 17)) OR (dof_type = 'angle' AND dof BETWEEN 4 AND 8) OR (dof_type = 'torsion' AND dof = 23)"
+ORACLES["blocks_scan"] = f"WITH {_COORDS} SELECT dof, frame, {_R.format('x', 'x')} FROM coords WHERE dof_type = 'torsion' AND dof BETWEEN 5 AND 11 AND frame >= 100"
 ORACLES["frame_limit_hist"] = f"WITH {_EXT},\n{_bins('ext')},\n{_steps(7, 2, 301)},\n{_H1} SELECT dof_type, dof, bin, step, cnt FROM h1"
 ORACLES["subset_entropy"] = ORACLES["subset_file_entropy"] = f"{_BASE}, {_s1('ML')} SELECT dof_type, dof, step, {_R.format('s', 's')} FROM s1 WHERE dof % 2 = 0"
 ORACLES["neighbor_pairs"] = ORACLES["neighbor_file_pairs"] = f"WITH {_EXT}, {_PAIRS} SELECT * FROM pairs WHERE abs(d1 - d2) <= 3"

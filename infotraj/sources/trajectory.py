@@ -13,7 +13,7 @@ TYPES = ("bond", "angle", "torsion")
 TWO_PI = 2 * math.pi
 #: Columns that tell a run's tables.
 KINDS = {
-    "hist2d": {"pair_type", "b1", "b2", "step", "cnt"}, "hist1d": {"dof_type", "bin", "step", "cnt"}, "bins": {"dof_type", "frame", "bin"},
+    "blocks": {"dof_type", "dof", "first", "x"}, "hist2d": {"pair_type", "b1", "b2", "step", "cnt"}, "hist1d": {"dof_type", "bin", "step", "cnt"}, "bins": {"dof_type", "frame", "bin"},
     "entropy2d": {"pair_type", "step", "s"}, "entropy1d": {"dof_type", "step", "s"},
 }
 
@@ -22,17 +22,19 @@ KINDS = {
 class Trajectory:
     """coords(dof_type, dof int, frame long, x double); frames are numbered 0 to n_frames - 1.
 
-    Coordinates that are null or no number are left out. wide holds the same as a row of arrays for each frame.
+    Coordinates that are null or no number are left out. wide holds the same as a row of arrays for each frame; store is
+    the path of the same by coordinate, if it was read from one.
     """
 
     coords: DataFrame
     n_frames: int
     wide: DataFrame | None = None
+    store: str | None = None
 
     def limited(self, n_frames: int) -> Trajectory:
         """The first so many frames."""
         n = min(n_frames, self.n_frames)
-        return Trajectory(self.coords.where(F.col("frame") < n), n, None if self.wide is None else self.wide.where(F.col("frame") < n))
+        return Trajectory(self.coords.where(F.col("frame") < n), n, None if self.wide is None else self.wide.where(F.col("frame") < n), self.store)
 
     def expect(self, counts: dict[str, int]) -> None:
         """Refuse a trajectory that has other numbers of coordinates than these; 0 stands for any."""
@@ -43,7 +45,11 @@ class Trajectory:
 
     def block(self, dof_type: str, first_dof: int, n_dofs: int, first_frame: int = 0, n_frames: int | None = None) -> DataFrame:
         """The coordinates of some successive degrees of freedom in some successive frames."""
-        last = self.n_frames if n_frames is None else first_frame + n_frames
+        last = self.n_frames if n_frames is None else min(self.n_frames, first_frame + n_frames)
+        if self.store is not None:
+            from infotraj.sources import blocks  # it builds on this module
+
+            return blocks.scan(self.coords.sparkSession, self.store, {dof_type: range(first_dof, first_dof + n_dofs)}, first_frame, last)
         return self.coords.where((F.col("dof_type") == dof_type) & F.col("dof").between(first_dof, first_dof + n_dofs - 1) & (F.col("frame") >= first_frame) & (F.col("frame") < last))
 
 
