@@ -112,35 +112,42 @@ def prefix_tree(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
 
 
 def read_back(nodes: DataFrame, paths: DataFrame) -> DataFrame:
-    """What each conversation says, parsed from its path through the packed nodes: digests, counts and the loss text's digest."""
-    rows = paths.join(nodes.select("start", "body", "loss_from", "loss_to"), "start")
-    rows = rows.select(F.col("conv").cast("long").alias("conv"), "place", "body", (F.col("loss_from") - F.col("start")).alias("a"), (F.col("loss_to") - F.col("start")).alias("b"))
+    """What each conversation says, parsed from its path through the packed nodes: digests, counts and the loss text's digest.
+
+    positions_sha256 is the digest of the position ids its turns begin at, each followed by a semicolon; attended_chars sums, over its turns,
+    the characters that the intervals they attend to hold.
+    """
+    seen = F.aggregate("attends", F.lit(0).cast("long"), lambda n, x: n + x["to"] - x["from"])
+    rows = paths.join(nodes.select("start", "body", "loss_from", "loss_to", "position", seen.alias("seen")), "start")
+    rows = rows.select(F.col("conv").cast("long").alias("conv"), "place", "body", "position", "seen", (F.col("loss_from") - F.col("start")).alias("a"), (F.col("loss_to") - F.col("start")).alias("b"))
     rows = rows.repartition("conv").sortWithinPartitions("conv", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        now, said, lost, n, chars, loss = None, hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "positions_sha256", "attended_chars"]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        now, said, lost, placed, n, chars, loss, attended = None, hashlib.sha256(), hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0
         for batch in batches:
             done = []
-            for conv, body, a, b in zip(*(batch.column(c).to_pylist() for c in ("conv", "body", "a", "b")), strict=True):
+            for conv, body, a, b, position, seen in zip(*(batch.column(c).to_pylist() for c in ("conv", "body", "a", "b", "position", "seen")), strict=True):
                 if conv != now and n:
-                    done.append((now, n, said.hexdigest(), loss, lost.hexdigest(), chars))
-                    said, lost, n, chars, loss = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+                    done.append((now, n, said.hexdigest(), loss, lost.hexdigest(), chars, placed.hexdigest(), attended))
+                    said, lost, placed, n, chars, loss, attended = hashlib.sha256(), hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0
                 now = conv
                 role, _, text = body.removeprefix(TURN).removesuffix(END).partition(TEXT)
                 said.update(f"{unescape(role)}\n{unescape(text)}\n".encode())
                 n += 1
                 chars += len(body)
+                placed.update(f"{position};".encode())
+                attended += seen
                 if a is not None:
                     heard = unescape(body[a:b])
                     lost.update(heard.encode())
                     loss += len(heard)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [[]] * 6, types, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [[]] * len(types), types, strict=True)], names=names)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((now, n, said.hexdigest(), loss, lost.hexdigest(), chars), types, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((now, n, said.hexdigest(), loss, lost.hexdigest(), chars, placed.hexdigest(), attended), types, strict=True)], names=names)
 
-    return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, positions_sha256 string, attended_chars long")
 
 
 def op10_chat(spark, sf_dir: str) -> DataFrame:
@@ -154,9 +161,11 @@ OP10_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
-e AS (SELECT *, length(regexp_replace(replace(text, chr(92), repeat(chr(92), 2)), '<\||</?s>|<</?SYS>>|\[/?INST\]', '\0~', 'g')) + length(regexp_replace(replace(role, chr(92), repeat(chr(92), 2)), '<\||</?s>|<</?SYS>>|\[/?INST\]', '\0~', 'g')) + 23 AS n FROM c)
+e AS (SELECT *, length(regexp_replace(replace(text, chr(92), repeat(chr(92), 2)), '<\||</?s>|<</?SYS>>|\[/?INST\]', '\0~', 'g')) + length(regexp_replace(replace(role, chr(92), repeat(chr(92), 2)), '<\||</?s>|<</?SYS>>|\[/?INST\]', '\0~', 'g')) + 23 AS n FROM c),
+p AS (SELECT *, (coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS position FROM e)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
-FROM e GROUP BY conv_id
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars,
+  sha256(string_agg(position || ';', '' ORDER BY turn, role, text)) AS positions_sha256, sum(position)::BIGINT AS attended_chars
+FROM p GROUP BY conv_id
 """
