@@ -12,12 +12,14 @@ from infotraj.plans import reports
 from infotraj.plans.config import Config
 from infotraj.plans.progress import Progress
 from infotraj.sources import selection
-from infotraj.sources.trajectory import Trajectory, read_wide
+from infotraj.sources.blocks import read_blocks
+from infotraj.sources.trajectory import Trajectory, kind_of, read_wide
 
 
 class Run:
     """A run's tables lie in the config's outfilepath: bins, tiles (the same, packed), extents, minima, hist1d, hist2d, entropy1d, entropy2d and reports.
 
+    The trajectory is read from the tables of frames that the config names, or from one store by coordinate.
     Histograms are counted from tiles, so that no row for a frame is shuffled.
 
     Histograms are written if writefreq is set, of the coordinates and pairs of writeset and the steps of the window.
@@ -28,7 +30,9 @@ class Run:
     def __init__(self, spark: SparkSession, config: Config, trajectory: Trajectory | None = None, overwrite: bool = False):
         self.spark, self.config, self.mode = spark, config, "overwrite" if overwrite else "errorifexists"
         if trajectory is None and config.discretize:
-            trajectory = read_wide(spark, [f"{config.infilepath}/{n}" if config.infilepath else n for n in config.fname])
+            paths = [f"{config.infilepath}/{n}" if config.infilepath else n for n in config.fname]
+            stored = len(paths) == 1 and kind_of(spark, paths[0]) == "blocks"
+            trajectory = read_blocks(spark, paths[0]) if stored else read_wide(spark, paths)
         if trajectory is not None:
             trajectory = trajectory.limited(sum(config.inputframes)) if config.inputframes else trajectory
             trajectory.expect({"bond": config.nbond, "angle": config.nangle, "torsion": config.ndihed})

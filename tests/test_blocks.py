@@ -10,6 +10,8 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from infotraj.plans import config
+from infotraj.plans.run import Run
 from infotraj.sources import blocks, trajectory
 
 WIDE = "frame long, bond array<double>, torsion array<double>, extra string"
@@ -17,7 +19,7 @@ WIDE = "frame long, bond array<double>, torsion array<double>, extra string"
 
 def table(spark, n, bonds=3, torsions=5, first=0):
     rng = np.random.default_rng(n)
-    return spark.createDataFrame([(first + f, rng.normal(size=bonds).tolist(), rng.normal(size=torsions).tolist(), "x") for f in range(n)], WIDE)
+    return spark.createDataFrame([(first + f, (1 + rng.random(bonds)).tolist(), (6 * rng.random(torsions)).tolist(), "x") for f in range(n)], WIDE)
 
 
 def plain(wide):
@@ -107,6 +109,20 @@ def test_some_coordinates_read_some_of_the_bytes(spark, tmp_path):
     assert "Exchange" not in plan and read.count() == 10 * (n - 100)
 
 
+def test_a_run_from_a_store_gives_what_a_run_from_frames_gives(spark, tmp_path):
+    wide = table(spark, 40, 3, 2)
+    trajectory.write_wide(wide, str(tmp_path / "frames"))
+    blocks.write_blocks(wide, str(tmp_path / "store"))
+    found = []
+    for name in ("frames", "store"):
+        text = f"""[control]\ndiscretize = true\ncalcentropy = true\ngenconvgdata = true\nnsteps = 2\ninfilepath = {tmp_path}\noutfilepath = {tmp_path}/out-{name}
+[discretization]\nfname = {name}\n[histogram]\nnbins = 4\n[entropy]\nworkset = BB2D, DD2D, BD2D\nestimator = ML"""
+        Run(spark, config.parse(text))()
+        # means may differ in their last digit by the order of their sums
+        found.append({k: sorted(map(str, spark.read.parquet(f"{tmp_path}/out-{name}/{k}").drop("avg").collect())) for k in ("extents", "entropy1d", "entropy2d")})
+    assert found[0] == found[1] and len(found[0]["entropy2d"]) == 20
+
+
 def test_one_shuffle_writes_a_store(spark, tmp_path):
     plan = blocks.turned(table(spark, 10))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
