@@ -4,21 +4,23 @@ A line is a \\n-separated piece of a text with MIN_WORDS words or more; its set
 64-bit hashes. A line goes if an earlier one (by id, text hash, number) has a Jaccard similarity of at least 4/5, be
 that one removed or not. Words are told apart by those hashes alone: nothing else is inexact.
 
-1. Rarity: all words of all lines are counted in a table of 2^16 cells by hash. A word's place in the order that all
-   sets share is (its cell's count on a log scale, hash): rare words first. Any fixed order gives right
-   results; this one keeps prefixes rare.
-2. Lines of equal sets become one vertex, named by its first line.
+1. Rarity: all words of all sets are counted in a table of 2^16 cells by hash. A word's place in the order that all
+   sets share is (its cell's rank by count, rest of its hash): rare words first. Any fixed order gives right
+   results; this one keeps prefixes rare. A rank is put in a hash's upper 16 bits in place of the cell, so that the
+   number that is sorted still tells all hashes apart.
+2. Lines of equal sets become one vertex, named by its first line: all others go.
 3. Prefix filter: similar sets share a word among the first n - ceil(4n/5) + 1. Vertices meet by those words. Length,
    positional and bitmap filters are conditions of the join (the parity of words in 64 cells, and in 128 for sets of
    over SHORT words, differs in no more bits than the sets in words). A left semi join keeps what has any possible
-   partner: it gives a row at most for each it reads, however many variants of one line there are.
-4. Verification: the sets of those alone are fetched from the texts. Each vertex is first compared with the earliest
-   one it shares a word with; only what that leaves unmatched is joined with all that is earlier, so that variants of
+   partner by a word: it gives a row at most for each it reads, however many variants of one line there are.
+4. Verification: the sets of those vertices alone are fetched from the texts. Each is first compared, at each word left
+   to it, with the earliest one there; only what that leaves unmatched is joined with all that is earlier, so that variants of
    one line do not meet each other in pairs.
 5. Line numbers to remove are gathered by text, and texts rebuilt.
 
 Joins of two sides that both grow with the input ask for a sort-merge join, so that plans and their growth are the
-same at every size. Tables are deleted as soon as what reads them is written.
+same at every size. Functions of each word have as few steps as can be: Spark interprets them. Sets are made once, and
+held on the executors' disks until they are ranked. Tables are deleted as soon as what reads them is written.
 
 Edges: shorter and blank lines stay where they are; null texts stay null; rows with a null id stay as they are. Rows
 that share an id are told apart by their texts; equal rows count as one, and keep or lose a line alike. Ids are
@@ -28,8 +30,7 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
-import math
-
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,28 +51,26 @@ def words_of(line: Column) -> Column:
     return F.split(F.lower(F.when(other, F.regexp_replace(line, r"[\x09-\x0D]", " ")).otherwise(line)), " ")
 
 
-def overlap(a: Column, b: Column) -> Column:
-    """Words that sets of a and b words share at least if they are similar: ceil(4 (a + b) / 9)."""
-    return F.floor((4 * (a + b) + 8) / 9)
-
-
 def prefix_length(n: Column) -> Column:
     return (n - F.ceil(4 * n / 5) + 1).cast("int")
 
 
 def sized(n: Column, pos: Column) -> Column:
-    """A set's size and a word's place in it as one number: rows of the join stay narrow."""
-    return F.shiftleft(n.cast("long"), 32).bitwiseOR(pos.cast("long"))
+    """A set's size and its words from this place on as one number: rows of the join stay narrow."""
+    return F.shiftleft(n.cast("long"), 32).bitwiseOR((n - pos).cast("long"))
 
 
 def possible(x: str, y: str) -> Column:
-    """Whether rows x and y that share a prefix word can be similar: length, positional and bitmap filters."""
+    """Whether rows x and y that share a prefix word can be similar: bitmap, length and positional filters.
+
+    Similar sets of a and b words share (4/9)(a + b) at least, and differ in (a + b)/9 at most.
+    """
     nx, ny = (F.shiftright(F.col(f"{v}.at"), 32) for v in (x, y))
-    px, py = (F.col(f"{v}.at").bitwiseAND(F.lit(0xFFFFFFFF)) for v in (x, y))
-    need = overlap(nx, ny)
+    left = F.least(*[F.col(f"{v}.at").bitwiseAND(F.lit(0xFFFFFFFF)) for v in (x, y)])
     folded, upper = (F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")) for c in ("parity", "upper"))
-    apart = F.when((nx > SHORT) & (ny > SHORT), F.bit_count(folded.bitwiseXOR(upper)) + F.bit_count(upper)).otherwise(F.bit_count(folded))
-    return (5 * nx >= 4 * ny) & (5 * ny >= 4 * nx) & (F.least(nx - px, ny - py) >= need) & (apart <= nx + ny - 2 * need)
+    wide = F.bit_count(folded.bitwiseXOR(upper)) + F.bit_count(upper)
+    near = (9 * F.bit_count(folded) <= nx + ny) & ((nx <= SHORT) | (ny <= SHORT) | (9 * wide <= nx + ny))
+    return near & (5 * nx >= 4 * ny) & (5 * ny >= 4 * nx) & (9 * left >= 4 * (nx + ny))
 
 
 def has_words(line: Column, least: int) -> Column:
@@ -84,25 +83,25 @@ def set_of(line: Column) -> Column:
     return F.array_distinct(F.array_remove(F.transform(words_of(line), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
 
 
-def codes_of(line: Column, classes: Column) -> Column:
-    """A line's set as sorted numbers, in the order of rarity."""
+def constants(values: list[int]) -> Column:
+    """Numbers of 64 bits as an array constant."""
+    return F.split(F.lit(",".join(str((v + (1 << 63)) % (1 << 64) - (1 << 63)) for v in values)), ",").cast("array<bigint>")
 
-    def code(w: Column) -> Column:
-        h = F.xxhash64(w)
-        rare = F.coalesce(F.get(classes, h.bitwiseAND(F.lit(CELLS - 1)).cast("int")), F.lit(0).cast("long"))  # never null: the sort stays one of plain longs
-        return rare.bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    return F.sort_array(F.array_distinct(F.array_remove(F.transform(words_of(line), code), code(F.lit("")))))
+def at_place(table: Column, place: Column) -> Column:
+    return F.coalesce(F.get(table, place), F.lit(0).cast("long"))  # never null: sorts stay those of plain longs
 
 
-def parity_of(codes: Column, upper: bool = False) -> Column:
-    """The parity of a set's words in 64 cells; or, of 128 cells that fold into these, in the upper half."""
+def codes_of(words: Column, ranks: Column) -> Column:
+    """A set as sorted numbers, in the order of rarity."""
+    return F.sort_array(F.transform(words, lambda h: h.bitwiseXOR(at_place(ranks, F.shiftrightunsigned(h, 48)))))
 
-    def bit(c: Column) -> Column:
-        one = F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
-        return F.when(c.bitwiseAND(F.lit(64)) > 0, one).otherwise(F.lit(0).cast("long")) if upper else one
 
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(bit(c)))
+def parity_of(codes: Column, upper: bool = False) -> Column:
+    """The parity of a set's words in 64 cells; or, of 128 cells that fold into these, in the upper half."""
+    bits = constants([*[0] * 64, *(1 << i for i in range(64))] if upper else [1 << i for i in range(64)])
+    last = F.lit(127 if upper else 63).cast("long")
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(at_place(bits, c.bitwiseAND(last))))
 
 
 def lines_of(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
@@ -112,16 +111,12 @@ def lines_of(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataF
     return lines.where(has_words(F.col("line"), max(1, min_words)))
 
 
-def rarity(df: DataFrame, text_col: str) -> Column:
-    """The log-scale count of each cell, in the upper byte of an array constant's longs.
-
-    Only blanks and line ends part words here: a word beside other white space counts elsewhere, which moves it in the
-    order but loses nothing.
-    """
-    cell = F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1)).alias("cell")
-    words = F.split(F.lower(F.replace(F.col(text_col).cast("string"), F.lit("\n"), F.lit(" "))), " ")
-    counts = dict(df.select(F.explode(words).alias("w")).groupBy(cell).count().collect())  # CELLS rows at most
-    return F.split(F.lit(",".join(str(int(3 * math.log2(1 + counts.get(c, 0))) << 56) for c in range(CELLS))), ",").cast("array<bigint>")
+def rarity(sets: DataFrame) -> Column:
+    """What turns each cell, the upper 16 bits of a hash, into its rank by count: an array constant of numbers for xor."""
+    cell = F.shiftrightunsigned("word", 48).alias("cell")
+    counts = dict(sets.select(F.explode("set").alias("word")).groupBy(cell).count().collect())  # CELLS rows at most
+    rank = {c: i for i, c in enumerate(sorted(range(CELLS), key=lambda c: counts.get(c, 0)))}
+    return constants([(c ^ rank[c] ^ CELLS // 2) << 48 for c in range(CELLS)])  # the least number is the most negative one
 
 
 def picked(text: Column, at: Column, make) -> Column:
@@ -131,21 +126,23 @@ def picked(text: Column, at: Column, make) -> Column:
 
 def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, th, no): the lines of df to remove, in a table."""
-    sets = lines_of(df, id_col, text_col, min_words).select(*NAME, codes_of(F.col("line"), rarity(df, text_col)).alias("codes"))
+    sets = lines_of(df, id_col, text_col, min_words).select(*NAME, set_of(F.col("line")).alias("set")).persist(StorageLevel.DISK_ONLY)
+    ranked = sets.select(*NAME, codes_of(F.col("set"), rarity(sets)).alias("codes"))
     n = F.size("codes")
     upper = F.when(n > SHORT, parity_of(F.col("codes"), upper=True)).otherwise(F.lit(0).cast("long"))
-    prefix = F.transform(F.slice("codes", F.lit(1), prefix_length(n)), lambda c: F.xxhash64(c).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    lines = table(sets.select(*NAME, F.xxhash64("codes").alias("h"), n.alias("n"), parity_of(F.col("codes")).alias("parity"), upper.alias("upper"), prefix.alias("prefix")), "lines")
+    prefix = F.transform(F.slice("codes", F.lit(1), prefix_length(n)), lambda c: c.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int"))
+    lines = table(ranked.select(*NAME, F.xxhash64("codes").alias("h"), n.alias("n"), parity_of(F.col("codes")).alias("parity"), upper.alias("upper"), prefix.alias("prefix")), "lines")
+    sets.unpersist(blocking=True)
 
-    identity = ["h", "parity", "upper", "n"]  # equal sets agree in all of these, others in hardly any
-    first = lines.groupBy(*identity).agg(F.min(F.struct(*NAME, "prefix")).alias("first"), F.count("*").alias("many"))
-    vertices = table(first.select(*identity, "many", "first.*"), "vertices")
-    entries = vertices.select(*identity, F.posexplode("prefix").alias("pos", "token")).select("h", "parity", "upper", sized(F.col("n"), F.col("pos")).alias("at"), "token")
+    # equal sets agree in h and parity, others in hardly any
+    vertices = table(lines.groupBy("h", "parity").agg(F.min(F.struct(*NAME, "n", "upper", "prefix")).alias("first")).select("h", "parity", "first.*"), "vertices")
+    entries = vertices.select("h", "parity", "upper", "n", F.posexplode("prefix").alias("pos", "token")).select("h", "parity", "upper", sized(F.col("n"), F.col("pos")).alias("at"), "token")
     other = (F.col("x.h") != F.col("y.h")) | (F.col("x.parity") != F.col("y.parity"))
-    paired = entries.alias("y").join(entries.alias("x").hint("merge"), (F.col("x.token") == F.col("y.token")) & other & possible("x", "y"), "left_semi")
-    chosen = table(paired.select("h", "parity", "upper", F.shiftright("at", 32).cast("int").alias("n")).distinct(), "chosen")
-    candidates = table(vertices.join(chosen.hint("merge"), identity, "left_semi").select(*NAME, "n", "parity", "upper", "prefix"), "candidates")
-    free(chosen)
+    paired = entries.alias("y").join(entries.alias("x").hint("merge"), (F.col("x.token") == F.col("y.token")) & possible("x", "y") & other, "left_semi")
+    met = table(paired, "met")
+    candidates = table(vertices.select("h", "parity", *NAME).join(met.select("h", "parity").distinct().hint("merge"), ["h", "parity"], "left_semi"), "candidates")
+    small = table(met.join(candidates.hint("merge"), ["h", "parity"]).select(*NAME, "parity", "upper", "at", "token"), "met")
+    free(met)
 
     places = candidates.groupBy("doc", "th").agg(F.collect_list("no").alias("at"))
     text = F.col(text_col).cast("string")
@@ -166,7 +163,6 @@ def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         both = F.size(F.array_intersect(a, b))
         return named.where(5 * both >= 4 * (F.size(a) + F.size(b) - both)).select(*[F.col(f"y_{c}").alias(c) for c in NAME]).distinct()
 
-    small = candidates.select(*NAME, "parity", "upper", "n", F.posexplode("prefix").alias("pos", "token")).select(*NAME, "parity", "upper", sized(F.col("n"), F.col("pos")).alias("at"), "token")
     doc, th, no = ([F.col(f"{v}.{c}") for v in "xy"] for c in NAME)
     before = (doc[0] < doc[1]) | ((doc[0] == doc[1]) & ((th[0] < th[1]) | ((th[0] == th[1]) & (no[0] < no[1]))))
     leaders = small.groupBy("token").agg(F.min(F.struct(*NAME, "parity", "upper", "at")).alias("x"))
@@ -175,13 +171,10 @@ def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = small.join(matched.hint("merge"), list(NAME), "left_anti").alias("y")
     pairs = rest.join(small.alias("x").hint("merge"), (F.col("x.token") == F.col("y.token")) & possible("x", "y") & before)
     more = table(verified(pairs), "matched")
-    free(candidates, held)
+    free(candidates, small, held)
 
-    gone = matched.unionByName(more).withColumn("gone", F.lit(True))
-    fate = vertices.select(*identity, "many", *NAME).join(gone.hint("merge"), list(NAME), "left")
-    fate = fate.where(F.col("gone") | (F.col("many") > 1)).select(*identity, "gone", F.struct(*NAME).alias("first"))
-    lost = lines.select(*NAME, *identity).join(fate.hint("merge"), identity).where(F.col("gone") | (F.struct(*NAME) != F.col("first"))).select(*NAME)
-    lost = table(lost, "lost")
+    repeated = lines.select(*NAME).join(vertices.select(*NAME).hint("merge"), list(NAME), "left_anti")
+    lost = table(repeated.unionByName(matched).unionByName(more), "lost")
     free(lines, vertices, matched, more)
     return lost
 

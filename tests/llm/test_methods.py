@@ -93,6 +93,35 @@ def test_similar_long_lines_go(spark):
     assert [r["n_removed"] == 1 for r in sorted(got, key=lambda r: r["doc_id"])] == wanted and {*wanted} == {True, False}
 
 
+def test_words_of_lines_are_split_once_for_sets_and_ranks(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        reads.add(1)
+        return text
+
+    said = "alpha beta gamma delta eps zeta"
+    rows = [(1, said), (2, f"{said} eta\nother words that nobody has"), (3, "one two three four"), (4, None), (5, said)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", told.asNondeterministic()("text").alias("text"))
+    assert sorted((r["doc"], r["no"]) for r in linededup.similar_lines(df).collect()) == [(2, 0), (5, 0)]
+    assert reads.value == 2 * len(rows)  # for the sets, and for the texts of candidates
+
+
+def test_codes_sort_rare_words_first_and_tell_all_hashes_apart(spark):
+    lines = [" ".join(f"w{j}" for j in range(i, 30)) for i in range(30)]  # w29 is in all, w0 in one
+    sets = spark.createDataFrame([(x,) for x in lines], "line string").select(linededup.set_of(F.col("line")).alias("set"))
+    ranks = linededup.rarity(sets)
+    rows = sets.select("set", linededup.codes_of(F.col("set"), ranks).alias("codes")).collect()
+    counts = Counter(h for r in rows for h in r["set"])
+    place = {}
+    for r in rows:
+        assert len({*r["codes"]}) == len(r["set"]) and {c & (1 << 48) - 1 for c in r["codes"]} == {h & (1 << 48) - 1 for h in r["set"]}
+        place |= {h: next(c for c in r["codes"] if c & (1 << 48) - 1 == h & (1 << 48) - 1) for h in r["set"]}
+    by_code = sorted(counts, key=place.get)
+    assert [counts[h] for h in by_code] == sorted(counts.values())
+
+
 def test_lines_above_the_limits_go_and_depleted_documents_are_rejected(spark):
     rng = random.Random(6)
     rows = []
