@@ -20,7 +20,7 @@ that one removed or not. Words are told apart by those hashes alone: nothing els
 
 Joins of two sides that both grow with the input ask for a sort-merge join, so that plans and their growth are the
 same at every size. Functions of each word have as few steps as can be: Spark interprets them. Sets are made once, and
-held on the executors' disks until they are ranked. Tables are deleted as soon as what reads them is written.
+held on the executors' disks until their vertices are written: of the lines themselves names alone become a table. Tables are deleted as soon as what reads them is written.
 
 Edges: shorter and blank lines stay where they are; null texts stay null; rows with a null id stay as they are. Rows
 that share an id are told apart by their texts; equal rows count as one, and keep or lose a line alike. Ids are
@@ -74,8 +74,9 @@ def possible(x: str, y: str) -> Column:
 
 
 def has_words(line: Column, least: int) -> Column:
-    """Whether a line has so many words: read no further than the last of them."""
-    return line.rlike(rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{least - 1}}}[^\x20\x09-\x0D]")
+    """Whether a line has so many words: its start mostly tells, so that the whole is seldom decoded for this."""
+    pattern = rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{least - 1}}}[^\x20\x09-\x0D]"
+    return F.substring(line, 1, 16 * least).rlike(pattern) | line.rlike(pattern)
 
 
 def set_of(line: Column) -> Column:
@@ -130,13 +131,15 @@ def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ranked = sets.select(*NAME, codes_of(F.col("set"), rarity(sets)).alias("codes"))
     n = F.size("codes")
     upper = F.when(n > SHORT, parity_of(F.col("codes"), upper=True)).otherwise(F.lit(0).cast("long"))
-    prefix = F.transform(F.slice("codes", F.lit(1), prefix_length(n)), lambda c: c.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int"))
-    lines = table(ranked.select(*NAME, F.xxhash64("codes").alias("h"), n.alias("n"), parity_of(F.col("codes")).alias("parity"), upper.alias("upper"), prefix.alias("prefix")), "lines")
-    sets.unpersist(blocking=True)
+    prefix = F.slice("codes", F.lit(1), prefix_length(n))
+    lines = ranked.select(*NAME, F.xxhash64("codes").alias("h"), n.alias("n"), parity_of(F.col("codes")).alias("parity"), upper.alias("upper"), prefix.alias("prefix"))
 
     # equal sets agree in h and parity, others in hardly any
     vertices = table(lines.groupBy("h", "parity").agg(F.min(F.struct(*NAME, "n", "upper", "prefix")).alias("first")).select("h", "parity", "first.*"), "vertices")
-    entries = vertices.select("h", "parity", "upper", "n", F.posexplode("prefix").alias("pos", "token")).select("h", "parity", "upper", sized(F.col("n"), F.col("pos")).alias("at"), "token")
+    names = table(sets.select(*NAME), "names")
+    sets.unpersist(blocking=True)
+    token = F.col("code").bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int").alias("token")
+    entries = vertices.select("h", "parity", "upper", "n", F.posexplode("prefix").alias("pos", "code")).select("h", "parity", "upper", sized(F.col("n"), F.col("pos")).alias("at"), token)
     other = (F.col("x.h") != F.col("y.h")) | (F.col("x.parity") != F.col("y.parity"))
     paired = entries.alias("y").join(entries.alias("x").hint("merge"), (F.col("x.token") == F.col("y.token")) & possible("x", "y") & other, "left_semi")
     met = table(paired, "met")
@@ -173,9 +176,9 @@ def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = table(verified(pairs), "matched")
     free(candidates, small, held)
 
-    repeated = lines.select(*NAME).join(vertices.select(*NAME).hint("merge"), list(NAME), "left_anti")
+    repeated = names.join(vertices.select(*NAME).hint("merge"), list(NAME), "left_anti")
     lost = table(repeated.unionByName(matched).unionByName(more), "lost")
-    free(lines, vertices, matched, more)
+    free(names, vertices, matched, more)
     return lost
 
 

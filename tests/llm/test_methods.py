@@ -108,6 +108,27 @@ def test_words_of_lines_are_split_once_for_sets_and_ranks(spark):
     assert reads.value == 2 * len(rows)  # for the sets, and for the texts of candidates
 
 
+def test_prefixes_of_repeated_lines_are_not_written(spark, monkeypatch):
+    written = {}
+
+    def told(df, name):
+        out = common.table(df, name)
+        written.setdefault(name, (out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(linededup, "table", told)
+    texts = ["one line that all rows hold\n" + f"own words a{i} b{i} c{i} d{i}" for i in range(20)]
+    lost = linededup.similar_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted((r["doc"], r["no"]) for r in lost.collect()) == [(i, 0) for i in range(1, 20)]
+    assert {n for columns, n in written.values() if "prefix" in columns} == {21}  # sets, of 40 lines
+
+
+def test_lines_whose_words_begin_late_have_them_counted(spark):
+    lines = [" " * 100 + "a b c", "x" * 90 + " b c", "x" * 90 + " b ", "a b" + " " * 100, "a b" + "\t" * 100 + "c", "é" * 47 + " b c", "", "a b c"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    assert [r[0] for r in df.select(linededup.has_words(F.col("line"), 3)).collect()] == [len(x.split()) >= 3 for x in lines]
+
+
 def test_codes_sort_rare_words_first_and_tell_all_hashes_apart(spark):
     lines = [" ".join(f"w{j}" for j in range(i, 30)) for i in range(30)]  # w29 is in all, w0 in one
     sets = spark.createDataFrame([(x,) for x in lines], "line string").select(linededup.set_of(F.col("line")).alias("set"))
