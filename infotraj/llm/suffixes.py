@@ -4,17 +4,19 @@ Strings are judged on the input: a string that also starts in a document of a sm
 
 1. Equal texts are one (by 128 bits of hash); later documents of an equal text go whole. Distinct texts form blocks of about BLOCK bytes.
 2. Every 50-byte string is named by its anchor, the smallest hash of its 20-byte pieces: equal strings have equal anchors. Neighbouring strings
-   mostly share one, so anchors are few. Those that one document alone has cannot repeat and are done with.
+   mostly share one, so anchors are few. Those that one document alone has cannot repeat and are done with. A block sends its anchors
+   packed, a row for each of MEET buckets, and gets the shared ones back packed.
 3. The strings of the other anchors, as segments of up to 80 bytes, are routed by anchor to buckets of about BUCKET bytes, one row for each
-   block and distinct segment. An anchor with more than HEAVY is split: its strings go singly, dealt by their own hash.
+   block and distinct segment. An anchor with more than HEAVY is split: its strings go singly, dealt by their own hash. Such anchors, one
+   for each HEAVY bytes of segments at most, are told to all tasks, so that no segment is shuffled to find them.
 4. In a bucket, shards of segments each get the Burrows-Wheeler transform of their own suffixes. The shards are then merged: starting
-   with the rows of one shard after another, the interleave is refined by one stable distribution on the preceding symbol a round, through each
-   shard's own last-to-first mapping; no suffix is compared or sorted again. A row that first parts from its neighbour in round h has
-   h - 1 bytes in common with it; rows not parted after 50 rounds form the repeated intervals. Rounds end early when nothing parts any more.
+   with the rows of one shard after another, the interleave is refined by stable distributions on the two preceding symbols, through each
+   shard's own last-to-first mapping; no suffix is compared or sorted again. A round takes the rows alone that lead to the start of a
+   50-byte string, as many as there are such strings. Rows not parted after 50 symbols form the repeated intervals.
    Anchors with one distinct segment are intervals already.
 5. The smallest document of each interval goes back to the blocks, where what later documents hold is cut.
 
-Texts are shuffled by block, never by anchor; a passage or text that a third of all documents hold is a row a block. Nothing is broadcast.
+Texts are shuffled by block, never by anchor; a passage or text that a third of all documents hold is a row a block. Split anchors alone are broadcast.
 
 Edges: a null or empty text has no bytes, and texts under 50 bytes keep all; a null id is larger than any other; rows of equal id do not
 remove each other's strings, so repeated rows fare alike; ids are cast to long; an empty table gives no rows; extra columns are ignored.
@@ -28,7 +30,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,8 @@ SPAN, PIECE = 50, 20
 STRETCH = SPAN - PIECE + 1
 #: Bytes of a block of texts, of a bucket of segments, of a shard, and windows hashed at a time.
 BLOCK, BUCKET, SHARD, CHUNK = 8 << 20, 1 << 20, 1 << 16, 1 << 15
+#: Buckets that blocks' anchors meet in, and stretches copied at a time.
+MEET, COPY = 2048, 1 << 13
 #: Bytes of one anchor's segments from which they are split.
 HEAVY = 4 << 20
 LAST = (1 << 63) - 1
@@ -55,18 +58,23 @@ def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=_U) * _U(2) + _U(1), np.cumprod(up), np.cumprod(down)
 
 
-def string_anchors(data: np.ndarray) -> np.ndarray:
-    """The anchor of each SPAN-byte string of data, for up to CHUNK strings."""
+def string_hashes(data: np.ndarray, span: int) -> np.ndarray:
+    """A hash of each span-byte string of data, for up to CHUNK + SPAN bytes."""
     byte, up, down = _powers()
     v = byte[data]
     v *= up[: len(v)]
     sums = np.append(_U(0), np.cumsum(v))
-    h = sums[PIECE:] - sums[:-PIECE]
+    h = sums[span:] - sums[:-span]
     h *= down[: len(h)]
     h ^= h >> _U(32)
     h *= _U(0xD6E8FEB86659FD93)
     h ^= h >> _U(29)
-    size = 1
+    return h
+
+
+def string_anchors(data: np.ndarray) -> np.ndarray:
+    """The anchor of each SPAN-byte string of data, for up to CHUNK strings."""
+    h, size = string_hashes(data, PIECE), 1
     while size * 2 <= STRETCH:
         h = np.minimum(h[:-size], h[size:])
         size *= 2
@@ -79,9 +87,9 @@ def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     found = [(np.empty(0, dtype=_U), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))]
     for at in range(0, max(0, len(data) - SPAN + 1), CHUNK):
         h = string_anchors(data[at : at + CHUNK + SPAN - 1])
-        new = np.flatnonzero(h[1:] != h[:-1]) + 1
-        texts = starts[np.searchsorted(starts, at, side="right") : np.searchsorted(starts, at + len(h))] - at
-        begin = np.unique(np.concatenate([[0], new, texts]))
+        new = np.append(True, h[1:] != h[:-1])
+        new[starts[np.searchsorted(starts, at, side="right") : np.searchsorted(starts, at + len(h))] - at] = True
+        begin = np.flatnonzero(new)
         size = np.diff(np.append(begin, len(h)))
         if size.max() > STRETCH:  # a text that repeats itself
             pieces = -(-size // STRETCH)
@@ -105,13 +113,30 @@ def bytes_of(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray
     return data, offsets[1:] - offsets[0]
 
 
-def _ranks(key: np.ndarray) -> np.ndarray:
-    """The rank of each key among the distinct ones, from 1; 0 for key 0."""
-    order = np.argsort(key)
+def binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The binary column whose values lie in a row in data and end, in bytes, at `ends`: what bytes_of takes apart."""
+    offsets = np.append(0, ends).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def slices(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of `size` values each, one slice after another."""
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
+def _ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each key among the distinct ones, from 1, or 0 for key 0; and the keys' order, equal ones by their place."""
+    bits = _U(len(key).bit_length())
+    if int(key.max()) >> (64 - int(bits)):
+        order = np.argsort(key, kind="stable")
+        same = key[order]
+    else:  # key and place in one number
+        same = np.sort(key << bits | np.arange(len(key), dtype=_U))
+        order = (same & ((_U(1) << bits) - _U(1))).astype(np.int64)
+        same >>= bits
     rank = np.empty(len(key), dtype=_U)
-    same = key[order]
     rank[order] = np.cumsum(np.append(same[:1] > 0, same[1:] != same[:-1])).astype(_U)
-    return rank
+    return rank, order
 
 
 class Shard:
@@ -127,17 +152,20 @@ class Shard:
         string = np.repeat(np.arange(len(strings)), sizes + 1)
         ends = np.cumsum(sizes + 1)
         left = ends[string] - np.arange(len(text)) - 1
-        padded, key = np.append(text, np.zeros(8, dtype=np.uint8)), np.zeros(len(text), dtype=_U)
-        for k in range(8):
-            key = key << _U(8) | np.where(left > k, padded[k : len(text) + k], 0).astype(_U)
-        reach, rank, distinct = 8, _ranks(key), 0
+
+        def ahead(x: np.ndarray, k: int) -> np.ndarray:
+            return np.where(left > k, np.append(x[k:], np.zeros(min(k, len(x)), dtype=_U)), _U(0))
+
+        one = text.astype(_U)
+        key = one << _U(8) | ahead(one, 1)
+        key = (key << _U(16) | ahead(key, 2)) << _U(8) | ahead(one, 4)
+        reach, distinct, bits = 5, 0, _U(len(text).bit_length())
+        rank, order = _ranks(key)
         while reach < sizes.max() and rank.max() > distinct:  # suffixes told apart by twice as many symbols each time
             distinct = rank.max()
-            beyond = np.where(left > reach, np.append(rank[reach:], np.zeros(min(reach, len(rank)), dtype=_U))[: len(rank)], _U(0))
-            rank = _ranks(rank << _U(32) | beyond)
+            rank, order = _ranks(rank << bits | ahead(rank, reach))
             reach *= 2
-        order = np.argsort(rank, kind="stable")
-        self.strings = len(strings)
+        self.strings, self.sizes = len(strings), sizes
         before = np.roll(text, 1)
         before[ends - sizes - 1] = 0
         self.last, self.string, self.left = before[order], string[order], left[order]
@@ -170,8 +198,30 @@ def repeated_intervals(shards: list[Shard], span: int = SPAN) -> tuple[np.ndarra
     return rows, interval
 
 
-def least_documents(strings: list[bytes], doc: np.ndarray, span: int = SPAN, shard: int = SHARD) -> list[np.ndarray]:
-    """For each string the smallest doc of all strings that have its first, second, ... span-byte string."""
+def string_intervals(shards: list[Shard], span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, interval): of repeated_intervals' rows those alone that have `span` symbols.
+
+    Before the last h symbols are at hand, only rows h symbols or more after their string's start and span - h or more before its
+    end lead there. So a round takes as many rows as there are strings of `span` symbols, and none that starts a string; it
+    distributes them on the two preceding symbols.
+    """
+    base = np.cumsum([0, *[len(s.last) for s in shards]])
+    back = np.concatenate([np.where(s.last > 0, s.back + b, 0) for s, b in zip(shards, base, strict=False)])
+    last = np.concatenate([s.last for s in shards]).astype(np.uint16)
+    back = back.astype(np.int32 if len(back) < 1 << 31 else np.int64)
+    rows = np.flatnonzero(np.concatenate([s.left <= s.sizes[s.string] - span for s in shards])).astype(back.dtype)
+    interval = np.zeros(len(rows), dtype=np.int32)
+    for symbols, way in [(last, back)] * (span % 2) + [(last[back] << np.uint16(8) | last, back[back])] * (span // 2):
+        symbol = symbols[rows]
+        to = np.argsort(symbol, kind="stable")
+        symbol, was, rows = symbol[to], interval[to], way[rows[to]]
+        interval[1:] = (symbol[1:] != symbol[:-1]) | (was[1:] != was[:-1])
+        np.cumsum(interval, out=interval)
+    return rows, interval
+
+
+def least_in_a_row(strings: list[bytes], doc: np.ndarray, span: int = SPAN, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
+    """(least, ends): for each span-byte string, of one string after another, the smallest doc of all strings that have it; where each string's end."""
     shards, first, at = [], [], 0
     while at < len(strings):
         to, size = at, 0
@@ -181,18 +231,22 @@ def least_documents(strings: list[bytes], doc: np.ndarray, span: int = SPAN, sha
         shards.append(Shard(strings[at:to]))
         first.append(at)
         at = to
-    rows, interval = repeated_intervals(shards, span)
+    rows, interval = string_intervals(shards, span)
     string = np.concatenate([s.string + f for s, f in zip(shards, first, strict=True)])[rows]
     left = np.concatenate([s.left for s in shards])[rows]
-    keep = left >= span
-    string, left, interval = string[keep], left[keep], interval[keep]
     starts = np.flatnonzero(np.diff(interval, prepend=-1))
     least = np.repeat(np.minimum.reduceat(doc[string], starts), np.diff(np.append(starts, len(string))))
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     windows = np.maximum(0, sizes - span + 1)
     out = np.empty(int(windows.sum()), dtype=np.int64)
     out[(np.cumsum(windows) - windows)[string] + sizes[string] - left] = least
-    return np.split(out, np.cumsum(windows)[:-1])
+    return out, np.cumsum(windows)
+
+
+def least_documents(strings: list[bytes], doc: np.ndarray, span: int = SPAN, shard: int = SHARD) -> list[np.ndarray]:
+    """For each string the smallest doc of all strings that have its first, second, ... span-byte string."""
+    least, ends = least_in_a_row(strings, doc, span, shard)
+    return np.split(least, ends[:-1])
 
 
 def distinct_texts(df: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, DataFrame]:
@@ -221,28 +275,46 @@ def distinct_texts(df: DataFrame, id_col: str, text_col: str, block_bytes: int)
 
 
 def shared_anchors(texts: DataFrame) -> DataFrame:
-    """(block, hash): the anchors that more than one document, or block, has, in each block that has them."""
+    """(block, hashes): the anchors that more than one document, or block, has, in each block that has them, packed by bucket."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = bytes_of(batch.column("text"))
             h, text, _, _ = stretches(data, ends)
-            block, doc = (batch.column(c).to_numpy()[text] for c in ("block", "doc"))
-            order = np.lexsort((h, block))
-            h, block, doc = h[order], block[order], doc[order]
-            at = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (block[1:] != block[:-1]))) if len(h) else order
-            if at.size:
-                several = np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at)
-                yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(block[at] << 1 | several)], names=["hash", "block"])
+            block, doc = (batch.column(c).to_numpy() for c in ("block", "doc"))
+            cuts = np.flatnonzero(np.diff(block, prepend=-1))
+            for row, a, b in zip(cuts.tolist(), *(np.searchsorted(text, x).tolist() for x in (cuts, np.append(cuts[1:], len(block)))), strict=True):
+                if a == b:
+                    continue
+                order = np.argsort(h[a:b])
+                own, of = h[a:b][order], doc[text[a:b]][order]
+                at = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                alone = np.minimum.reduceat(of, at) == np.maximum.reduceat(of, at)
+                own = own[at]
+                key = ((own.view(_U) % _U(MEET)) << _U(1) | alone).astype(np.uint16)
+                to = np.argsort(key, kind="stable")  # by bucket, and first what several of the block's own documents have
+                key = key[to]
+                at = np.flatnonzero(np.append(True, key[1:] >> 1 != key[:-1] >> 1))
+                cols = [pa.array((key[at] >> 1).astype(np.int32)), pa.array(np.full(len(at), block[row])), pa.array(np.add.reduceat(1 - (key & 1).astype(np.int32), at), pa.int32())]
+                yield pa.RecordBatch.from_arrays([*cols, binary(own[to].view(np.uint8), 8 * np.append(at[1:], len(to)))], names=["bucket", "block", "several", "hashes"])
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in sorted_runs(batches, ["hash"]):
-            block, size = t.column("block").to_numpy(), np.diff(np.append(starts, t.num_rows))
-            keep = np.repeat((size > 1) | np.bitwise_or.reduceat(block & 1, starts).astype(bool), size)
-            yield pa.RecordBatch.from_arrays([pa.array(block[keep] >> 1), pa.array(t.column("hash").to_numpy()[keep])], names=["block", "hash"])
-
-    found = texts.mapInArrow(anchors, "hash long, block long")  # a block's number, doubled, and whether several of its own documents have it
-    return found.repartition("hash").sortWithinPartitions("hash").mapInArrow(several, "block long, hash long")
+        for t, _ in sorted_runs(batches, ["bucket"]):
+            data, ends = bytes_of(t.column("hashes"))
+            h, starts = data.view(np.int64), np.append(0, ends[:-1]) // 8
+            here = np.zeros(len(h), dtype=bool)
+            here[slices(starts, t.column("several").to_numpy().astype(np.int64))] = True
+            order = np.argsort(h)
+            same = h[order]
+            at = np.flatnonzero(np.append(True, same[1:] != same[:-1]))
+            size = np.diff(np.append(at, len(h)))
+            keep = np.empty(len(h), dtype=bool)
+            keep[order] = np.repeat((size > 1) | np.logical_or.reduceat(here[order], at), size)
+            kept = np.add.reduceat(keep.astype(np.int64), starts)
+            yield pa.RecordBatch.from_arrays([pa.array(t.column("block").to_numpy()[kept > 0]), binary(h[keep].view(np.uint8), 8 * np.cumsum(kept)[kept > 0])], names=["block", "hashes"])
+
+    found = texts.mapInArrow(anchors, "bucket int, block long, several int, hashes binary")  # the first `several` of a row are in several of the block's own documents
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(several, "block long, hashes binary")
 
 
 def segments(texts: DataFrame, shared: DataFrame) -> DataFrame:
@@ -255,31 +327,28 @@ def segments(texts: DataFrame, shared: DataFrame) -> DataFrame:
         held = held.sort_by("row")
         data, ends = bytes_of(held.column("text"))
         h, text, first, n = stretches(data, ends)
-        keep = np.isin(h, found.column("hash").to_numpy())
+        shared = np.sort(bytes_of(found.column("hashes"))[0].view(np.int64))
+        keep = shared[np.minimum(np.searchsorted(shared, h), len(shared) - 1)] == h if len(shared) else np.zeros(len(h), dtype=bool)
         h, text, first, n = h[keep], text[keep], first[keep], n[keep]
-        doc, raw = held.column("doc").to_numpy()[text].tolist() if len(h) else [], data.tobytes()
-        begin = (np.append(0, ends[:-1])[text] + first).tolist() if len(h) else []
-        number: dict[tuple[int, bytes], int] = {}
-        lo: list[int] = []
-        hi: list[int] = []
-        segs = []
-        for a, b, k, d in zip(h.tolist(), begin, n.tolist(), doc, strict=True):
-            key = (a, raw[b : b + k + SPAN - 1])
-            s = number.setdefault(key, len(lo))
-            segs.append(s)
-            if s == len(lo):
-                lo.append(d)
-                hi.append(d)
-            elif d < lo[s]:
-                lo[s] = d
-            elif d > hi[s]:
-                hi[s] = d
-        block, m = held.column("block")[0].as_py() if held.num_rows else 0, len(lo)
-        packed = [pa.array([None] * m + [x.tobytes()], pa.binary()) for x in (text.astype(np.int32), first.astype(np.int32), n.astype(np.uint8), np.array(segs, dtype=np.int32))]
-        cols = [pa.array([block] * (m + 1), types[0]), pa.array([*range(m), None], types[1]), pa.array([*[k[0] for k in number], None], types[2]), pa.array([*lo, None], types[3]), pa.array([*hi, None], types[4]), pa.array([*[k[1] for k in number], None], types[5])]
+        begin, size = (np.append(0, ends[:-1])[text] + first, n + SPAN - 1) if len(h) else (text, n)
+        raw, to = np.empty(int(size.sum()), dtype=np.uint8), np.cumsum(size)
+        for at in range(0, len(h), COPY):
+            places = slices(begin[at : at + COPY], size[at : at + COPY])
+            raw[to[at] - size[at] :][: len(places)] = data[places]
+        coded = binary(raw, to).dictionary_encode()
+        segs, m = coded.indices.to_numpy(), len(coded.dictionary)
+        doc = held.column("doc").to_numpy()[text]
+        lo, hi, anchor = np.full(m, LAST), np.full(m, -LAST - 1), np.empty(m, dtype=np.int64)
+        np.minimum.at(lo, segs, doc)
+        np.maximum.at(hi, segs, doc)
+        anchor[segs] = h  # the bytes tell the anchor
+        block = held.column("block")[0].as_py() if held.num_rows else 0
+        packed = [pa.array([None] * m + [x.tobytes()], pa.binary()) for x in (text.astype(np.int32), first.astype(np.int32), n.astype(np.uint8), segs.astype(np.int32))]
+        last = np.arange(m + 1) == m  # the row of places
+        cols = [pa.array(np.full(m + 1, block)), *(pa.array(np.append(x, 0), k, mask=last) for x, k in zip((np.arange(m), anchor, lo, hi), types[1:5], strict=True)), pa.concat_arrays([coded.dictionary, pa.nulls(1, types[5])])]
         return pa.table([*cols, *packed], names=names)
 
-    right = shared.select(F.col("block").alias("of_block"), "hash")
+    right = shared.select(F.col("block").alias("of_block"), "hashes")
     return texts.groupBy("block").cogroup(right.groupBy("of_block")).applyInArrow(cut, kinds)
 
 
@@ -288,24 +357,30 @@ def least_by_segment(segs: DataFrame, bucket_bytes: int, heavy_bytes: int) -> Da
     size = segs.agg(F.sum(F.length("bytes"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
     heavy = segs.groupBy("hash").agg(F.sum(F.length("bytes")).alias("size")).where(F.col("size") > heavy_bytes)
-    heavy = heavy.select("hash", F.ceil(F.col("size") * 20 / bucket_bytes).alias("parts"))  # strings sent singly take up to 19 times the bytes
+    heavy = table(heavy.select("hash", F.ceil(F.col("size") * 20 / bucket_bytes).alias("parts")), "heavy-anchors")  # strings sent singly take up to 19 times the bytes
     whole = segs.select(F.pmod("hash", F.lit(buckets)).alias("bucket"), "hash", "block", "seg", F.lit(0).alias("off"), "lo", "hi", "bytes")
     if heavy.limit(1).count():
+        names, few = whole.columns, F.broadcast(heavy)  # a number or two for each `heavy_bytes` of segments at most; else all segments are shuffled for it, twice
 
         def singly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                cols: list[list] = [[] for _ in range(8)]
-                for h, b, s, lo, hi, raw, parts in zip(*(batch.column(c).to_pylist() for c in ("hash", "block", "seg", "lo", "hi", "bytes", "parts")), strict=True):
-                    for off in range(len(raw) - SPAN + 1):
-                        one = raw[off : off + SPAN]
-                        part = xxhash.xxh64_intdigest(one) % parts
-                        for c, x in zip(cols, (xxhash.xxh64_intdigest(f"{h} {part}") % (1 << 62) + buckets, h, b, s, off, lo, hi, one), strict=True):
-                            c.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-        names, kinds = whole.columns, [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-        split = segs.join(heavy, "hash").mapInArrow(singly, "bucket long, hash long, block long, seg int, off int, lo long, hi long, bytes binary")
-        whole = whole.join(heavy, "hash", "left_anti").select(names).unionByName(split)
+                if not batch.num_rows:
+                    continue
+                data, ends = bytes_of(batch.column("bytes"))
+                n = np.diff(ends, prepend=0) - SPAN + 1
+                row, off = np.repeat(np.arange(len(n)), n), slices(np.zeros(len(n), dtype=np.int64), n)
+                begin = (ends - n - SPAN + 1)[row] + off
+                own = np.concatenate([string_hashes(data[at : at + CHUNK + SPAN - 1], SPAN) for at in range(0, len(data), CHUNK) if at + SPAN <= len(data)])[begin]
+                anchor, parts = (batch.column(c).to_numpy().view(_U)[row] for c in ("hash", "parts"))
+                bucket = (((anchor + own % parts) * _U(0xD6E8FEB86659FD93)) >> _U(2)).view(np.int64) + buckets
+                for at in range(0, len(row), COPY):
+                    k, size = pa.array(row[at : at + COPY]), np.full(len(row[at : at + COPY]), SPAN)
+                    kept = {c: batch.column(c).take(k) for c in ("hash", "block", "seg", "lo", "hi")}
+                    kept |= {"bucket": pa.array(bucket[at : at + COPY]), "off": pa.array(off[at : at + COPY].astype(np.int32)), "bytes": binary(data[slices(begin[at : at + COPY], size)], np.cumsum(size))}
+                    yield pa.RecordBatch.from_arrays([kept[c] for c in names], names=names)
+
+        split = segs.join(few, "hash").mapInArrow(singly, "bucket long, hash long, block long, seg int, off int, lo long, hi long, bytes binary")
+        whole = whole.join(few, "hash", "left_anti").select(names).unionByName(split)
 
     def merge(t: pa.Table) -> pa.Table:
         coded = t.column("bytes").combine_chunks().dictionary_encode()
@@ -316,20 +391,17 @@ def least_by_segment(segs: DataFrame, bucket_bytes: int, heavy_bytes: int) -> Da
         doc = np.minimum.reduceat(t.column("lo").to_numpy()[order], starts)
         _, of, own = np.unique(t.column("hash").to_numpy()[order[starts]], return_inverse=True, return_counts=True)  # a segment has one anchor
         several = np.flatnonzero(own[of] > 1)
-        got: dict[int, np.ndarray] = {}
-        least = doc.copy()
+        size = np.ones(len(strings), dtype=np.int64)  # numbers of each: one for each of its strings, or one for all
+        size[several] = pa.compute.binary_length(coded.dictionary).to_numpy()[several] - SPAN + 1
+        begin, least = np.cumsum(size) - size, np.repeat(doc, size)
         if several.size:
-            got = dict(zip(several.tolist(), least_documents([strings[k] for k in several.tolist()], doc[several]), strict=True))
-            least[several] = [x.min() for x in got.values()]
-        at = np.flatnonzero(least[mine] < t.column("hi").to_numpy())
-        off = t.column("off").to_numpy()[at]
-        told = [got[k].tobytes() if k in got else None for k in mine[at].tolist()]
-        alone = np.array([x is None for x in told], dtype=bool)
-        whole_segment = alone & (pa.compute.binary_length(coded.dictionary).to_numpy()[mine[at]] > SPAN)
-        same = doc[mine[at]].tolist()
-        said = pa.array([x if x is not None else d.to_bytes(8, "little", signed=True) for x, d in zip(told, same, strict=True)], pa.binary())
+            least[slices(begin[several], size[several])] = least_in_a_row([strings[k] for k in several.tolist()], doc[several])[0]
+        at = np.flatnonzero(np.minimum.reduceat(least, begin)[mine] < t.column("hi").to_numpy())
+        off, told = t.column("off").to_numpy()[at], mine[at]
+        alone = (own[of] == 1) & (pa.compute.binary_length(coded.dictionary).to_numpy() > SPAN)
+        said = least[slices(begin[told], size[told])]
         cols = [t.column(c).take(pa.array(at)).combine_chunks() for c in ("block", "seg")]
-        return pa.table([*cols, pa.array(np.where(whole_segment, -1, off).astype(np.int32)), said], names=["block", "seg", "off", "least"])
+        return pa.table([*cols, pa.array(np.where(alone[told], -1, off).astype(np.int32)), binary(said.view(np.uint8), 8 * np.cumsum(size[told]))], names=["block", "seg", "off", "least"])
 
     return whole.groupBy("bucket").applyInArrow(merge, "block long, seg int, off int, least binary")
 
@@ -351,25 +423,28 @@ def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
         data, ends = bytes_of(held.column("text"))
         doc, starts = held.column("doc").to_numpy(), np.append(0, ends[:-1])
         said = told.filter(pa.compute.is_valid(told.column("seg")))
-        gone = np.zeros(len(data) + 1, dtype=np.int32)
+        gone = np.zeros(len(data), dtype=np.int32)  # where strings start that go
         if said.num_rows:
             places = told.filter(pa.compute.is_valid(told.column("rows")))
             text, first, n, seg = (np.frombuffer(places.column(c)[0].as_py(), k).astype(np.int64) for c, k in (("rows", np.int32), ("firsts", np.int32), ("strings", np.uint8), ("segs", np.int32)))
             least = np.full((int(seg.max()) + 1, STRETCH), LAST)
             s, off, m = said.column("seg").to_numpy(), said.column("off").to_numpy(), pa.compute.binary_length(said.column("least")).to_numpy() // 8
-            got = np.frombuffer(b"".join(said.column("least").to_pylist()), np.int64)
-            each = np.repeat(np.arange(len(m)), m)
-            whole = off[each] < 0
-            least[s[each[whole]]] = got[whole][:, None]
-            place = off[each] + np.arange(len(each)) - np.repeat(np.cumsum(m) - m, m)
-            least[s[each[~whole]], place[~whole]] = got[~whole]
-            at = np.repeat(np.arange(len(n)), n)
-            ramp = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-            hit = least[seg[at], ramp] < doc[text[at]]
-            begin = (starts[text] + first)[at][hit] + ramp[hit]
-            np.add.at(gone, begin, 1)
-            np.add.at(gone, begin + SPAN, -1)
-        lost = np.cumsum(gone[:-1]) > 0
+            got = bytes_of(said.column("least"))[0].view(np.int64)
+            whole = off < 0
+            least[s[whole]] = got[np.cumsum(m)[whole] - 1][:, None]
+            place = np.repeat(s.astype(np.int64) * STRETCH, m) + slices(off.astype(np.int64), m)
+            each = np.repeat(~whole, m)
+            least.reshape(-1)[place[each]] = got[each]
+            some = np.zeros(len(least), dtype=bool)
+            some[s] = True
+            text, first, n, seg = (x[some[seg]] for x in (text, first, n, seg))
+            for at in range(0, len(n), COPY):
+                few = slice(at, at + COPY)
+                hit = least.reshape(-1)[slices(seg[few] * STRETCH, n[few])] < np.repeat(doc[text[few]], n[few])
+                gone[slices((starts[text] + first)[few], n[few])[hit]] = 1
+        np.cumsum(gone, out=gone)
+        lost = gone > 0
+        lost[SPAN:] = gone[SPAN:] > gone[:-SPAN]
         runs = lost.copy()
         runs[1:] &= ~lost[:-1]
         runs[starts] = lost[starts]

@@ -123,3 +123,41 @@ def test_anchors_depend_on_the_string_alone():
     h, text, first, n = suffixes.stretches(data, ends)
     got = {(int(t), int(f) + k) for t, f, c in zip(text, first, n, strict=True) for k in range(int(c))}
     assert got == {(0, k) for k in range(951)} | {(3, 0), (3, 1)} | {(4, k) for k in range(2851)} and n.max() <= suffixes.STRETCH
+
+
+@pytest.mark.parametrize("span", [1, 2, 5, 8])
+def test_merging_rows_of_whole_strings_alone_gives_what_merging_all_rows_gives(span):
+    rng = random.Random(span)
+    shards = [suffixes.Shard([*strings_of(rng, n), b"ab" * 9]) for n in (30, 1, 12)]
+    rows, interval = suffixes.string_intervals(shards, span)
+    left = np.concatenate([s.left for s in shards])
+    every, parts = suffixes.repeated_intervals(shards, span)
+    groups = lambda r, k: sorted(sorted(r[k == x].tolist()) for x in set(k.tolist()))
+    long = left[every] >= span
+    assert groups(rows, interval) == groups(every[long], parts[long]) and len(rows) < len(every)
+
+
+def test_shared_anchors_come_in_few_rows(spark):
+    rng = random.Random(4)
+    letters = "".join(rng.choice("abcdefgh") for _ in range(70_000))
+    df = spark.createDataFrame([(1, letters), (2, "x" + letters), (3, letters[::-1])], "doc_id long, text string")
+    _, texts = suffixes.distinct_texts(df.coalesce(1), "doc_id", "text", 1 << 20)
+    rows = suffixes.shared_anchors(texts).collect()
+    got = np.concatenate([np.frombuffer(r.hashes, np.int64) for r in rows])
+    mine, _, _, _ = suffixes.stretches(np.frombuffer(letters.encode(), np.uint8), np.array([len(letters)]))
+    assert {*mine.tolist()} <= {*got.tolist()} and len({*got.tolist()}) < 1.01 * len({*mine.tolist()})
+    blocks = texts.select("block").distinct().count()
+    assert len(rows) <= blocks * suffixes.MEET < blocks * len({*mine.tolist()})
+
+
+def test_split_anchors_are_found_without_shuffling_segments(spark):
+    df = spark.createDataFrame([(i, x) for i, x in texts()], "doc_id long, text string")
+    _, long = suffixes.distinct_texts(df, "doc_id", "text", 5000)
+    cut = suffixes.table(suffixes.segments(long, suffixes.shared_anchors(long)), "cut").where("seg is not null").select("block", "seg", "hash", "lo", "hi", "bytes")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = suffixes.least_by_segment(cut, 1500, 300)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
